@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, near_dedup, packing, quality, toxicity
+from . import common, lm_scoring, near_dedup, packing, quality, toxicity
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,11 +30,21 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = lm_scoring.Model(docs.where(common.remainder("doc_id", 7) != 2))
+    out = lm_scoring.scored(docs, model)
+    return out.select(
+        F.col("id").alias("doc_id"), (common.remainder("id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    )
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_toxicity": op2_toxicity,
     "op4_quality_resampling": op4_quality_resampling,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 ORACLE_SQL: dict[str, str] = {}
