@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, lm_scoring, near_dedup, packing, quality, toxicity
+from . import common, lm_scoring, mixing, near_dedup, packing, quality, toxicity
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,55 @@ def op4_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(docs, common.table(spark, sf_dir, "labels"))
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.drawn(common.table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", F.col(mixing.SOURCE).alias("source"), F.col(mixing.EPOCH).alias("epoch"), F.col(mixing.BLOCK).alias("block"), F.col(mixing.TOKENS).alias("n_tokens"),
+        F.col(mixing.WEIGHT).alias("weight"), F.col(mixing.BUDGET).alias("budget"), F.col(mixing.RUNNING).alias("running_tokens"),
+    )
+
+
+OP5_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')), 0) AS n FROM documents
+), s AS (
+  SELECT source, sum(n)::BIGINT AS tokens, count(*) AS docs FROM d GROUP BY source
+), t AS (
+  SELECT sum(tokens)::DOUBLE AS total, list(tokens::DOUBLE / (SELECT sum(tokens)::DOUBLE FROM s) ORDER BY source) AS ps, count(*)::DOUBLE AS k, min(tokens)::DOUBLE AS least FROM s WHERE tokens > 0
+), bis AS (
+  SELECT 0 AS step, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0.0::DOUBLE AS mid
+  UNION ALL
+  SELECT step + 1, CASE WHEN ok THEN lo ELSE mid END, CASE WHEN ok THEN mid ELSE hi END,
+         CASE WHEN ok THEN (lo + mid) / 2 ELSE (mid + hi) / 2 END
+  FROM (
+    SELECT step, lo, hi, mid,
+           ln(list_sum(list_transform(ps, lambda x: pow(x, mid))))
+             - mid * list_sum(list_transform(ps, lambda x: pow(x, mid) * ln(x))) / list_sum(list_transform(ps, lambda x: pow(x, mid)))
+             <= 0.98 * ln(k) + 1e-12
+           AND pow(least / total, mid) / list_sum(list_transform(ps, lambda x: pow(x, mid))) * total / least <= 4.0 AS ok
+    FROM bis, t WHERE step < 37
+  )
+), a AS (
+  SELECT hi AS a FROM bis WHERE step = 37
+), w AS (
+  SELECT source, tokens, docs, CASE WHEN tokens > 0 THEN round(pow(tokens, a) / (SELECT sum(pow(tokens, a)) FROM s, a WHERE tokens > 0), 9) END AS weight FROM s, a
+), b AS (
+  SELECT *, floor(weight * (SELECT total FROM t))::BIGINT AS budget, ceil(sqrt(docs))::BIGINT AS blocks FROM w
+), e AS (
+  SELECT *, CASE WHEN tokens > 0 THEN floor(budget::DOUBLE / tokens)::BIGINT ELSE 1 END AS epochs FROM b
+), o AS (
+  SELECT d.doc_id, d.n, e.*, md5(concat_ws(':', '0', source, coalesce(doc_id::VARCHAR, ''))) AS h FROM d JOIN e USING (source)
+), p AS (
+  SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % blocks AS block FROM o
+), r AS (
+  SELECT *, sum(n) OVER (PARTITION BY source ORDER BY block, h, doc_id, n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS running FROM p
+), c AS (
+  SELECT *, epochs + CASE WHEN running <= budget - epochs * tokens AND budget - epochs * tokens > 0 THEN 1 ELSE 0 END AS copies FROM r
+)
+SELECT doc_id, source, unnest(range(copies)) AS epoch, block, n::BIGINT AS n_tokens, weight, budget, running AS running_tokens FROM c WHERE copies > 0
+"""
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack_documents(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -43,8 +92,11 @@ QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_toxicity": op2_toxicity,
     "op4_quality_resampling": op4_quality_resampling,
+    "op5_source_mixing": op5_source_mixing,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_lm_scoring": op10_lm_scoring,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op5_source_mixing": OP5_SQL,
+}
