@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, lm_scoring, mixing, near_dedup, packing, quality, topk, toxicity, vector_join
+from . import common, lm_scoring, mixing, near_dedup, packing, quality, quotes, topk, toxicity, vector_join, warc
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +118,48 @@ FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
 """
 
 
+def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quotes.conversations(common.table(spark, sf_dir, "conversations"))
+    return out.select(
+        F.col("conv").alias("conv_id"), "turn", "role", "text", F.col("quotes").cast("long").alias("n_quotes"), F.col("links").cast("long").alias("n_linked"),
+        F.col("parent").alias("parent_turn"), F.col("root").alias("root_turn"), "position",
+    )
+
+
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.resolve_revisits(warc.capture_stream(common.table(spark, sf_dir, "pages")))
+    header = lambda name: F.try_element_at("headers", F.lit(name)).alias(name.replace("-", "_"))
+    return out.select("record_id", "ts", "url_key", "full_id", "full_ts", "verdict", "digest", header("etag"), header("content-length"), header("date"))
+
+
+OP8_SQL = """
+WITH p AS (
+  SELECT page_id, url, coalesce(html, '') AS html,
+         regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM pages
+), k AS (
+  SELECT *, list_aggregate(list_sort(list_filter(string_split(regexp_extract(rest, '[?](.*)$', 1), '&'),
+             lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]*|ref|fbclid|gclid|sessionid)='))), 'string_agg', '&') AS q FROM p
+), c AS (
+  SELECT *, CASE WHEN trim(url) <> '' THEN
+      regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), '^(www|m)[.]', ''), ':(80|443)$', '')
+      || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/(index[.]html?)?$', '')
+      || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS url_key FROM k
+), f AS (
+  SELECT 2 * page_id AS full_id, 2 * page_id AS full_ts, url_key AS full_key, md5(html) AS digest, length(html) AS n, page_id % 7 AS d FROM c WHERE url_key IS NOT NULL
+), r AS (
+  SELECT 2 * page_id + 1 AS record_id, 2 * (page_id + 1000) + 1 AS ts, url_key, md5(html) AS tag, page_id % 7 AS d FROM c
+), j AS (
+  SELECT * FROM r ASOF LEFT JOIN f ON url_key = full_key AND ts > full_ts
+)
+SELECT record_id, ts, url_key, full_id, full_ts,
+       CASE WHEN full_id IS NULL THEN 'orphan' WHEN tag = digest THEN 'resolved' ELSE 'changed' END AS verdict, digest,
+       CASE WHEN tag = digest THEN 'W/"' || tag || '"' END AS etag,
+       CASE WHEN tag = digest THEN n::VARCHAR END AS content_length,
+       CASE WHEN tag = digest THEN 'later day ' || r_d END AS date
+FROM (SELECT j.* EXCLUDE (d, d_1), j.d AS r_d FROM j)
+"""
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack_documents(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -139,6 +181,8 @@ QUERIES = {
     "op4_quality_resampling": op4_quality_resampling,
     "op5_source_mixing": op5_source_mixing,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
+    "op7_quotation_linking": op7_quotation_linking,
+    "op8_warc_revisits": op8_warc_revisits,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_lm_scoring": op10_lm_scoring,
 }
@@ -147,4 +191,5 @@ ORACLE_SQL = {
     "op3_exact_topk": OP3_SQL,
     "op5_source_mixing": OP5_SQL,
     "op6_embedding_near_dedup": OP6_SQL,
+    "op8_warc_revisits": OP8_SQL,
 }
