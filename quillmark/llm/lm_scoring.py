@@ -34,7 +34,7 @@ from . import common, wordhash
 
 DEPTH = 5
 #: Table entries that one scoring pass may hold in a worker, of 12 to 24 bytes each.
-PASS_ENTRIES = 7_000_000
+PASS_ENTRIES = 5_000_000
 SHARDS = 256
 CHUNK = 1 << 20
 LOG_HALF = float(np.log(0.5))
@@ -262,13 +262,13 @@ class Model:
             keys, n = summed(pdf["key"].to_numpy(np.int64).view(np.uint64)[gram], pdf["n"].to_numpy(np.int64)[gram])
             levels = levels_of(keys, n, depth, 2)
             k3, n3 = summed(keys & np.uint64(0xFFFFFF), n)
-            entries = len(keys) + sum(len(x.node) for x in levels) + int((~gram).sum())
+            entries = [len(keys), sum(len(x.node) for x in levels), int((~gram).sum())]
             return pd.DataFrame({"shard": [pdf["shard"].iat[0]], "entries": [entries], "keys": [k3.tobytes()], "n": [n3.tobytes()], "node": [levels[-1].node.tobytes()], "log_pw": [levels[-1].log_pw.tobytes()]})
 
-        got = self.found.groupBy("shard").applyInPandas(low, "shard int, entries long, keys binary, n binary, node binary, log_pw binary")
-        self.entries, parts = [], []
+        got = self.found.groupBy("shard").applyInPandas(low, "shard int, entries array<long>, keys binary, n binary, node binary, log_pw binary")
+        self.entries, parts = {}, []
         for r in got.toLocalIterator():
-            self.entries.append((r["shard"], r["entries"]))
+            self.entries[r["shard"]] = r["entries"]
             parts.append([np.frombuffer(r[c], t) for c, t in (("keys", np.uint64), ("n", np.int64), ("node", np.uint64), ("log_pw", float))])
         keys, n, node, log_pw = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in enumerate((np.uint64, np.int64, np.uint64, float)))
         one, zero = (Level(*summed(keys & np.uint64((1 << (8 * (d + 1))) - 1), n)) for d in (1, 0))
@@ -283,7 +283,8 @@ class Model:
     def _passes(self, most: int) -> list[list[int]]:
         out: list[list[int]] = [[]]
         size = 0
-        for shard, n in sorted(self.entries):
+        for shard, entries in sorted(self.entries.items()):
+            n = sum(entries)
             if size + n > most and out[-1]:
                 out.append([])
                 size = 0
@@ -308,12 +309,24 @@ class Model:
             return pd.DataFrame({"keys": [keys.tobytes()], "cost": [cost.tobytes()], "node": [np.concatenate(nodes).tobytes()], "p": [np.concatenate(ps).tobytes()], "words": [key[word].tobytes()], "n": [n[word].tobytes()]})
 
         rows = self.found.where(F.col("shard").isin(shards)) if len(self.passes) > 1 else self.found
-        got = [r.asDict() for r in rows.groupBy("shard").applyInPandas(build, "keys binary, cost binary, node binary, p binary, words binary, n binary").toLocalIterator()]
-        join = lambda c, t: np.frombuffer(b"".join(g[c] for g in got), t)
-        node = np.concatenate([join("node", np.uint64), *(t[0] for t in self.top)])
-        p = np.concatenate([join("p", np.float32), *(t[1].astype(np.float32) for t in self.top)])
-        order = np.argsort(node)
-        return {"keys": join("keys", np.uint64), "cost": join("cost", np.float32), "node": node[order], "p": p[order], "words": join("words", np.uint64), "n": join("n", np.int64)}
+        kinds = {"keys": np.uint64, "cost": np.float32, "node": np.uint64, "p": np.float32, "words": np.uint64, "n": np.int64}
+        sizes = [self.entries[s] for s in shards]
+        top = sum(len(node) for node, _ in self.top)
+        lengths = dict(zip(kinds, (n for i, n in enumerate(map(sum, zip(*sizes))) for _ in (0, 1)))) if sizes else dict.fromkeys(kinds, 0)
+        out = {c: np.empty(lengths[c] + top * (c in ("node", "p")), t) for c, t in kinds.items()}
+        at = dict.fromkeys(kinds, 0)
+
+        def put(c: str, values: np.ndarray) -> None:
+            out[c][at[c] : at[c] + len(values)] = values
+            at[c] += len(values)
+
+        for node, p in self.top:
+            put("node", node)
+            put("p", p)
+        for row in rows.groupBy("shard").applyInPandas(build, "keys binary, cost binary, node binary, p binary, words binary, n binary").toLocalIterator():
+            for c, t in kinds.items():
+                put(c, np.frombuffer(row[c], t))
+        return out
 
 
 def bits(keys: np.ndarray, depth: int, node: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -343,6 +356,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     end = (float(np.log10(model.texts + 1)), int(model.texts > 0))
     context_shard, shards = _shards_of_contexts(model.shards), model.shards
     several = len(model.passes) > 1
+    columns = f"uid long, id {kind}, n_tokens long, n_known long, base_score double, score double"
     out = None
     for i, part in enumerate(model.passes):
         held = docs.sparkSession.sparkContext.broadcast(model.tables(part))
@@ -351,7 +365,11 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
         def run(batches: Iterator[pd.DataFrame], held=held, mine=mine, first=i == 0) -> Iterator[pd.DataFrame]:
             t = held.value
-            grams, words = Table(t["keys"], t["cost"]), Table(t["words"], t["n"])
+            if "grams" not in t:  # once in a worker's life with this broadcast
+                order = np.argsort(t["node"])
+                t["node"], t["p"] = t["node"][order], t["p"][order]
+                t["grams"], t["known"] = Table(t["keys"], t["cost"]), Table(t["words"], t["n"])
+            grams, words = t["grams"], t["known"]
             ours = mine[context_shard]
             for pdf in batches:
                 for at, texts in batches_of([lowered(x) for x in pdf["text"]]):
@@ -379,7 +397,9 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     rows_of = pdf.iloc[at : at + len(texts)]
                     yield pd.DataFrame({"uid": rows_of["uid"].to_numpy(), "id": rows_of["id"].to_numpy(), "n_tokens": m + 1, "n_known": n_known, "base_score": base, "score": score})
 
-        scores = rows.mapInPandas(run, f"uid long, id {kind}, n_tokens long, n_known long, base_score double, score double")
+        # Written pass by pass, so that only one pass's tables are held at a time.
+        scores = common.written(rows.mapInPandas(run, columns), "ctw-scores")
+        held.destroy()
         out = scores if out is None else out.unionByName(scores)
     if not several:
         return out
