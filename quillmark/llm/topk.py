@@ -1,15 +1,14 @@
 """Exact top-k by inner product from impact-ordered indexes, a score at a time.
 
 Candidates are integer vectors, dealt into indexes of at most `INDEX_ROWS`. An
-index keeps a posting segment for each dimension and impact level (a
-component's value without its last `SHIFT` bits): the rows of that level, in
-order. For a query, the segments' impacts are the query's component times the
-level; segments are taken by descending quantised impact and added to the rows'
-accumulators. After each batch of segments the rows' scores lie between the
-accumulator plus the least, and plus the most, that the remaining segments of
-each dimension and the dropped bits can add. Processing stops only when these
-bounds prove which rows can be among the k best; those rows are scored again
-exactly. The indexes' answers meet in one k-best per query.
+index keeps its postings by impact level, a component's size without its last
+`SHIFT` bits, in bands of descending impact. Bands are processed in that order,
+for some queries at a time, each adding its quantised scores to the rows'
+accumulators. What is unprocessed of a row has a known length, so that its
+score lies within that length times the query's of its accumulator. Processing
+stops for a query only when these bounds prove that few rows can be among its k
+best; those rows are scored again exactly. The indexes' answers meet in one
+k-best per query.
 
 Queries go to the indexes in blocks of at most `QUERY_ROWS`, bounded broadcasts.
 
@@ -30,70 +29,64 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SHIFT, INDEX_ROWS, QUERY_ROWS = 4, 16_384, 8_192
+SHIFT, INDEX_ROWS, QUERY_ROWS, QUERIES_AT_ONCE = 2, 16_384, 8_192, 128
 LIMIT = 1 << 27
-#: Segments that are added between two looks at the bounds.
-BATCH = 128
+#: Shares of postings below the bands' lowest levels.
+BANDS = (0.75, 0.5, 0.25)
 
 
 class Index:
-    """Posting segments of integer vectors by dimension and impact level."""
+    """Posting segments of integer vectors by impact level, in bands of descending impact.
+
+    A posting is a row's component in a dimension; its impact level is its size
+    without the last SHIFT bits. A band holds the segments of some levels as a
+    matrix of quantised components (0 where a row has no posting in it), and
+    for each row the length of what is then still unprocessed: the components
+    of lower levels and the dropped bits of all processed ones.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")  # so that ties come in the order of ids
-        self.ids, self.vectors = ids[order], vectors[order]
-        n, dims = self.vectors.shape
-        self.exact = self.vectors.astype(np.int64)
-        segments, dim, level = [], [], []
-        for d in range(dims):
-            lv = self.exact[:, d] >> SHIFT
-            by = np.argsort(lv, kind="stable")
-            cut = np.flatnonzero(np.r_[True, np.diff(lv[by]) != 0]) if n else np.zeros(0, np.int64)
-            for s, e in zip(cut, np.r_[cut[1:], n]):
-                segments.append(by[s:e].astype(np.int32))
-                dim.append(d)
-                level.append(lv[by[s]] << SHIFT)
-        self.segments, self.dim, self.level = segments, np.array(dim, np.int64), np.array(level, np.int64)
-        self.dims = dims
-
-    def search(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id), best first, without rows of the query's id."""
-        lo, hi = np.searchsorted(self.ids, query_id), np.searchsorted(self.ids, query_id, side="right")
-        others = len(self.ids) - (hi - lo)
-        if not others:
-            return []
-        impact = query[self.dim] * self.level
-        order = np.argsort(-impact, kind="stable")
-        score = np.zeros(len(self.ids), np.int64)
-        # What the dropped bits of a component can add or take: level <= value < level + 2 ** SHIFT.
-        slack = np.abs(query).sum() * ((1 << SHIFT) - 1)
-        alive = np.ones(len(self.ids), bool)
-        alive[lo:hi] = False
-        done = np.zeros(len(order), bool)
-        least, most = np.zeros(self.dims, np.int64), np.zeros(self.dims, np.int64)
-        members = None
-        for at in range(0, len(order), BATCH):
-            for s in order[at : at + BATCH]:
-                score[self.segments[s]] += impact[s]
-                done[s] = True
-            left = order[at + BATCH :]
-            if len(left) and at + BATCH < len(order) // 2:
-                continue
-            # A row's missing segments: one at most of each dimension, of the impacts that are left.
-            least[:], most[:] = 0, 0
-            np.minimum.at(least, self.dim[left], impact[left])
-            np.maximum.at(most, self.dim[left], impact[left])
-            low, high = score + least.sum() - slack, score + most.sum() + slack
-            if others <= k:
-                members = np.flatnonzero(alive)
-                break
-            kth = np.partition(low[alive], others - k)[others - k]
-            members = np.flatnonzero(alive & (high >= kth))
-            if len(members) <= max(4 * k, len(self.ids) // 64) or not len(left):
+        self.ids, self.exact = ids[order], vectors[order].astype(np.int64)
+        level = np.abs(self.exact) >> SHIFT
+        # The middle of a level stands for its values; level 0 for none.
+        quantised = np.where(level > 0, np.sign(self.exact) * ((level << SHIFT) + (1 << SHIFT) / 2 - 0.5), 0.0)
+        edges = sorted({int(np.quantile(level, share)) for share in BANDS if level.size} | {0}, reverse=True)
+        self.bands = []
+        above = np.full(level.shape, False)
+        for edge in edges:
+            here = (level >= edge) & ~above
+            above |= here
+            rest = np.where(above, self.exact - quantised, self.exact)
+            self.bands.append((np.where(here, quantised, 0.0).T.copy(), np.sqrt((rest * rest).sum(axis=1))))
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+        """(query id, score, id) of the k best of each query, without rows of the query's own id."""
+        q = queries.astype(float)
+        size = np.sqrt((q * q).sum(axis=1))
+        score = np.zeros((len(q), len(self.ids)))
+        own = self.ids[None, :] == query_ids[:, None]
+        others = len(self.ids) - own.sum(axis=1)
+        out: list[tuple[int, int, int]] = []
+        todo = np.flatnonzero(others > 0)
+        for b, (band, rest) in enumerate(self.bands):
+            score[todo] += q[todo] @ band
+            # |sum of the unprocessed| <= |query| |rest|; a little more for rounding.
+            slack = np.outer(size[todo], rest) * (1 + 1e-9) + 1e-6 * (1 + size[todo, None])
+            low = np.where(own[todo], -np.inf, score[todo] - slack)
+            high = np.where(own[todo], -np.inf, score[todo] + slack)
+            kth = np.partition(low, max(0, low.shape[1] - k), axis=1)[:, max(0, low.shape[1] - k)]
+            possible = (high >= kth[:, None]) & ~own[todo]
+            done = (possible.sum(axis=1) <= np.maximum(4 * k, len(self.ids) // 64)) | (b == len(self.bands) - 1)
+            for t in np.flatnonzero(done).tolist():
+                members = np.flatnonzero(possible[t])
+                exact = self.exact[members] @ queries[todo[t]]
+                best = np.lexsort((members, -exact))[:k]
+                out += [(int(query_ids[todo[t]]), int(exact[x]), int(self.ids[members[x]])) for x in best]
+            todo = todo[~done]
+            if not len(todo):
                 break
-        exact = self.exact[members] @ query
-        best = np.lexsort((members, -exact))[:k]
-        return [(int(exact[i]), int(self.ids[members[i]])) for i in best]
+        return out
 
 
 def scaled(vector: Column) -> Column:
@@ -111,10 +104,12 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 5, query_rows: in
         held = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            for by_length in _indexes(batches):
-                index, dims = by_length
-                out = [(q, score, i) for q, v in held.value if len(v) == dims for score, i in index.search(q, v, k)]
-                yield pd.DataFrame(out, columns=["query_id", "score", "vec_id"]).astype("int64")
+            for index, dims in _indexes(batches):
+                mine = [(q, v) for q, v in held.value if len(v) == dims]
+                for i in range(0, len(mine), QUERIES_AT_ONCE):
+                    part = mine[i : i + QUERIES_AT_ONCE]
+                    out = index.search(np.array([q for q, _ in part], np.int64), np.array([v for _, v in part], np.int64), k)
+                    yield pd.DataFrame(out, columns=["query_id", "score", "vec_id"]).astype("int64")
 
         part = candidates.mapInPandas(run, "query_id long, score long, vec_id long")
         found = part if found is None else found.unionByName(part)
