@@ -1,0 +1 @@
+"""Reading and writing of catalogue files."""
