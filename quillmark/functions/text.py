@@ -47,6 +47,8 @@ NOISE_TOKENS = (
     "supports system that the this tool tools using with"
 ).split()
 EXACT_NAME_TOKENS = 3
+# Fixed value: white space of all scripts.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 TOKEN = "[a-z0-9][a-z0-9+._#-]*"
 EMBEDDING_INPUT_VERSION = 3
 
@@ -55,9 +57,14 @@ def words(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def stripped(text: Column) -> Column:
     """text without white space at its ends, of any script; null where nothing is left."""
-    return F.nullif(F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+", ""), r"(?U)\s+$", ""), F.lit(""))
+    return F.nullif(F.btrim(text, F.lit(WHITE_SPACE)), F.lit(""))
 
 
 def strip_list(values: Column) -> Column:
@@ -92,10 +99,8 @@ def expanded_all(values: Column) -> Column:
 
 def _alias_of(token: Column) -> Column:
     """The language that one token names, or null."""
-    out = F.lit(None).cast("string")
-    for name, aliases in LANGUAGES.items():
-        out = F.when(token.isin([a for a in aliases if " " not in a]), F.lit(name)) if name == "python" else out.when(token.isin([a for a in aliases if " " not in a]), F.lit(name))
-    return out
+    names = {a: n for n, aliases in LANGUAGES.items() for a in aliases if " " not in a}
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), token)
 
 
 def language_prefix(query_tokens: Column) -> Column:
@@ -111,20 +116,22 @@ def query_language(query_tokens: Column) -> Column:
 
 def metadata_language(language: Column) -> Column:
     """The first language, in their fixed order, of the names in a text; null if none."""
-    found = tokens(language)
-    compact, spaced = F.array_join(found, ""), F.array_join(found, " ")
-    cases = []
-    for name, aliases in LANGUAGES.items():
-        single = [a for a in aliases if " " not in a]
-        cases.append(F.when(F.arrays_overlap(found, words(single)) | compact.isin(aliases) | spaced.isin(aliases), F.lit(name)))
-    return F.coalesce(*cases)
+
+
+    def first(found: Column) -> Column:
+        # Aliases that the tokens are, or make when joined, with their languages in order.
+        table = F.array(*(F.struct(F.lit(a).alias("alias"), F.lit(n).alias("name")) for n, aliases in LANGUAGES.items() for a in aliases))
+        said = F.concat(found, F.array(F.array_join(found, ""), F.array_join(found, " ")))
+        return bound(said, lambda x: F.get(F.filter(table, lambda t: F.array_contains(x, t["alias"])), 0)["name"])
+
+    return bound(tokens(language), first)
 
 
 def keywords(query: Column) -> Column:
     """Distinct telling tokens of a query, sorted."""
-    found = tokens(query)
-    skip = F.array_union(words(sorted({*GENERIC_TERMS, *QUERY_JOINERS})), language_prefix(found))
-    return F.array_sort(F.array_distinct(F.filter(found, lambda t: (F.length(t) > 1) & ~F.array_contains(skip, t) & ~t.rlike("^[0-9]+$"))))
+    stop = words(sorted({*GENERIC_TERMS, *QUERY_JOINERS}))
+    telling = lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t) & ~t.rlike("^[0-9]+$")
+    return bound(tokens(query), lambda found: F.array_sort(F.array_except(F.filter(found, telling), language_prefix(found))))
 
 
 def intent_type(query: Column) -> Column:
@@ -156,9 +163,8 @@ def lowered(text: Column) -> Column:
 
 def spelled(text: Column) -> Column:
     """A text's tokens joined in five ways."""
-    found = tokens(F.replace(text, F.lit("/"), F.lit(" ")))
-    joined = F.array(*(F.array_join(found, glue) for glue in (" ", "", "-", "_", ".")))
-    return F.when(F.size(found) > 0, F.array_distinct(joined)).otherwise(F.array().cast("array<string>"))
+    joins = lambda found: F.array_distinct(F.array(*(F.array_join(found, glue) for glue in (" ", "", "-", "_", "."))))
+    return bound(tokens(F.replace(text, F.lit("/"), F.lit(" "))), lambda found: F.when(F.size(found) > 0, joins(found)).otherwise(F.array().cast("array<string>")))
 
 
 def query_variants(query: Column) -> Column:
@@ -228,24 +234,27 @@ def embedding_text(repo_id: Column, name: Column, github: Callable[[str], Column
             listed(profile("use_cases")), listed(profile("capabilities")), listed(profile("search_phrases")),
         )
     )
-    called = F.coalesce(given(repo_id), given(name))
-    every = F.concat(F.array_compact(F.array(called)), content)
-    return F.when(F.size(content) == 0, "").otherwise(F.coalesce(stripped(F.array_join(every, "\n")), F.lit("")))
+    called = F.array_compact(F.array(F.coalesce(given(repo_id), given(name))))
+    lines = lambda c: F.coalesce(stripped(F.array_join(F.concat(called, c), "\n")), F.lit(""))
+    return bound(content, lambda c: F.when(F.size(c) == 0, "").otherwise(lines(c)))
 
 
 def json_string(text: Column) -> Column:
     """text as a JSON string, non-ASCII kept, control escapes in lower-case hex."""
-    encoded = F.substring(F.to_json(F.struct(text.alias("t"))), F.lit(6), F.length(F.to_json(F.struct(text.alias("t")))) - 6)
-    for code in range(32):
-        if code % 16 > 9:
-            encoded = F.replace(encoded, F.lit(f"\\u00{code:02X}"), F.lit(f"\\u00{code:02x}"))
-    return encoded
+
+    def lower_hex(encoded: Column) -> Column:
+        out = encoded
+        for code in (11, 14, 15, *range(26, 32)):
+            out = F.replace(out, F.lit(f"\\u00{code:02X}"), F.lit(f"\\u00{code:02x}"))
+        return F.when(F.contains(encoded, F.lit("\\u00")), out).otherwise(encoded)
+
+    return bound(bound(F.to_json(F.struct(text.alias("t"))), lambda j: F.substring(j, F.lit(6), F.length(j) - 6)), lower_hex)
 
 
 def fingerprint(text: Column, version: int = EMBEDDING_INPUT_VERSION) -> Column:
     """sha256 of an embedding input and its version; null for ''."""
-    payload = F.concat(F.lit(f'{{"embedding_input_version": {version}, "text": '), json_string(text), F.lit("}"))
-    return F.when(text != "", F.sha2(payload, 256))
+    head = F.lit(f'{{"embedding_input_version": {version}, "text": ')
+    return bound(text, lambda t: F.when(t != "", F.sha2(F.concat(head, json_string(t), F.lit("}")), 256)))
 
 
 def readme_excerpt(text: Column, limit: int = 1200) -> Column:
