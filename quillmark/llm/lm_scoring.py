@@ -46,11 +46,12 @@ def lowered(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
-def batches_of(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+def batches_of(texts: pd.Series) -> Iterator[tuple[int, list[bytes]]]:
+    """(place of the first, lowered texts) of CHUNK bytes or a little more at a time."""
     at, size, out = 0, 0, []
     for i, t in enumerate(texts):
-        out.append(t)
-        size += len(t)
+        out.append(lowered(t))
+        size += len(out[-1])
         if size >= CHUNK:
             yield at, out
             at, size, out = i + 1, 0, []
@@ -220,11 +221,11 @@ def counts(docs: DataFrame, text_col: str, depth: int) -> DataFrame:
             return summed(np.concatenate([k for k, _ in held[word]]), np.concatenate([n for _, n in held[word]]))
 
         for pdf in batches:
-            for _, texts in batches_of([lowered(t) for t in pdf["text"]]):
+            for _, texts in batches_of(pdf["text"]):
                 held[False].append(counted(grams_of(texts, depth)[0]))
                 held[True].append(counted(wordhash.words_of(texts, _SPACE)[0]))
                 for word, parts in held.items():
-                    if sum(len(k) for k, _ in parts[1:]) > 3_000_000 + len(parts[0][0]):
+                    if sum(len(k) for k, _ in parts[1:]) > 1_000_000 + len(parts[0][0]):
                         held[word] = [merged(word)]
         for word, parts in held.items():
             if parts:
@@ -283,8 +284,9 @@ class Model:
     def _passes(self, most: int) -> list[list[int]]:
         out: list[list[int]] = [[]]
         size = 0
-        for shard, entries in sorted(self.entries.items()):
-            n = sum(entries)
+        # Shards that training didn't meet are scored in some pass too.
+        for shard in range(self.shards):
+            n = sum(self.entries.setdefault(shard, [0, 0, 0]))
             if size + n > most and out[-1]:
                 out.append([])
                 size = 0
@@ -326,6 +328,8 @@ class Model:
         for row in rows.groupBy("shard").applyInPandas(build, "keys binary, cost binary, node binary, p binary, words binary, n binary").toLocalIterator():
             for c, t in kinds.items():
                 put(c, np.frombuffer(row[c], t))
+        order = np.argsort(out["node"])
+        out["node"], out["p"] = out["node"][order], out["p"][order]
         return out
 
 
@@ -366,13 +370,11 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         def run(batches: Iterator[pd.DataFrame], held=held, mine=mine, first=i == 0) -> Iterator[pd.DataFrame]:
             t = held.value
             if "grams" not in t:  # once in a worker's life with this broadcast
-                order = np.argsort(t["node"])
-                t["node"], t["p"] = t["node"][order], t["p"][order]
                 t["grams"], t["known"] = Table(t["keys"], t["cost"]), Table(t["words"], t["n"])
             grams, words = t["grams"], t["known"]
             ours = mine[context_shard]
             for pdf in batches:
-                for at, texts in batches_of([lowered(x) for x in pdf["text"]]):
+                for at, texts in batches_of(pdf["text"]):
                     key, n = grams_of(texts, depth)
                     doc = np.repeat(np.arange(len(texts)), n)
                     if several:
