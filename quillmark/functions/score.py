@@ -27,8 +27,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 def normalised(a: Column) -> Column:
     """a over its norm; zero vectors stay zero."""
-    n = norm(a)
-    return F.when(n == 0, F.transform(a, lambda x: x.cast("double"))).otherwise(F.transform(a, lambda x: x.cast("double") / n))
+    # The norm is bound in an array, or it would be summed for each component.
+    whole = F.transform(F.array(norm(a)), lambda n: F.when(n == 0, F.transform(a, lambda x: x.cast("double"))).otherwise(F.transform(a, lambda x: x.cast("double") / n)))
+    return F.get(whole, 0)
 
 
 def confidence(score: Column, threshold: float = EXPLORATORY) -> Column:

@@ -92,9 +92,8 @@ def scored_pairs_native(entries: DataFrame, queries: DataFrame) -> DataFrame:
 
 def semantic_of(pairs: DataFrame, entries: DataFrame, queries: DataFrame) -> DataFrame:
     """pairs (qid, repo_id, pos) with their semantic score, for few pairs."""
-    q = queries.select("qid", score.normalised(F.col("vector")).alias("qv"))
-    e = entries.select("repo_id", "pos", score.normalised(F.col("vector")).alias("ev"))
-    return pairs.join(e, ["repo_id", "pos"]).join(q, "qid").groupBy("qid", "repo_id", "pos").agg(F.max(score.dot(F.col("qv"), F.col("ev"))).alias("semantic"))
+    found = pairs.join(entries.select("repo_id", "pos", F.col("vector").alias("ev")), ["repo_id", "pos"]).join(queries.select("qid", F.col("vector").alias("qv")), "qid")
+    return found.groupBy("qid", "repo_id", "pos").agg(F.max(score.cosine(F.col("qv"), F.col("ev"))).alias("semantic"))
 
 
 def candidate_diagnostics(entries: DataFrame, queries: DataFrame, n: int) -> DataFrame:
