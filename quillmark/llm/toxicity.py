@@ -1,14 +1,17 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
 
 The windows are the words of a text, each with its bounding spaces and a fixed
-pad that both dictionaries hold. The ordinary dictionary is trained on ordinary
-texts; the toxic one on the spans of toxic texts of which no byte 5-gram occurs
-in the ordinary sample, with the ordinary dictionary behind it, so that a word
-of ordinary text costs the same under both. A window's distance is the sum,
-over two parsers, of its compressed length under the ordinary dictionary less
-that under the toxic one. A logistic model of a text's largest two distances
-and of its counts of windows beyond two thresholds is calibrated on labelled
-texts that neither dictionary saw.
+pad that both dictionaries hold. Every span of 5 to 10 bytes of such a word is
+weighed by how much oftener it occurs in toxic than in ordinary sample texts: it
+marks toxic text where its share of the words is `RATE` times that in ordinary
+ones and the log-likelihood ratio of the texts that hold it is beyond
+`EVIDENCE`, be it of ordinary syllables or not. The toxic dictionary holds all
+spans of words of toxic texts that marks cover, those of most texts last; the
+ordinary one, which stands before it, is trained on the ordinary texts' words
+that hold no mark. A window's distance is the sum, over two parsers, of its
+compressed length under the ordinary dictionary less that under both. A logistic
+model of a text's largest two distances and of its counts and shares of windows
+beyond thresholds is calibrated on labelled texts that neither dictionary saw.
 
 Labels are learned from at most `SAMPLE` rows of a class for the dictionaries
 and as many for the calibration, the first by hash of the id, of texts of at
@@ -21,6 +24,8 @@ with no labelled rows of a class every score is 0.
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +37,14 @@ from pyspark.sql import functions as F
 from . import common
 
 SAMPLE, LONGEST = 1500, 200_000
-ORDINARY_BYTES, TOXIC_BYTES = 32_768, 2_048
-GRAM = 5
+ORDINARY_BYTES = 32_768
+#: Bytes of a span, least and most.
+SHORTEST_SPAN, LONGEST_SPAN = 5, 10
+#: How much oftener than in ordinary texts a mark occurs, and the least log-likelihood ratio of a mark;
+#: where the sample is too small for any span to have that, those of the largest ratio are the marks.
+RATE, EVIDENCE = 8, 25
+#: Sample texts whose spans are merged at a time.
+MERGED = 64
 #: Held by both dictionaries: keeps a window long enough to be compressed at all.
 PAD = b"|=#0123456789abcdefghijklmnop#=|"
 PARSERS = (zstandard.STRATEGY_LAZY2, zstandard.STRATEGY_BTOPT)
@@ -47,28 +58,105 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").split()
 
 
-def grams(data: bytes) -> np.ndarray:
-    """The byte 5-grams of data as numbers."""
-    a = np.frombuffer(data, np.uint8).astype(np.uint64)
-    n = max(0, len(a) - GRAM + 1)
-    out = np.zeros(n, np.uint64)
-    for j in range(GRAM):
-        out = (out << np.uint64(8)) | a[j : j + n]
+def spans(of: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bytes, hashes, words, places) of the spans of each length: words tells whose they are, places where they start in b" word "."""
+    size = np.fromiter((len(w) + 2 for w in of), np.int64, len(of))
+    data = np.frombuffer(b"".join(b" " + w + b" " for w in of), np.uint8).astype(np.uint64)
+    word = np.repeat(np.arange(len(of)), size)
+    place = np.arange(len(data)) - np.repeat(np.cumsum(size) - size, size)
+    room = size[word] - place
+    hashes = np.zeros(len(data), np.uint64)
+    for length in range(1, LONGEST_SPAN + 1):
+        n = max(0, len(data) - length + 1)
+        hashes = hashes[:n] * np.uint64(0x100000001B3) + data[length - 1 :] + np.uint64(1)
+        if length >= SHORTEST_SPAN:
+            at = np.flatnonzero(room[:n] >= length)
+            yield length, hashes[at] * np.uint64(2 * length + 1), word[at], place[at]
+
+
+def among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which hashes are in the sorted ones."""
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+
+
+def counted(texts: list[list[bytes]], of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted span hashes, texts that hold each, words that do), of all spans or of those among some."""
+    total = tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64))
+    parts = []
+    for i, text in enumerate(texts):
+        times = Counter(text)
+        n = np.fromiter(times.values(), np.int64, len(times))
+        found = [(h, n[w]) for _, h, w, _ in spans(list(times))] if times else []
+        if found:
+            h, n = (np.concatenate(x) for x in zip(*found))
+            if of is not None:
+                known = among(h, of)
+                h, n = h[known], n[known]
+            h, inverse = np.unique(h, return_inverse=True)
+            parts.append((h, np.ones(len(h), np.int64), np.bincount(inverse, n, len(h)).astype(np.int64)))
+        if len(parts) == MERGED or parts and i == len(texts) - 1:
+            h, held, occurring = (np.concatenate(x) for x in zip(total, *parts))
+            h, inverse = np.unique(h, return_inverse=True)
+            total = (h, np.bincount(inverse, held, len(h)).astype(np.int64), np.bincount(inverse, occurring, len(h)).astype(np.int64))
+            parts = []
+    return total
+
+
+def unlike(texts: list[list[bytes]]) -> list[list[bytes]]:
+    """The texts without later near copies: those that agree with an earlier one on a least hash of their runs of three words."""
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for t in texts:
+        runs = np.fromiter((zlib.crc32(b" ".join(t[i : i + 3])) for i in range(max(1, len(t) - 2))), np.uint64)
+        least = {(j, int((runs * np.uint64(m) % np.uint64(4294967291)).min())) for j, m in enumerate((1, 2654435761, 2246822519, 3266489917))}
+        if not least & seen:
+            out.append(t)
+        seen |= least
     return out
 
 
-def novel(data: bytes, ordinary: np.ndarray) -> bytes:
-    """The spans of data covered by 5-grams that aren't among the sorted ordinary ones, joined by spaces."""
-    g = grams(data)
-    if not len(g) or not len(ordinary):
-        return data
-    new = ordinary[np.minimum(np.searchsorted(ordinary, g), len(ordinary) - 1)] != g
-    cover = np.zeros(len(data) + 1, np.int64)
-    at = np.flatnonzero(new)
-    np.add.at(cover, at, 1)
-    np.add.at(cover, at + GRAM, -1)
-    edge = np.flatnonzero(np.diff(np.r_[False, np.cumsum(cover)[:-1] > 0, False]))
-    return b" ".join(data[s:e] for s, e in zip(edge[::2], edge[1::2]))
+def marks(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> np.ndarray:
+    """The sorted hashes of the spans that mark toxic texts; near copies tell no more than one text."""
+    toxic, ordinary = unlike(toxic), unlike(ordinary)
+    n1, n0 = len(toxic), len(ordinary)
+    words1, words0 = (max(1, sum(map(len, t))) for t in (toxic, ordinary))
+
+    def fits(k: np.ndarray, n: int) -> np.ndarray:
+        p = k / n
+        return k * np.log(np.maximum(p, 1e-300)) + (n - k) * np.log(np.maximum(1 - p, 1e-300))
+
+    def ratio_of(held1: np.ndarray, held0: np.ndarray) -> np.ndarray:
+        return 2 * (fits(held1, n1) + fits(held0, n0) - fits(held1 + held0, n1 + n0))
+
+    keys, held1, times1 = counted(toxic)
+    best = ratio_of(held1, np.zeros_like(held1))  # what no ordinary text would make of it
+    often = best >= EVIDENCE
+    if not often.any():
+        often = held1 >= min(2, n1)
+    keys, held1, times1 = keys[often], held1[often], times1[often]
+    there, held, times = counted(ordinary, keys)
+    held0, times0 = np.zeros((2, len(keys)), np.int64)
+    at = np.searchsorted(keys, there)
+    held0[at], times0[at] = held, times
+    ratio = ratio_of(held1, held0)
+    oftener = (held1 * n0 > held0 * n1) & (times1 / words1 >= RATE * (times0 + 0.5) / words0)
+    least = min(EVIDENCE, ratio[oftener].max(initial=0))
+    return keys[oftener & (ratio >= least)]
+
+
+def covered(of: list[bytes], marked: np.ndarray) -> dict[bytes, list[bytes]]:
+    """The words that hold a mark, each with its spans that marks cover."""
+    held: dict[int, np.ndarray] = {}
+    for length, h, word, place in spans(of) if of else ():
+        at = np.flatnonzero(among(h, marked))
+        for w, p in zip(word[at].tolist(), place[at].tolist()):
+            held.setdefault(w, np.zeros(len(of[w]) + 2, bool))[p : p + length] = True
+    out = {}
+    for w, cover in held.items():
+        edge = np.flatnonzero(np.diff(np.r_[False, cover, False]))
+        data = b" " + of[w] + b" "
+        out[of[w]] = [data[s:e] for s, e in zip(edge[::2], edge[1::2])]
+    return out
 
 
 def trained(samples: list[bytes], size: int, k: int) -> bytes:
@@ -80,19 +168,32 @@ def trained(samples: list[bytes], size: int, k: int) -> bytes:
         return b" ".join(dict.fromkeys(samples))[-size:]
 
 
+def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
+    """The contents of the ordinary and of the toxic dictionary, from the words of sample texts."""
+    marked = marks(toxic, ordinary)
+    found = covered(list(set().union(*toxic)), marked)
+    texts = Counter(span for t in toxic for span in {s for w in set(t) for s in found.get(w, ())})
+    bare = covered(list(set().union(*ordinary)), marked).keys()
+    clean = [b" " + b" ".join(w for w in t if w not in bare) + b" " for t in ordinary]
+    base = trained([t[i : i + 400] for t in clean for i in range(0, len(t), 400)], ORDINARY_BYTES, 64)
+    return base, b"".join(sorted(texts, key=lambda span: (texts[span], span)))
+
+
 class Distance:
     """The compression distance of words; built again from its bytes in each worker."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.known: dict[bytes, int] = {}
-        self.pairs = [(self._compressor(ordinary + PAD, s), self._compressor(toxic + ordinary + PAD, s)) for s in PARSERS]
+        # Filler keeps the ordinary text at the same distance, and the pad apart, which would cost other lengths otherwise.
+        self.pairs = [(self._compressor(ordinary + bytes(len(toxic) + 1) + PAD, s), self._compressor(ordinary + toxic + bytes(1) + PAD, s)) for s in PARSERS]
 
     @staticmethod
     def _compressor(content: bytes, strategy: int) -> zstandard.ZstdCompressor:
         content = content.ljust(64)
+        log = len(content).bit_length()
         held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         params = zstandard.ZstdCompressionParameters.from_level(
-            5, source_size=64, dict_size=len(content), window_log=17, hash_log=16, chain_log=16, min_match=5, strategy=strategy, write_content_size=0, write_checksum=0, write_dict_id=0
+            5, source_size=64, dict_size=len(content), window_log=max(17, log + 1), hash_log=max(16, log), chain_log=max(16, log), min_match=6, strategy=strategy, write_content_size=0, write_checksum=0, write_dict_id=0
         )
         held.precompute_compress(compression_params=params)
         return zstandard.ZstdCompressor(dict_data=held, compression_params=params)
@@ -109,22 +210,32 @@ class Distance:
 
 
 def features(distances: np.ndarray) -> list[float]:
-    """Of a text's windows: 1, the two largest distances and how many are beyond each threshold, damped."""
+    """Of a text's windows: 1, the two largest distances, how many are beyond each threshold and what share is, damped."""
     top = np.sort(np.partition(distances, -2)[-2:])[::-1] if len(distances) > 1 else np.r_[distances, 0][:2]
     top = np.r_[top, 0, 0][:2].clip(0)
-    return [1.0, float(top[0]), float(top[1]), float(np.log1p((distances >= MILD).sum())), float(np.log1p((distances >= STRONG).sum()))]
+    counts = [float(np.log1p((distances >= least).sum())) for least in (MILD, STRONG)]
+    shares = [float(np.log1p(100 * (distances >= least).sum() / max(1, len(distances)))) for least in (1, MILD, STRONG)]
+    return [1.0, float(top[0]), float(top[1]), *counts, *shares]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 60) -> np.ndarray:
-    """The weights of a ridge logistic regression, by Newton's method."""
+    """The weights of a ridge logistic regression, by Newton's method with steps halved until they descend."""
     w = np.zeros(x.shape[1])
     keep = np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + w @ keep @ w / 2)
+
+    now = loss(w)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + keep + 1e-9 * np.eye(len(w)), x.T @ (y - p) - keep @ w)
-        w += np.clip(step, -5, 5)
+        while (then := loss(w + step)) > now and np.abs(step).max() >= 1e-8:
+            step /= 2
         if np.abs(step).max() < 1e-8:
             break
+        w, now = w + step, then
     return w
 
 
@@ -145,10 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not got[0] or not got[1]:
         return None
     half = {y: max(1, len(t) // 2) for y, t in got.items()}
-    ordinary = [b" " + b" ".join(words(t)) + b" " for t in got[0][: half[0]]]
-    known = np.unique(np.concatenate([grams(t) for t in ordinary]))
-    base = trained([t[i : i + 400] for t in ordinary for i in range(0, len(t), 400)], ORDINARY_BYTES, 64)
-    toxic = trained([novel(b" " + b" ".join(words(t)) + b" ", known) for t in got[1][: half[1]]], TOXIC_BYTES, 16)
+    base, toxic = dictionaries([words(t) for t in got[1][: half[1]]], [words(t) for t in got[0][: half[0]]])
     distance = Distance(base, toxic)
     rest = [(t, y) for y in (0, 1) for t in (got[y][half[y] :] or got[y])]
     x = np.array([features(distance.of(words(t))) for t, _ in rest])
