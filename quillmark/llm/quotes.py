@@ -2,9 +2,9 @@
 
 A line's quote level is the number of > before its text. A passage is a run of
 lines of one level, none blank, with white space collapsed and letters lowered.
-Quoted passages are matched by hash with the unquoted passages, and single
-unquoted lines, of earlier turns of their conversation; the latest such turn is
-the one they quote. A message answers the turn of its shallowest linked
+Quoted passages are matched by hash with the unquoted passages, and runs of as
+many unquoted lines (single ones always) within a passage, of earlier turns of
+their conversation; the latest such turn is the one they quote. A message answers the turn of its shallowest linked
 passage, the latest of these. Threads are ordered by their first turn, messages
 in a thread by turn, so that every message follows the one that it answers.
 
@@ -41,17 +41,24 @@ def normal(text: Column) -> Column:
 
 
 def passages_of(lines: Column) -> Column:
-    """array<struct<level, hash>> of the runs of lines of one level, blank ones left out."""
+    """array<struct<level, hash, count>> of the runs of lines of one level, blank ones left out."""
     n = F.size(lines)
     at = lambda i: F.get(lines, i)
     starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (at(i)["level"] >= 0) & ((i == 0) | (at(i)["level"] != F.coalesce(at(i - 1)["level"], F.lit(-2)))))
     ends = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (at(i)["level"] >= 0) & ((i == n - 1) | (at(i)["level"] != F.coalesce(at(i + 1)["level"], F.lit(-2)))))
     return F.transform(
         F.arrays_zip(starts.alias("s"), ends.alias("e")),
-        lambda r: F.struct(at(r["s"])["level"].alias("level"), normal(F.array_join(F.transform(F.slice(lines, r["s"] + 1, r["e"] - r["s"] + 1), lambda x: x["body"]), " ")).alias("hash")),
+        lambda r: F.struct(at(r["s"])["level"].alias("level"), normal(F.array_join(F.transform(F.slice(lines, r["s"] + 1, r["e"] - r["s"] + 1), lambda x: x["body"]), " ")).alias("hash"), (r["e"] - r["s"] + 1).alias("count")),
     )
 
 
+def runs_of(lines: Column, count: Column) -> Column:
+    """array<struct<level, hash>> of all runs of count unquoted lines without a blank one between them; count is at most the number of lines."""
+    runs = F.transform(F.sequence(F.lit(1), F.size(lines) - count + 1), lambda i: F.slice(lines, i, count))
+    runs = F.filter(runs, lambda run: F.forall(run, lambda x: x["level"] == 0))
+    return F.transform(runs, lambda run: F.struct(F.lit(0).alias("level"), normal(F.array_join(F.transform(run, lambda x: x["body"]), " ")).alias("hash")))
+
+
 def unquoted(text: Column) -> Column:
     """text without its quoted lines; as it is where it has none."""
     lines = F.split(text, "\r\n|\n|\r")
@@ -61,10 +68,21 @@ def unquoted(text: Column) -> Column:
 
 def linked(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """(conv, turn, level, hash, quoted): every quoted passage with the turn that it quotes, or null."""
-    rows = messages.where(F.col(conv).isNotNull() & F.col(turn).isNotNull()).select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), lines_of(F.col(text)).alias("lines"))
+    def rows_of(some: DataFrame) -> DataFrame:
+        known = some.where(F.col(conv).isNotNull() & F.col(turn).isNotNull())
+        return known.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), lines_of(F.col(text)).alias("lines"))
+
+    rows = rows_of(messages)
     parts = rows.select("conv", "turn", passages_of(F.col("lines")).alias("passages"), "lines")
     single = F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: F.struct(F.lit(0).alias("level"), normal(x["body"]).alias("hash")))
-    parts = parts.select("conv", "turn", F.explode(F.array_distinct(F.concat("passages", single))).alias("p")).select("conv", "turn", "p.level", "p.hash")
+    whole = F.transform("passages", lambda p: F.struct(p["level"].alias("level"), p["hash"].alias("hash")))
+    parts = parts.select("conv", "turn", F.explode(F.array_distinct(F.concat(whole, single))).alias("p")).select("conv", "turn", "p.level", "p.hash")
+    # Runs of several lines are offered in the lengths that quotes of their conversation have.
+    quoting = rows_of(messages.where(F.col(text).rlike(r"(?m)^[ \t]*>")))
+    lengths = quoting.select("conv", F.explode(passages_of(F.col("lines"))).alias("p")).where("p.level > 0 and p.count > 1").select("conv", F.col("p.count").alias("count")).distinct()
+    runs = rows.join(lengths, "conv").where(F.size("lines") >= F.col("count"))
+    runs = runs.select("conv", "turn", F.explode(F.array_distinct(runs_of(F.col("lines"), F.col("count")))).alias("p"))
+    parts = parts.union(runs.select("conv", "turn", "p.level", "p.hash"))
     offer = F.when(F.col("level") == 0, F.struct("turn"))
     out = asof.latest_earlier(parts, ["conv", "hash"], "turn", offer, F.col("level") > 0, "found")
     return out.select("conv", "turn", "level", "hash", F.col("found.turn").alias("quoted"))
