@@ -1,25 +1,35 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
 
-The windows are the words of a text, each with its bounding spaces and a fixed
-pad that both dictionaries hold. Every span of 5 to 10 bytes of such a word is
-weighed by how much oftener it occurs in toxic than in ordinary sample texts: it
-marks toxic text where its share of the words is `RATE` times that in ordinary
-ones and the log-likelihood ratio of the texts that hold it is beyond
-`EVIDENCE`, be it of ordinary syllables or not. The toxic dictionary holds all
-spans of words of toxic texts that marks cover, those of most texts last; the
-ordinary one, which stands before it, is trained on the ordinary texts' words
-that hold no mark. A window's distance is the sum, over two parsers, of its
-compressed length under the ordinary dictionary less that under both. A logistic
-model of a text's largest two distances and of its counts and shares of windows
-beyond thresholds is calibrated on labelled texts that neither dictionary saw.
-
-Labels are learned from at most `SAMPLE` rows of a class for the dictionaries
-and as many for the calibration, the first by hash of the id, of texts of at
-most `LONGEST` characters: a bounded sample. All texts are scored whole.
+The windows are the words of the lower-cased text, each with its bounding spaces
+and a fixed pad that both dictionaries hold. (In windows of several words the
+parser's choices among ordinary matches move lengths by more than a toxic word
+does; README has figures.) A window's distance is the sum, over two parsers, of
+its compressed length under a dictionary of ordinary text less that under a
+dictionary that holds toxic text as well. There is a pair of dictionaries for
+each cluster of texts of alike letters (a language, mostly), and one for texts
+of clusters with too few toxic samples; clusters are learned from the texts, by
+spherical k-means of the letters' counts.
+
+The toxic dictionary holds what marks toxic texts of its cluster: of the spans
+of 5 to 10 bytes within a word (its bounding spaces included) those that one,
+two or three words of a text hold `RATE` times as often in toxic as in ordinary
+texts, with a log-likelihood ratio of `EVIDENCE` or more, be they of ordinary
+syllables or not. It holds whole covered stretches of words, those of most texts
+last. The ordinary one is trained by zstandard on ordinary texts and has no word
+with a mark.
+
+A logistic model of a text's largest distances, and of its counts and shares of
+windows beyond thresholds, is calibrated across `FOLDS` folds: each text is
+scored with dictionaries that didn't see it. Clusters share its weights and
+deviate from them as far as their own samples say.
+
+Labels are learned from at most `SAMPLE` rows of a class, the first by hash of
+the id, and from `SAMPLE_CHARS` characters of a text, at a place by hash of the
+id: a bounded sample. All texts are scored whole.
 
 Defined results: null and empty texts have no window and get the score of a
 text without distance; rows labelled twice count as toxic if one label does;
-with no labelled rows of a class every score is 0.
+with no labelled rows of a class every score is 0; a very long word is one window.
 """
 
 from __future__ import annotations
@@ -27,6 +37,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -36,22 +47,28 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE, LONGEST = 1500, 200_000
+SAMPLE, SAMPLE_CHARS = 1500, 8_000
+#: Held by both dictionaries: keeps a window long enough to be compressed at all.
+PAD = b"|=#0123456789abcdefghijklmnop#=|"
+PARSERS = (zstandard.STRATEGY_LAZY2, zstandard.STRATEGY_BTOPT)
 ORDINARY_BYTES = 32_768
 #: Bytes of a span, least and most.
 SHORTEST_SPAN, LONGEST_SPAN = 5, 10
 #: How much oftener than in ordinary texts a mark occurs, and the least log-likelihood ratio of a mark;
 #: where the sample is too small for any span to have that, those of the largest ratio are the marks.
-RATE, EVIDENCE = 8, 25
+RATE, EVIDENCE = 8, 30
+#: Numbers of a text's words that hold a span, each of which is tested.
+TIMES = (1, 2, 3)
 #: Sample texts whose spans are merged at a time.
 MERGED = 64
-#: Held by both dictionaries: keeps a window long enough to be compressed at all.
-PAD = b"|=#0123456789abcdefghijklmnop#=|"
-PARSERS = (zstandard.STRATEGY_LAZY2, zstandard.STRATEGY_BTOPT)
-#: Thresholds of a window's distance, in bytes over both parsers.
-MILD, STRONG = 3, 5
-#: Distances that a worker keeps by word; it forgets all of them beyond that.
-WORDS_KEPT = 300_000
+FOLDS = 3
+#: Clusters at most; texts nearer to a centre than APART need no further one; toxic samples that a cluster of its own needs.
+CLUSTERS, APART, LEAST_TOXIC = 8, 0.93, 12
+#: Thresholds of a window's distance, in bytes.
+BEYOND = (2, 3, 5)
+#: Words whose distances a worker keeps of each pair; it forgets all of them beyond that.
+WORDS_KEPT = 60_000
+_LETTERS = np.array([b for b in range(256) if b >= 128 or 97 <= b <= 122])
 
 
 def words(text: str | None) -> list[bytes]:
@@ -79,108 +96,136 @@ def among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
 
 
-def counted(texts: list[list[bytes]], of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted span hashes, texts that hold each, words that do), of all spans or of those among some."""
-    total = tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64))
-    parts = []
-    for i, text in enumerate(texts):
-        times = Counter(text)
-        n = np.fromiter(times.values(), np.int64, len(times))
-        found = [(h, n[w]) for _, h, w, _ in spans(list(times))] if times else []
-        if found:
-            h, n = (np.concatenate(x) for x in zip(*found))
-            if of is not None:
-                known = among(h, of)
-                h, n = h[known], n[known]
-            h, inverse = np.unique(h, return_inverse=True)
-            parts.append((h, np.ones(len(h), np.int64), np.bincount(inverse, n, len(h)).astype(np.int64)))
-        if len(parts) == MERGED or parts and i == len(texts) - 1:
-            h, held, occurring = (np.concatenate(x) for x in zip(total, *parts))
-            h, inverse = np.unique(h, return_inverse=True)
-            total = (h, np.bincount(inverse, held, len(h)).astype(np.int64), np.bincount(inverse, occurring, len(h)).astype(np.int64))
-            parts = []
-    return total
-
-
-def unlike(texts: list[list[bytes]]) -> list[list[bytes]]:
-    """The texts without later near copies: those that agree with an earlier one on a least hash of their runs of three words."""
+def held(text: list[bytes], of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted span hashes of a text, for each of TIMES whether so many of its distinct words hold it), of all spans or of those among some."""
+    distinct = sorted(set(text))
+    found = [h for _, h, _, _ in spans(distinct)] if distinct else [np.zeros(0, np.uint64)]
+    h = np.concatenate(found)
+    if of is not None:
+        h = h[among(h, of)]
+    h, n = np.unique(h, return_counts=True)
+    return h, (n[:, None] >= np.array(TIMES)).astype(np.int64)
+
+
+def counted(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted span hashes, texts that hold each as often as each of TIMES)."""
+    keys, total = np.zeros(0, np.uint64), np.zeros((0, len(TIMES)), np.int64)
+    for i in range(0, len(texts), MERGED):
+        parts = [(keys, total), *(held(t) for t in texts[i : i + MERGED])]
+        keys, inverse = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+        n = np.concatenate([n for _, n in parts])
+        total = np.stack([np.bincount(inverse, n[:, j], len(keys)) for j in range(len(TIMES))], axis=1).astype(np.int64)
+    return keys, total
+
+
+def unlike(texts: list[list[bytes]]) -> np.ndarray:
+    """Which texts aren't near copies of earlier ones: those that agree with none on a least hash of their runs of three words."""
     seen: set[tuple[int, int]] = set()
-    out = []
-    for t in texts:
+    out = np.zeros(len(texts), bool)
+    for at, t in enumerate(texts):
         runs = np.fromiter((zlib.crc32(b" ".join(t[i : i + 3])) for i in range(max(1, len(t) - 2))), np.uint64)
         least = {(j, int((runs * np.uint64(m) % np.uint64(4294967291)).min())) for j, m in enumerate((1, 2654435761, 2246822519, 3266489917))}
-        if not least & seen:
-            out.append(t)
+        out[at] = not least & seen
         seen |= least
     return out
 
 
-def marks(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> np.ndarray:
-    """The sorted hashes of the spans that mark toxic texts; near copies tell no more than one text."""
-    toxic, ordinary = unlike(toxic), unlike(ordinary)
-    n1, n0 = len(toxic), len(ordinary)
-    words1, words0 = (max(1, sum(map(len, t))) for t in (toxic, ordinary))
+def ratio_of(k1: np.ndarray, k0: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Log-likelihood ratio of shares k1 / n1 and k0 / n0 against one common share."""
 
     def fits(k: np.ndarray, n: int) -> np.ndarray:
         p = k / n
         return k * np.log(np.maximum(p, 1e-300)) + (n - k) * np.log(np.maximum(1 - p, 1e-300))
 
-    def ratio_of(held1: np.ndarray, held0: np.ndarray) -> np.ndarray:
-        return 2 * (fits(held1, n1) + fits(held0, n0) - fits(held1 + held0, n1 + n0))
-
-    keys, held1, times1 = counted(toxic)
-    best = ratio_of(held1, np.zeros_like(held1))  # what no ordinary text would make of it
-    often = best >= EVIDENCE
-    if not often.any():
-        often = held1 >= min(2, n1)
-    keys, held1, times1 = keys[often], held1[often], times1[often]
-    there, held, times = counted(ordinary, keys)
-    held0, times0 = np.zeros((2, len(keys)), np.int64)
-    at = np.searchsorted(keys, there)
-    held0[at], times0[at] = held, times
-    ratio = ratio_of(held1, held0)
-    oftener = (held1 * n0 > held0 * n1) & (times1 / words1 >= RATE * (times0 + 0.5) / words0)
-    least = min(EVIDENCE, ratio[oftener].max(initial=0))
-    return keys[oftener & (ratio >= least)]
+    return 2 * (fits(k1, n1) + fits(k0, n0) - fits(k1 + k0, n1 + n0))
+
+
+def letters(text: list[bytes]) -> np.ndarray:
+    """The direction of the roots of a text's letter counts; 0 without letters."""
+    x = np.sqrt(np.bincount(np.frombuffer(b"".join(text), np.uint8), minlength=256)[_LETTERS].astype(float))
+    return x / (np.linalg.norm(x) or 1.0)
+
+
+def centres(x: np.ndarray) -> np.ndarray:
+    """Centres of clusters of directions: each next one amid the tenth farthest from the others, then spherical k-means."""
+    c = x.sum(axis=0, keepdims=True)
+    while True:
+        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+        near = (x @ c.T).max(axis=1)
+        far = x[np.argsort(near, kind="stable")[: max(3, len(x) // 10)]]
+        if len(c) == CLUSTERS or len(x) < 3 or near.mean() > APART and (far @ c.T).max(axis=1).mean() > APART:
+            return c
+        c = np.vstack([c, far[(far @ far.T).sum(axis=1).argmax()]])
+        for _ in range(10):
+            mine = (x @ c.T).argmax(axis=1)
+            c = np.stack([x[mine == i].sum(axis=0) if (mine == i).any() else c[i] for i in range(len(c))])
+            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
 
 
 def covered(of: list[bytes], marked: np.ndarray) -> dict[bytes, list[bytes]]:
     """The words that hold a mark, each with its spans that marks cover."""
-    held: dict[int, np.ndarray] = {}
+    cover: dict[int, np.ndarray] = {}
     for length, h, word, place in spans(of) if of else ():
         at = np.flatnonzero(among(h, marked))
         for w, p in zip(word[at].tolist(), place[at].tolist()):
-            held.setdefault(w, np.zeros(len(of[w]) + 2, bool))[p : p + length] = True
+            cover.setdefault(w, np.zeros(len(of[w]) + 2, bool))[p : p + length] = True
     out = {}
-    for w, cover in held.items():
-        edge = np.flatnonzero(np.diff(np.r_[False, cover, False]))
+    for w, part in cover.items():
+        edge = np.flatnonzero(np.diff(np.r_[False, part, False]))
         data = b" " + of[w] + b" "
         out[of[w]] = [data[s:e] for s, e in zip(edge[::2], edge[1::2])]
     return out
 
 
-def trained(samples: list[bytes], size: int, k: int) -> bytes:
+def trained(samples: list[bytes], size: int) -> bytes:
     """The content of a dictionary trained on samples; all of the samples where they are too few to train on."""
     samples = [s.ljust(8) for s in samples if s.strip()]
     try:
-        return zstandard.train_dictionary(size, samples, k=k, d=6).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=64, d=6).as_bytes()
     except zstandard.ZstdError:
         return b" ".join(dict.fromkeys(samples))[-size:]
 
 
-def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
-    """The contents of the ordinary and of the toxic dictionary, from the words of sample texts."""
-    marked = marks(toxic, ordinary)
-    found = covered(list(set().union(*toxic)), marked)
-    texts = Counter(span for t in toxic for span in {s for w in set(t) for s in found.get(w, ())})
-    bare = covered(list(set().union(*ordinary)), marked).keys()
-    clean = [b" " + b" ".join(w for w in t if w not in bare) + b" " for t in ordinary]
-    base = trained([t[i : i + 400] for t in clean for i in range(0, len(t), 400)], ORDINARY_BYTES, 64)
-    return base, b"".join(sorted(texts, key=lambda span: (texts[span], span)))
+class Learner:
+    """Sample texts of a cluster, and the dictionaries that some of them make."""
+
+    def __init__(self, toxic: list[list[bytes]], ordinary: list[list[bytes]]):
+        self.toxic, self.ordinary = toxic, ordinary
+        self.texts = toxic + ordinary
+        self.y = np.arange(len(self.texts)) < len(toxic)
+        # Near copies tell no more than one text.
+        self.new = np.concatenate([unlike(toxic), unlike(ordinary)])
+        keys, n = counted([t for t, new in zip(toxic, self.new) if new])
+        n1, n0 = (int((self.new & (self.y == y)).sum()) for y in (True, False))
+        best = ratio_of(n, np.zeros_like(n), n1, max(1, n0)).max(axis=1)  # what no ordinary text would make of it
+        often = best >= min(EVIDENCE, best.max(initial=0))
+        self.keys = keys[often]
+        self.held = [held(t, self.keys) if new else None for t, new in zip(self.texts, self.new)]
+
+    def marks(self, used: np.ndarray) -> np.ndarray:
+        """The sorted hashes of the spans that mark the toxic ones of the used texts."""
+        n = np.zeros((2, len(self.keys), len(TIMES)), np.int64)
+        for i in np.flatnonzero(used & self.new):
+            h, times = self.held[i]
+            n[int(self.y[i]), np.searchsorted(self.keys, h)] += times
+        n1, n0 = (max(1, int((used & self.new & (self.y == y)).sum())) for y in (True, False))
+        ratio = np.where(n[1] * n0 >= RATE * (n[0] + 0.5) * n1, ratio_of(n[1], n[0], n1, n0), 0).max(axis=1, initial=0)
+        return self.keys[(ratio > 0) & (ratio >= min(EVIDENCE, ratio.max(initial=0)))]
+
+    def dictionaries(self, used: np.ndarray) -> tuple[bytes, bytes]:
+        """The contents of the ordinary and of the toxic dictionary, from the used texts."""
+        marked = self.marks(used)
+        toxic = [t for t, u in zip(self.toxic, used) if u]
+        found = covered(sorted(set().union(*toxic)), marked)
+        texts = Counter(span for t in toxic for span in {s for w in set(t) for s in found.get(w, ())})
+        ordinary = [t for t, u in zip(self.ordinary, used[len(self.toxic) :]) if u]
+        plain = trained([b" ".join(t[i : i + 80]) for t in ordinary for i in range(0, len(t), 80)], ORDINARY_BYTES).split(b" ")
+        bare = covered(sorted(set(plain)), marked)
+        return b" ".join(w for w in plain if w not in bare), b"".join(sorted(texts, key=lambda span: (texts[span], span)))
 
 
 class Distance:
-    """The compression distance of words; built again from its bytes in each worker."""
+    """The compression distance of words; made in each worker from the dictionaries' contents."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.known: dict[bytes, int] = {}
@@ -191,12 +236,12 @@ class Distance:
     def _compressor(content: bytes, strategy: int) -> zstandard.ZstdCompressor:
         content = content.ljust(64)
         log = len(content).bit_length()
-        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         params = zstandard.ZstdCompressionParameters.from_level(
-            5, source_size=64, dict_size=len(content), window_log=max(17, log + 1), hash_log=max(16, log), chain_log=max(16, log), min_match=6, strategy=strategy, write_content_size=0, write_checksum=0, write_dict_id=0
+            5, source_size=64, dict_size=len(content), window_log=max(17, log + 1), hash_log=max(16, log), chain_log=max(16, log), min_match=5, strategy=strategy, write_content_size=0, write_checksum=0, write_dict_id=0
         )
-        held.precompute_compress(compression_params=params)
-        return zstandard.ZstdCompressor(dict_data=held, compression_params=params)
+        dictionary.precompute_compress(compression_params=params)
+        return zstandard.ZstdCompressor(dict_data=dictionary, compression_params=params)
 
     def of(self, text_words: list[bytes]) -> np.ndarray:
         known = self.known
@@ -210,27 +255,28 @@ class Distance:
 
 
 def features(distances: np.ndarray) -> list[float]:
-    """Of a text's windows: 1, the two largest distances, how many are beyond each threshold and what share is, damped."""
-    top = np.sort(np.partition(distances, -2)[-2:])[::-1] if len(distances) > 1 else np.r_[distances, 0][:2]
-    top = np.r_[top, 0, 0][:2].clip(0)
-    counts = [float(np.log1p((distances >= least).sum())) for least in (MILD, STRONG)]
-    shares = [float(np.log1p(100 * (distances >= least).sum() / max(1, len(distances)))) for least in (1, MILD, STRONG)]
-    return [1.0, float(top[0]), float(top[1]), *counts, *shares]
+    """Of a text's windows: 1, the three largest distances, how many are beyond each threshold and what share is, damped."""
+    top = np.r_[np.sort(np.partition(distances, -3)[-3:])[::-1] if len(distances) > 3 else np.sort(distances)[::-1], 0, 0, 0][:3].clip(0)
+    beyond = [int((distances >= least).sum()) for least in BEYOND]
+    return [1.0, *map(float, top), *(float(np.log1p(n)) for n in beyond), *(float(np.log1p(100 * n / max(1, len(distances)))) for n in beyond)]
+
 
+FEATURES = 4 + 2 * len(BEYOND)
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 60) -> np.ndarray:
-    """The weights of a ridge logistic regression, by Newton's method with steps halved until they descend."""
+
+def logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray, ridge: np.ndarray, steps: int = 60) -> np.ndarray:
+    """The weights of a ridge logistic regression of rows that count `times` each, by Newton's method with steps halved until they descend."""
     w = np.zeros(x.shape[1])
-    keep = np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
+    keep = np.diag(ridge)
 
     def loss(w: np.ndarray) -> float:
         z = x @ w
-        return float((np.logaddexp(0, z) - y * z).sum() + w @ keep @ w / 2)
+        return float((times * (np.logaddexp(0, z) - y * z)).sum() + w @ keep @ w / 2)
 
     now = loss(w)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + keep + 1e-9 * np.eye(len(w)), x.T @ (y - p) - keep @ w)
+        step = np.linalg.solve((x * (times * p * (1 - p))[:, None]).T @ x + keep + 1e-9 * np.eye(len(w)), x.T @ (times * (y - p)) - keep @ w)
         while (then := loss(w + step)) > now and np.abs(step).max() >= 1e-8:
             step /= 2
         if np.abs(step).max() < 1e-8:
@@ -239,41 +285,95 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 60)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held: int = 5, sample: int = SAMPLE) -> tuple[bytes, bytes, np.ndarray] | None:
-    """(ordinary dictionary, toxic dictionary, weights) from labelled rows that aren't held out; None without both classes."""
+@dataclass
+class Model:
+    """Clusters' centres, the pair of each (the last pair being that of all texts), and each pair's weights."""
+
+    centres: np.ndarray
+    pair_of: list[int]
+    pairs: list[tuple[bytes, bytes]]
+    weights: np.ndarray
+
+    def scorer(self) -> Scorer:
+        return Scorer(self)
+
+
+class Scorer:
+    def __init__(self, model: Model):
+        self.model = model
+        self.distances = [Distance(*pair) for pair in model.pairs]
+
+    def scores(self, texts: pd.Series) -> np.ndarray:
+        """The probability that each text is toxic."""
+        m = self.model
+        z = np.zeros(len(texts))
+        for i, t in enumerate(texts):
+            w = words(t)
+            pair = m.pair_of[int((m.centres @ letters(w)).argmax())]
+            z[i] = m.weights[pair] @ features(self.distances[pair].of(w))
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def learned(toxic: list[str], ordinary: list[str], times: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """The model of sample texts of both classes, each of which stands for `times` labelled ones of its class."""
+    samples = [[words(t) for t in toxic], [words(t) for t in ordinary]]
+    x = [np.array([letters(w) for w in ws]) for ws in samples]
+    c = centres(np.concatenate(x))
+    mine = [(part @ c.T).argmax(axis=1) for part in x]
+    own = [i for i in range(len(c)) if (mine[0] == i).sum() >= LEAST_TOXIC and (mine[1] == i).sum() >= LEAST_TOXIC]
+    pair_of = [own.index(i) if i in own else len(own) for i in range(len(c))]
+    pairs, rows, labels, pair = [], [], [], []
+    for p in range(len(own) + 1):
+        here = [np.ones(len(m), bool) if p == len(own) else m == own[p] for m in mine]
+        learner = Learner(*([w for w, h in zip(ws, hs) if h] for ws, hs in zip(samples, here)))
+        fold = np.concatenate([np.arange(int(h.sum())) % FOLDS for h in here])
+        # Texts calibrate the pair that scores them.
+        scored = np.concatenate([np.array([pair_of[i] for i in m[h]], int) == p for m, h in zip(mine, here)])
+        for f in range(FOLDS):
+            at = np.flatnonzero((fold == f) & scored)
+            if len(at):
+                distance = Distance(*learner.dictionaries(fold != f))
+                rows += [features(distance.of(learner.texts[i])) for i in at]
+                labels += learner.y[at].tolist()
+                pair += [p] * len(at)
+        pairs.append(learner.dictionaries(np.ones(len(learner.texts), bool)))
+    rows, pair = np.array(rows), np.array(pair)
+    own_rows = [rows * (pair == p)[:, None] for p in range(len(pairs))]
+    ridge = np.r_[1e-6, np.full(FEATURES - 1, 0.3), np.full(FEATURES * len(pairs), 1.0)]
+    y = np.array(labels, float)
+    w = logistic(np.hstack([rows, *own_rows]), y, np.where(y > 0, *times), ridge).reshape(-1, FEATURES)
+    return Model(c, pair_of, pairs, w[0] + w[1:])
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held: int = 5, sample: int = SAMPLE) -> Model | None:
+    """The model of labelled rows that aren't held out; None without both classes."""
     doc = F.col(id_col).cast("long").alias("doc")
     label = labels.select(doc, F.col(label_col).alias("y")).where("doc is not null and y in (0, 1)").groupBy("doc").agg(F.max("y").alias("y"))
     label = label.where(common.remainder("doc", held) != 0)
     chosen = None
     for y in (0, 1):
-        part = label.where(F.col("y") == y).orderBy(F.xxhash64("doc"), "doc").limit(3 * sample)
+        part = label.where(F.col("y") == y).orderBy(F.xxhash64("doc"), "doc").limit(2 * sample)
         chosen = part if chosen is None else chosen.union(part)
-    text = docs.select(doc, F.col(text_col).alias("text")).where(F.length("text") <= LONGEST)
-    rows = text.join(F.broadcast(chosen), "doc").select("doc", "y", "text", F.xxhash64("doc").alias("h"))
-    got: dict[int, list[str]] = {}
-    for y in (0, 1):
-        got[y] = [r["text"] for r in rows.where(F.col("y") == y).orderBy("h", "doc", "text").limit(2 * sample).select("text").toLocalIterator()]
+    room = F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)
+    text = F.substring(F.col("text"), (F.pmod(F.xxhash64("doc", F.lit(2)), room) + 1).cast("int"), F.lit(SAMPLE_CHARS))
+    rows = docs.select(doc, F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc").select("y", text.alias("text"), F.xxhash64("doc").alias("h"), "doc")
+    got = {y: [r["text"] or "" for r in rows.where(F.col("y") == y).orderBy("h", "doc", "text").limit(sample).select("text").collect()] for y in (0, 1)}
     if not got[0] or not got[1]:
         return None
-    half = {y: max(1, len(t) // 2) for y, t in got.items()}
-    base, toxic = dictionaries([words(t) for t in got[1][: half[1]]], [words(t) for t in got[0][: half[0]]])
-    distance = Distance(base, toxic)
-    rest = [(t, y) for y in (0, 1) for t in (got[y][half[y] :] or got[y])]
-    x = np.array([features(distance.of(words(t))) for t, _ in rest])
-    return base, toxic, logistic(x, np.array([y for _, y in rest], float))
+    # Both classes count as often as they are labelled, not as they are sampled.
+    n = {r["y"]: r["n"] for r in label.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    return learned(got[1], got[0], tuple(max(1.0, n[y] / len(got[y])) for y in (1, 0)))
 
 
-def score(text: Column | str, model: tuple[bytes, bytes, np.ndarray] | None) -> Column:
+def score(text: Column | str, model: Model | None) -> Column:
     """The probability that a text is toxic, in (0, 1)."""
     if model is None:
         return F.lit(0.0)
-    base, toxic, weights = model
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        distance = Distance(base, toxic)
+        scorer = model.scorer()
         for texts in batches:
-            z = np.array([features(distance.of(words(t))) for t in texts]).reshape(-1, len(weights)) @ weights
-            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            yield pd.Series(scorer.scores(texts))
 
     return scored(text)
