@@ -10,7 +10,8 @@ apart, down to leaves that are compared by exact dot products in double.
 
 Equal vectors of a label are one class, joined once. A pair of blocks returns
 its rows' numbers of links and a spanning forest of the links, never all of
-them; components come from the forests.
+them; components come from the forests. Pairs are joined in tiles of
+2 ** `TILE` by 2 ** `TILE` neighbouring blocks, to which each block goes once.
 
 The principal axes are those of a bounded sample (`AXES_SAMPLE` vectors); they
 decide how much is skipped, not what is found.
@@ -18,7 +19,8 @@ decide how much is skipped, not what is found.
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components, and vectors with a null label or id, link with nothing; vectors of
 different lengths don't link; rows of one vector (repeated rows too) link with
-each other; a component's id is its smallest vec_id.
+each other; rows of one id and different vectors have their own links, and are
+in one component; a component's id is its smallest vec_id.
 """
 
 from __future__ import annotations
@@ -33,7 +35,9 @@ from pyspark.sql import functions as F
 from . import common
 
 THRESHOLD, AXES, AXES_SAMPLE = 0.98, 6, 10_000
-BLOCK_ROWS, LEAF = 512, 128
+BLOCK_ROWS, LEAF, TILE = 512, 128, 4
+
+_NONE = np.iinfo(np.int64).max
 
 
 def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
@@ -58,7 +62,7 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 
 def ordered(classes: DataFrame, eps: float) -> DataFrame:
-    """classes (key, label, head, size, v) with dims and the cells of their projections, as projected by Arrow batches."""
+    """classes (key, cid, label, head, size, v) with dims and the cells of their projections, as projected by Arrow batches."""
     axes = principal_axes(classes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,10 +73,10 @@ def ordered(classes: DataFrame, eps: float) -> DataFrame:
                 a = axes.get(d, np.eye(d)[:, :AXES])
                 cell = np.floor(x @ a / eps).astype(np.int64)
                 cell = np.pad(cell, ((0, 0), (0, AXES - cell.shape[1])))
-                yield part.assign(cell=list(cell))[["label", "head", "size", "dims", "cell", "v"]]
+                yield part.assign(cell=list(cell))[["label", "cid", "head", "size", "dims", "cell", "v"]]
 
-    out = classes.mapInPandas(run, "label string, head long, size long, dims int, cell array<long>, v array<double>")
-    keys = [F.col("label"), F.col("dims"), *(F.col("cell")[i] for i in range(AXES)), F.col("head")]
+    out = classes.mapInPandas(run, "label string, cid long, head long, size long, dims int, cell array<long>, v array<double>")
+    keys = [F.col("label"), F.col("dims"), *(F.col("cell")[i] for i in range(AXES)), F.col("head"), F.col("cid")]
     parts = max(1, classes.rdd.getNumPartitions())
     return out.repartitionByRange(parts, *keys).sortWithinPartitions(*keys), axes
 
@@ -84,7 +88,7 @@ def blocks_of(classes: DataFrame, eps: float, block_rows: int = BLOCK_ROWS) -> D
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, key = [], None
         for pdf in batches:
-            for r in pdf[["label", "dims", "head", "size", "v"]].itertuples(index=False):
+            for r in pdf[["label", "dims", "cid", "head", "size", "v"]].itertuples(index=False):
                 if held and (key != (r.label, r.dims) or len(held) == block_rows):
                     yield pack(held, key)
                     held = []
@@ -102,6 +106,7 @@ def blocks_of(classes: DataFrame, eps: float, block_rows: int = BLOCK_ROWS) -> D
                 "dims": [key[1]],
                 "lo": [y.min(axis=0)],
                 "hi": [y.max(axis=0)],
+                "cids": [np.array([r.cid for r in held], np.int64).tobytes()],
                 "heads": [np.array([r.head for r in held], np.int64).tobytes()],
                 "sizes": [np.array([r.size for r in held], np.int64).tobytes()],
                 "x": [x.tobytes()],
@@ -109,7 +114,7 @@ def blocks_of(classes: DataFrame, eps: float, block_rows: int = BLOCK_ROWS) -> D
             }
         )
 
-    out = rows.mapInPandas(run, "label string, dims int, lo array<double>, hi array<double>, heads binary, sizes binary, x binary, y binary")
+    out = rows.mapInPandas(run, "label string, dims int, lo array<double>, hi array<double>, cids binary, heads binary, sizes binary, x binary, y binary")
     return common.written(out.withColumn("bid", F.monotonically_increasing_id()), "ego-blocks")
 
 
@@ -174,11 +179,17 @@ def joined(a: dict, b: dict, eps: float, threshold: float) -> tuple[np.ndarray,
         na[i:j] += near @ b["sizes"][k:m]
         if not diagonal:
             nb[k:m] += a["sizes"][i:j] @ near
-        # A forest of the leaf: each row with its first partner, and partners of one row together.
+        # The leaf's components, by the smallest head that its links reach.
         heads_a, heads_b = a["heads"][i:j], b["heads"][k:m]
-        for r in np.flatnonzero(near.any(axis=1)).tolist():
-            for c in np.flatnonzero(near[r]).tolist():
-                forest.tie(int(heads_a[r]), int(heads_b[c]))
+        low_a, low_b = heads_a, heads_b
+        while True:
+            back = np.minimum(low_b, np.where(near, low_a[:, None], _NONE).min(axis=0))
+            there = np.minimum(low_a, np.where(near, back[None, :], _NONE).min(axis=1))
+            if np.array_equal(there, low_a) and np.array_equal(back, low_b):
+                break
+            low_a, low_b = there, back
+        for h, low in {*zip(heads_a.tolist(), low_a.tolist()), *zip(heads_b.tolist(), low_b.tolist())}:
+            forest.tie(h, low)
     if same:
         return na + nb, na * 0, forest
     return na, nb, forest
@@ -196,33 +207,42 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     )
     rows = rows.withColumn("key", F.when(F.col("v").isNotNull(), F.sha2(F.concat_ws(",", F.col("label"), F.col("v").cast("array<string>")), 256)))
     some = rows.where(F.col("v").isNotNull())
-    classes = common.written(some.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("size"), F.first("label").alias("label"), F.first("v").alias("v")), "ego-classes")
+    classes = some.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("size"), F.first("label").alias("label"), F.first("v").alias("v"))
+    classes = common.written(classes.withColumn("cid", F.monotonically_increasing_id()), "ego-classes")
     blocks = blocks_of(classes, eps, block_rows)
     pairs = near_blocks(blocks, eps)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def part(r, side: str) -> dict:
-            heads = np.frombuffer(getattr(r, f"heads_{side}"), np.int64)
-            return {"heads": heads, "sizes": np.frombuffer(getattr(r, f"sizes_{side}"), np.int64), "x": np.frombuffer(getattr(r, f"x_{side}")).reshape(len(heads), -1), "y": np.frombuffer(getattr(r, f"y_{side}")).reshape(len(heads), -1)}
-
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                a = part(r, "a")
-                b = a if r.a == r.b else part(r, "b")
-                na, nb, forest = joined(a, b, eps, threshold)
-                n = pd.DataFrame({"head": np.r_[a["heads"], b["heads"]], "links": np.r_[na, nb]})
-                yield n[n["links"] > 0].assign(other=pd.array([pd.NA] * int((n["links"] > 0).sum()), "Int64"))
-                ties = [(x, 0, forest.root(x)) for x in forest.over]
-                yield pd.DataFrame(ties, columns=["head", "links", "other"]).astype({"head": "int64", "links": "int64", "other": "Int64"})
-
-    side = lambda s: blocks.select(*(F.col(c).alias(s if c == "bid" else f"{c}_{s}") for c in ("bid", "heads", "sizes", "x", "y")))
-    pairs = common.written(pairs, "ego-pairs")
-    found = pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "head long, links long, other long")
+    def run(tile: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        def part(r) -> dict:
+            heads = np.frombuffer(r.heads, np.int64)
+            return {"cids": np.frombuffer(r.cids, np.int64), "heads": heads, "sizes": np.frombuffer(r.sizes, np.int64), "x": np.frombuffer(r.x).reshape(len(heads), -1), "y": np.frombuffer(r.y).reshape(len(heads), -1)}
+
+        held = {r.bid: part(r) for r in tile.itertuples(index=False)}
+        counts, forest = [], Forest()
+        for x, y in zip(pairs["a"], pairs["b"]):
+            a, b = held[x], held[y]
+            na, nb, found = joined(a, b, eps, threshold)
+            for cids, n in ((a["cids"], na), (b["cids"], nb)):
+                counts.append(pd.DataFrame({"cid": cids[n > 0], "links": n[n > 0]}))
+            for h in found.over:
+                forest.tie(h, found.root(h))
+        out = pd.concat([pd.DataFrame({"cid": np.zeros(0, np.int64), "links": np.zeros(0, np.int64)}), *counts]).groupby("cid", as_index=False)["links"].sum()
+        ties = pd.DataFrame([(h, forest.root(h)) for h in forest.over], columns=["head", "other"], dtype="Int64")
+        return pd.concat([out.astype("Int64"), ties])[["cid", "links", "head", "other"]]
+
+    tiles = pairs.withColumns({"ta": F.shiftright("a", TILE), "tb": F.shiftright("b", TILE)})
+    tiles = common.written(tiles, "ego-pairs")
+    need = tiles.select("ta", "tb", F.col("a").alias("bid")).union(tiles.select("ta", "tb", "b")).distinct()
+    shipped = need.select(F.col("ta").alias("sa"), F.col("tb").alias("sb"), "bid").join(blocks.select("bid", "cids", "heads", "sizes", "x", "y"), "bid")
+    found = shipped.groupBy("sa", "sb").cogroup(tiles.groupBy("ta", "tb")).applyInPandas(run, "cid long, links long, head long, other long")
     found = common.written(found, "ego-links")
-    component = common.connected_components(found.where("other is not null"), "head", "other").withColumnRenamed("node", "head")
-    links = found.where("other is null").groupBy("head").agg(F.sum("links").alias("links"))
-    # Heads are ids; two classes may share one where rows of one id differ, and then share their links.
-    known = classes.select("key", "head", "size").join(links, "head", "left").join(component, "head", "left")
+    # Rows of one id and several vectors tie their classes together.
+    member = some.select("id", "key").join(classes.select("key", "head"), "key").select("id", "head").distinct()
+    several = member.groupBy("id").agg(F.min("head").alias("other"), F.count("*").alias("n")).where("n > 1").drop("n")
+    edges = found.where("other is not null").select("head", "other").union(member.join(several, "id").where("head <> other").select("head", "other"))
+    component = common.connected_components(edges, "head", "other").withColumnRenamed("node", "head")
+    links = found.where("cid is not null").groupBy("cid").agg(F.sum("links").alias("links"))
+    known = classes.select("key", "cid", "head", "size").join(links, "cid", "left").join(component, "head", "left")
     out = rows.select("id", "key").join(known, "key", "left")
     component = F.coalesce("component", "head", "id")
     return out.select("id", F.coalesce(F.col("links"), F.lit(0)).alias("more"), F.coalesce(F.col("size") - 1, F.lit(0)).alias("twins"), component.alias("component")).select(
