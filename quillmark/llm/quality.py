@@ -4,8 +4,8 @@ Tokens are runs of word characters or of marks, lower-cased; a text's n-grams
 are its tokens and its pairs of neighbours, hashed into `BUCKETS` buckets (a
 token beside itself hashes as one symbol of repetition). A text's log weight
 is the sum over its n-grams of log p_target - log p_raw. Its key adds Gumbel
-noise, drawn from its id, times `TEMPERATURE`; the k largest keys are a sample
-of k texts, without replacement, in proportion to their weights.
+noise, drawn from its id; the k largest keys are a sample of k texts, without
+replacement, in proportion to their weights.
 
 The raw model counts all texts. The target model counts a bounded sample: half
 of the first `SAMPLE` rows by hash of the id among those that labels call good,
@@ -31,7 +31,7 @@ from . import common, wordhash
 
 BUCKETS = 1 << 16
 SAMPLE, LONGEST = 20_000, 200_000
-TEMPERATURE, PRIOR = 0.5, 4.0
+PRIOR = 4.0
 CHUNK = 2 << 20
 FAN_IN = 32
 _WORD = np.array([b >= 128 or chr(b).isalnum() or b == 95 for b in range(256)])
@@ -100,7 +100,7 @@ def counted(rows: DataFrame) -> np.ndarray:
         n = -(-n // FAN_IN)
         out = out.repartition(n).mapInPandas(add, "counts binary")
     total = np.zeros((2, BUCKETS), np.int64)
-    for row in out.toLocalIterator():  # at most FAN_IN rows of fixed size
+    for row in out.collect():  # at most FAN_IN rows of fixed size
         total += np.frombuffer(row["counts"], np.int64).reshape(2, BUCKETS)
     return total
 
@@ -186,7 +186,7 @@ class Resampler:
         rows = text.join(chosen, "doc", "left").select("text", (F.coalesce(fitted, F.lit(False)) & (F.length("text") <= LONGEST)).alias("target"))
         self.ratio = ratios(counted(rows))
         seen = text.join(chosen, "doc").where((F.length("text") <= LONGEST) & ~fitted).select("y", log_weight("text", self.ratio).alias("w"))
-        self.cut = self._best(np.array([(r["w"], r["y"]) for r in seen.limit(4 * sample).toLocalIterator()]).reshape(-1, 2))
+        self.cut = self._best(np.array([(r["w"], r["y"]) for r in seen.limit(4 * sample).collect()]).reshape(-1, 2))
 
     @staticmethod
     def _best(seen: np.ndarray) -> float:
@@ -200,9 +200,9 @@ class Resampler:
         i = best[np.argmax(edges[best + 1] - edges[best])]
         return float((edges[i] + edges[i + 1]) / 2)
 
-    def keyed(self, docs: DataFrame, weight: str, key: str, seed: int = 0, temperature: float = TEMPERATURE) -> DataFrame:
+    def keyed(self, docs: DataFrame, weight: str, key: str, seed: int = 0) -> DataFrame:
         docs = docs.withColumn(weight, log_weight(F.col(self.text_col), self.ratio))
-        return docs.withColumn(key, F.col(weight) + temperature * gumbel(self.id_col, seed))
+        return docs.withColumn(key, F.col(weight) + gumbel(self.id_col, seed))
 
     def size(self, keys: DataFrame, weight: str) -> int:
         return keys.where(F.col(weight) >= self.cut).count()

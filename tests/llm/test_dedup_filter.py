@@ -180,3 +180,33 @@ def test_resampling_keeps_good_and_is_exact(spark):
     assert kept.columns == [*d.columns, "log_weight"] and sorted(r["doc_id"] or -1 for r in kept.collect()) == sorted(r["doc_id"] or -1 for r in got if r["selected"])
     assert quality.resample(d.limit(0), lb).count() == 0
     assert quality.resample(d, lb.limit(0)).where("not selected").count() == 0
+
+
+def test_resampling_is_in_proportion_to_weights(spark):
+    """With k = 1, row i is drawn with probability w_i / sum w: Gumbel noise at temperature 1."""
+    w = [0.0, 1.0, 2.0]
+    draws = spark.range(30000).select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(x).alias("w")) for i, x in enumerate(w)))).alias("r"), F.col("id").alias("draw"))
+    keyed = draws.withColumn("key", F.concat_ws("/", "draw", "r.i")).select("draw", F.col("r.i").alias("i"), (F.col("r.w") + quality.gumbel("key", 0)).alias("k"))
+    won = {r["i"]: r["count"] / 30000 for r in keyed.groupBy("draw").agg(F.max_by("i", "k").alias("i")).groupBy("i").count().collect()}
+    for i, x in enumerate(w):
+        assert won[i] == pytest.approx(np.exp(x) / np.exp(w).sum(), abs=0.012)
+
+
+def test_ngram_model_equals_brute_force(spark):
+    docs, _ = corpus(60)
+    docs += [(100, None, ""), (101, "", ""), (102, "er on an " * 40_000, "")]
+    rows = spark.createDataFrame([(t, i % 3 == 0) for i, t, _ in docs], "text string, target boolean").repartition(40)
+    got = quality.counted(rows)
+    want = np.zeros((2, quality.BUCKETS), np.int64)
+    for i, t, _ in docs:
+        grams, _ = quality.ngrams([t])
+        for g in grams.tolist():
+            want[0, g] += 1
+            want[1, g] += i % 3 == 0
+    assert (got == want).all()
+    scale = want[1].sum() / want[0].sum()
+    ratio = quality.ratios(got)
+    text = docs[5][1]
+    grams, _ = quality.ngrams([text])
+    plain = sum(np.log(want[1, g] + quality.PRIOR) - np.log(want[0, g] * scale + quality.PRIOR) for g in grams)
+    assert quality.log_weights([text, None, ""], ratio).tolist() == pytest.approx([plain, 0, 0])
