@@ -333,3 +333,8 @@ def fenced_json(content: Column) -> Column:
     bare = F.regexp_replace(text, "^`+|`+$", "")
     bare = F.when(F.lower(F.left(bare, F.lit(4))) == "json", F.substring(bare, 5, 1 << 30)).otherwise(bare)
     return F.when(text.startswith("```"), F.coalesce(stripped(bare), F.lit(""))).otherwise(text)
+
+
+def prompt_hash(version: int, prompt: Column) -> Column:
+    """sha256 of a prompt's version and text, a line feed between them; null for a null prompt."""
+    return F.sha2(F.concat(F.lit(f"{version}\n"), prompt), 256)

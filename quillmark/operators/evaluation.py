@@ -130,7 +130,7 @@ def case_histogram(cases: DataFrame, limit: int = 20) -> DataFrame:
     """(section, name, n): the most common tags, and all intents."""
     from .records import most_common
 
-    tags = most_common(cases.select(F.posexplode("tags").alias("i", "tag"), "pos").select("tag", (F.col("pos") * 1000 + F.col("i")).alias("place")), "tag", "place", limit)
+    tags = most_common(cases.select(F.posexplode("tags").alias("i", "tag"), "pos").select("tag", F.struct("pos", "i").alias("place")), "tag", "place", limit)
     intents = cases.groupBy(text.intent_type(F.col("query")).alias("name")).agg(F.count("*").alias("n"))
     return tags.select(F.lit("tag").alias("section"), F.col("tag").alias("name"), F.col("count").alias("n")).unionByName(intents.select(F.lit("intent").alias("section"), "name", "n"))
 

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text
 from ..schemas import INDEX_VERSION, LISTS, RECORD_SCHEMA
@@ -39,21 +40,21 @@ def wanted(records: DataFrame) -> DataFrame:
 def embedded(inputs: DataFrame, embed: Callable[[list[str]], list[list[float]]], dimension: int | None = None, batch: int = BATCH) -> DataFrame:
     """inputs with a vector of each `input`, from batches of an injected model client."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
             vectors: list = []
-            for i in range(0, len(pdf), batch):
-                part = pdf["input"].iloc[i : i + batch].tolist()
+            for i in range(0, len(texts), batch):
+                part = texts.iloc[i : i + batch].tolist()
                 got = embed(part)
                 if len(got) != len(part):
                     raise ValueError(f"{len(got)} vectors for {len(part)} texts")
                 vectors += [np.asarray(v, np.float32) for v in got]
             if any(len(v) != (dimension or len(vectors[0])) for v in vectors):
                 raise ValueError("the model's vectors differ in length")
-            yield pdf[["repo_id"]].assign(vector=vectors)
+            yield pd.Series(vectors, dtype=object)
 
-    made = inputs.select("repo_id", "input").mapInPandas(run, "repo_id string, vector array<float>")
-    return inputs.join(made, "repo_id")
+    call = F.pandas_udf(run, "array<float>").asNondeterministic()  # a model is asked once for a row
+    return inputs.withColumn("vector", call(F.col("input")))
 
 
 def build_plan(records: DataFrame, existing: DataFrame, dimension: int | None = None) -> DataFrame:
@@ -75,26 +76,31 @@ def build(records: DataFrame, existing: DataFrame, embed: Callable, dimension: i
 
 def verify(records: DataFrame, entries: DataFrame, dimension: int | None, meta: dict) -> DataFrame:
     """(section, name, n): errors, warnings, and a status row (ok, stale or invalid)."""
-    want = wanted(records).select("repo_id", "fingerprint")
-    have = entries.groupBy("repo_id").agg(F.max_by("embedding_input_fingerprint", "pos").alias("held"))
-    both = want.join(have.withColumn("there", F.lit(True)), "repo_id", "left")
-    due = F.col("fingerprint").isNotNull()
-    a = both.agg(
-        F.count_if(due & F.col("there").isNull()).alias("missing_vectors"),
-        F.count_if(due & F.col("there").isNotNull() & ~F.col("held").eqNullSafe(F.col("fingerprint"))).alias("stale_vectors"),
-        F.count_if(~due).alias("skipped_expected"),
+    want = wanted(records).select("repo_id", "fingerprint", F.lit(None).cast("boolean").alias("entry"), F.lit(None).cast("string").alias("held"), F.lit(None).cast("long").alias("pos"), F.lit(None).cast("int").alias("size"))
+    have = entries.select("repo_id", F.lit(None).cast("string"), F.lit(True), "embedding_input_fingerprint", "pos", F.size("vector"))
+    # One pass over both tables: each id's entry, and its records as counts by fingerprint, meet in one group.
+    latest = F.max_by("held", F.when(F.col("entry"), F.struct("pos", "held")))
+    prints = want.union(have).groupBy("repo_id", F.when(F.col("entry").isNull(), F.struct("fingerprint")).alias("print")).agg(
+        F.count("*").alias("n"), latest.alias("held"), F.max(F.when(F.col("entry"), F.struct("pos", "held"))).alias("last"),
+        F.count_if(F.col("entry") & (F.coalesce("held", F.lit("")) == "")).alias("blank"), F.count_if(F.col("entry") & (F.coalesce("size", F.lit(-1)) < 0)).alias("invalid"),
+        F.count_if(F.col("entry") & (F.col("size") >= 0) & F.lit(dimension is not None) & (F.col("size") != F.lit(dimension or 0))).alias("off"),
     )
-    b = entries.agg(
-        F.count_if(F.coalesce("embedding_input_fingerprint", F.lit("")) == "").alias("missing_fingerprints"),
-        F.count_if(F.col("vector").isNull()).alias("invalid_vectors"),
-        F.count_if(F.col("vector").isNotNull() & F.lit(dimension is not None) & (F.size("vector") != F.lit(dimension or 0))).alias("dimension_mismatch"),
-        (F.count("*") - F.count_distinct("repo_id")).alias("duplicate_vectors"),
-        F.count("*").alias("vector_count"),
+    own = Window.partitionBy("repo_id")
+    entry = F.col("print").isNull()
+    each = prints.select(
+        "*", F.max("last").over(own).alias("there"), F.max(F.when(~entry, 1)).over(own).alias("recorded"),
     )
-    extra = have.join(want.select("repo_id").distinct(), "repo_id", "left_anti").agg(F.count("*").alias("extra_vectors"))
+    due, known = ~entry & F.col("print.fingerprint").isNotNull(), F.col("there").isNotNull()
+    total = lambda c, n="n": F.coalesce(F.sum(F.when(c, F.col(n))), F.lit(0)).cast("long")
+    one = each.agg(
+        total(due & ~known).alias("missing_vectors"), total(due & known & ~F.col("there.held").eqNullSafe(F.col("print.fingerprint"))).alias("stale_vectors"),
+        total(~entry & F.col("print.fingerprint").isNull()).alias("skipped_expected"), total(entry, "blank").alias("missing_fingerprints"), total(entry, "invalid").alias("invalid_vectors"),
+        total(entry, "off").alias("dimension_mismatch"), (total(entry) - F.count_if(entry)).alias("duplicate_vectors"), total(entry).alias("vector_count"),
+        F.count_if(entry & F.col("recorded").isNull()).alias("extra_vectors"),
+    )
     fixed = {"index_version": INDEX_VERSION, "record_schema_version": RECORD_SCHEMA, "embedding_input_version": text.EMBEDDING_INPUT_VERSION}
     off = [F.lit(int(meta.get(k) != v)).cast("long").alias(f"{k}_mismatch") for k, v in fixed.items()]
-    one = a.join(b).join(extra).select("*", *off)  # three single rows
+    one = one.select("*", *off)
     count_off = F.lit(meta.get("record_count")).cast("long")
     one = one.withColumn("record_count_mismatch", F.when(count_off != F.col("vector_count"), 1).otherwise(0).cast("long"))
     errors = ["missing_vectors", "stale_vectors", "missing_fingerprints", "invalid_vectors", "dimension_mismatch", "duplicate_vectors", *(f"{k}_mismatch" for k in fixed)]
@@ -115,7 +121,7 @@ def stats(entries: DataFrame, dimension: int, limit: int = 10) -> DataFrame:
         F.count_if(F.coalesce("embedding_input_fingerprint", F.lit("")) == "").cast("double").alias("missing_fingerprint_count"),
     )
     out = a.unpivot([], a.columns, "name", "value").select(F.lit("counts").alias("section"), "name", "value")
-    topics = entries.select("pos", F.posexplode(text.nonblank(F.col("metadata.topics"))).alias("i", "name")).select("name", (F.col("pos") * 1000 + F.col("i")).alias("place"))
+    topics = entries.select("pos", F.posexplode(text.nonblank(F.col("metadata.topics"))).alias("i", "name")).select("name", F.struct("pos", "i").alias("place"))
     languages = entries.where(text.stripped(F.col("metadata.language")).isNotNull()).select(F.col("metadata.language").alias("name"), F.col("pos").alias("place"))
     for section, values in (("languages", languages), ("topics", topics)):
         out = out.unionByName(most_common(values, "name", "place", limit).select(F.lit(section).alias("section"), "name", F.col("count").cast("double").alias("value")))

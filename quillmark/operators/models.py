@@ -84,21 +84,22 @@ def reranked(pairs: DataFrame, rerank: Callable[[str, list[str]], list[float]])
 
 
 def asked(rows: DataFrame, prompt: str, chat: Callable[[list[str]], list[str]], batch: int = 16) -> DataFrame:
-    """rows with `answer` and `error` of a chat client, called with batches of the prompt column."""
+    """rows with `answer` and `error` of a chat client, called with batches of the prompts that aren't null."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for prompts in batches:
+            due = prompts.dropna()
             answers: list[tuple] = []
-            for i in range(0, len(prompts), batch):
-                part = prompts.iloc[i : i + batch].tolist()
+            for i in range(0, len(due), batch):
+                part = due.iloc[i : i + batch].tolist()
                 try:
                     got = chat(part)
                     answers += [(a, None) for a in got] if len(got) == len(part) else [(None, f"{len(got)} answers for {len(part)}")] * len(part)
                 except Exception as e:  # the client's error is the row's outcome
                     answers += [(None, str(e))] * len(part)
-            yield pd.DataFrame(answers, columns=["answer", "error"])
+            yield pd.DataFrame(answers, columns=["answer", "error"], index=due.index, dtype=object).reindex(prompts.index).replace({np.nan: None})
 
-    call = F.pandas_udf(run, "answer string, error string")
+    call = F.pandas_udf(run, "answer string, error string").asNondeterministic()  # a model is asked once for a row
     return rows.withColumn("reply", call(F.col(prompt))).select("*", "reply.answer", "reply.error").drop("reply")
 
 
@@ -143,11 +144,13 @@ def parsed_verdict(content: Column) -> Column:
     return F.when(raw.startswith("{") & F.try_parse_json(raw).isNotNull(), out)
 
 
-def refreshed(records: DataFrame, chat: Callable[[list[str]], list[str]], model: str, now: Column, reason: Column) -> DataFrame:
-    """records whose refresh reason isn't null with new profiles; a failure keeps the old one and says why in `refresh_error`."""
-    rows = asked(records.withColumn("prompt", F.when(reason.isNotNull(), profile_input())), "prompt", lambda p: chat(p) if p else [], 16)
+def refreshed(records: DataFrame, chat: Callable[[list[str]], list[str]], model: str, now: Column, reason: Column, prompt: Column | None = None) -> DataFrame:
+    """All records, those whose refresh reason isn't null with new profiles; a failure keeps the old one and says why in `refresh_error`."""
+    prompt = profile_input() if prompt is None else prompt
+    due = records.where(reason.isNotNull()).withColumn("prompt", prompt)
+    rows = asked(due, "prompt", chat, 16).unionByName(records.where(reason.isNull()), allowMissingColumns=True)
     new = parsed_profile(F.col("answer"))
-    made = F.struct(*(new[k].alias(k) for k in (*TEXT_FIELDS, *LIST_FIELDS, "confidence", "abstained")), F.lit("openai_compatible").alias("provider"), F.lit(model).alias("model"), now.alias("generated_at"), F.lit(PROFILE_PROMPT).alias("prompt_version"))
+    made = F.struct(*(new[k].alias(k) for k in (*TEXT_FIELDS, *LIST_FIELDS, "confidence", "abstained")), F.lit("openai_compatible").alias("provider"), F.lit(model).alias("model"), now.alias("generated_at"), F.lit(PROFILE_PROMPT).alias("prompt_version"), text.prompt_hash(PROFILE_PROMPT, F.col("prompt")).alias("prompt_hash"))
     failed = F.col("prompt").isNotNull() & new.isNull()
     return rows.withColumns({"new_profile": F.when(F.col("prompt").isNotNull() & new.isNotNull(), made), "refresh_error": F.when(failed, F.coalesce("error", F.lit("the answer was no JSON object")))}).drop("prompt", "answer", "error")
 

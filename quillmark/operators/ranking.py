@@ -37,13 +37,13 @@ def check_vectors(entries: DataFrame) -> None:
         raise ValueError(f"entries without a valid vector: {[r[0] for r in bad]}")
 
 
-def prepared(entries: DataFrame) -> DataFrame:
+def prepared(entries: DataFrame, *kept: str) -> DataFrame:
     """Entries with what scoring needs of them, made once rather than for each pair; without vectors."""
     m = lambda k: F.col("metadata." + k)
     listed = lambda *ks: F.concat(*(text.strip_list(m(k)) for k in ks))
     some = lambda values: text.expanded_all(F.flatten(F.transform(values, text.tokens)))
     return entries.select(
-        "repo_id", "pos", m("url").alias("url"), m("name").alias("name"), text.strip_list(m("aliases")).alias("aliases"), m("language").alias("language"),
+        "repo_id", "pos", *kept, m("url").alias("url"), m("name").alias("name"), text.strip_list(m("aliases")).alias("aliases"), m("language").alias("language"),
         text.metadata_language(F.coalesce(m("language"), F.lit(""))).alias("language_alias"),
         text.expanded_all(text.tokens(text.metadata_text(m))).alias("text_tokens"), some(listed("topics")).alias("topic_tokens"),
         some(listed("use_cases", "capabilities", "search_phrases")).alias("profile_tokens"),
@@ -71,13 +71,16 @@ def identity_pairs(entries: DataFrame, queries: DataFrame) -> DataFrame:
     keys = e.select("repo_id", "pos", F.explode(text.identity_variants(values)).alias("key"))
     names = F.array_union(F.array(text.lowered(F.col("repo_id"))), F.transform(F.concat(F.array(F.coalesce("name", F.lit(""))), "aliases"), text.lowered))
     inside = e.select("repo_id", "pos", F.explode(F.filter(names, lambda v: v != "")).alias("key"))
-    longest = inside.agg(F.max(F.length("key"))).first()[0] or 1
     raw = text.lowered(F.col("query"))
     # Only a query with a slash, or one in Chinese or Japanese, can hold an id or name that its spellings don't.
+    cjk = text.has_cjk(F.col("query"))
+    asked = q.where(cjk | F.contains(raw, F.lit("/"))).join(F.broadcast(inside.agg(F.max(F.length("key")).alias("longest"))))  # one row
     spots = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(raw)))
-    subs = F.flatten(F.transform(spots, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.greatest(F.lit(1), F.length(raw) - i + 1))), lambda n: F.substring(raw, i, n))))
+    ends = lambda i: F.sequence(F.lit(1), F.least("longest", F.greatest(F.lit(1), F.length(raw) - i + 1)))
+    subs = F.flatten(F.transform(spots, lambda i: F.transform(ends(i), lambda n: F.substring(raw, i, n))))
+    subs = F.filter(subs, lambda s: cjk | F.contains(s, F.lit("/")))
     found = q.select("qid", F.explode(text.query_variants(F.col("query"))).alias("key")).join(keys, "key").select("qid", "repo_id", "pos")
-    within = q.select("qid", F.explode(F.array_distinct(subs)).alias("key")).join(inside, "key").select("qid", "repo_id", "pos")
+    within = asked.select("qid", F.explode(F.array_distinct(subs)).alias("key")).join(inside, "key").select("qid", "repo_id", "pos")
     pairs = found.unionByName(within).distinct().join(q, "qid").join(e, ["repo_id", "pos"])
     kind = text.identity_kind(F.col("query"), F.col("repo_id"), F.col("name"), F.col("aliases"))
     return pairs.select("qid", "repo_id", "pos", kind.alias("identity")).where("identity <> 'none'")
@@ -85,7 +88,10 @@ def identity_pairs(entries: DataFrame, queries: DataFrame) -> DataFrame:
 
 def adjusted(pairs: DataFrame, entries: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
     """pairs (qid, repo_id, pos, semantic, identity) with score, confidence, matches, diagnostics and reasons."""
-    p = pairs.join(F.broadcast(analysed(queries)), "qid").join(prepared(entries), ["repo_id", "pos"])
+    # An entry is prepared once for all queries that it is a candidate of, and not at all without one.
+    asks = pairs.groupBy("repo_id", "pos").agg(F.collect_list(F.struct("qid", "semantic", "identity")).alias("asks"))
+    wanted = prepared(entries.select("repo_id", "pos", "metadata").join(asks, ["repo_id", "pos"]), "asks")
+    p = wanted.withColumn("ask", F.explode("asks")).select("*", "ask.*").drop("asks", "ask").join(analysed(queries), "qid")
     hits = lambda column: F.transform(F.filter("words", lambda w: F.arrays_overlap(w["forms"], F.col(column))), lambda w: w["word"])
     p = p.withColumns({"matched_terms": hits("text_tokens"), "topic_matches": hits("topic_tokens"), "profile_matches": hits("profile_tokens")})
     named = F.col("identity") != "none"

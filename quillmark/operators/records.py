@@ -109,7 +109,7 @@ def stats(records: DataFrame, limit: int = 10) -> DataFrame:
     out = ratios.unpivot([], ratios.columns, "name", "value").select(F.lit("ratios").alias("section"), "name", "value")
     row = lambda df, section, value: df.select(F.lit(section).alias("section"), F.col(value).alias("name"), F.col("count").cast("double").alias("value"))
     out = out.unionByName(row(f.groupBy(F.col("profile.confidence").alias("name")).agg(F.count("*").alias("count")), "confidence", "name"))
-    place = (F.col("pos") * 1000 + F.col("i")).alias("place")
+    place = F.struct("pos", "i").alias("place")
     for section, values in (
         ("languages", records.where(text.stripped(F.col("github.language")).isNotNull()).select(F.col("github.language").alias("name"), F.col("pos").alias("place"))),
         ("topics", records.select("pos", F.posexplode(text.nonblank(F.col("github.topics"))).alias("i", "name")).select("name", place)),

@@ -80,11 +80,12 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first twenty vectors as queries, each asking by the name of another part or a sentence around it."""
-    v = table(spark, sf_dir, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"), "label")
-    names = table(spark, sf_dir, "part").where("p_partkey between 40 and 59").select((F.col("p_partkey") - 40).alias("qid"), "p_name", "p_brand", "p_type")
-    q = v.join(names, "qid")
-    n = F.col("qid") % 4
+    """The vectors whose id is divisible by 20 as queries, each asking by the name of another part or a sentence around it."""
+    parts = table(spark, sf_dir, "part")
+    v = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"), "label")
+    v = v.join(F.broadcast(parts.agg(F.count("*").alias("n"))))  # one row
+    q = v.withColumn("p_partkey", (F.col("qid") + 40) % F.col("n")).drop("n").join(parts.select("p_partkey", "p_name", "p_brand", "p_type"), "p_partkey")
+    n = F.floor(F.col("qid") / 20) % 4
     text = F.when(n == 0, F.col("p_name")).when(n == 1, F.concat(F.lit("a tool for "), F.lower("p_type"), F.lit(" of "), "p_brand")).when(n == 2, F.concat(F.lit("python alternative to "), "p_name")).otherwise(F.concat(F.lit("open source "), F.lower("p_type"), F.lit(" with "), "p_name"))
     return q.select("qid", text.alias("query"), "vector", "label")
 
@@ -99,8 +100,8 @@ en AS (
 ),
 qu AS (
   SELECT vec_id AS qid, list_transform(embedding, lambda x: x::DOUBLE) AS qv, label AS qlabel,
-    CASE vec_id % 4 WHEN 0 THEN p_name WHEN 1 THEN 'a tool for ' || lower(p_type) || ' of ' || p_brand WHEN 2 THEN 'python alternative to ' || p_name
+    CASE vec_id // 20 % 4 WHEN 0 THEN p_name WHEN 1 THEN 'a tool for ' || lower(p_type) || ' of ' || p_brand WHEN 2 THEN 'python alternative to ' || p_name
       ELSE 'open source ' || lower(p_type) || ' with ' || p_name END AS query
-  FROM embeddings JOIN part ON p_partkey = vec_id + 40 WHERE vec_id < 20
+  FROM embeddings JOIN part ON p_partkey = (vec_id + 40) % (SELECT count(*) FROM part) WHERE vec_id % 20 = 0
 ),
 pairs AS (SELECT qid, query, qlabel, en.*, list_cosine_similarity(qv, v) AS sem FROM qu, en)"""

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import score, text
 from ..operators import evaluation, generate, index, ingest, models, ranking, records, similarity
@@ -145,50 +144,49 @@ def search_metadata(spark, sf):
 
 @query(
     "rk6_search_multi_variant",
-    f"WITH {ENTRIES_SQL}, w AS (SELECT qid, qv FROM qu UNION ALL SELECT vec_id - 20, list_concat([2 * embedding[1]::DOUBLE], list_transform(embedding[2:], lambda x: x::DOUBLE)) FROM embeddings WHERE vec_id BETWEEN 20 AND 39),"
+    f"WITH {ENTRIES_SQL}, w AS (SELECT qid, qv FROM qu UNION ALL SELECT vec_id - 1, list_concat([2 * embedding[1]::DOUBLE], list_transform(embedding[2:], lambda x: x::DOUBLE)) FROM embeddings WHERE vec_id % 20 = 1),"
     f" s AS (SELECT qid, repo_id, max(list_cosine_similarity(qv, v)) AS sem FROM w, en GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sem DESC, repo_id DESC) AS rk FROM s WHERE sem >= {LOW})"
     " SELECT qid, rk::INTEGER AS rk, repo_id, round(sem, 6) AS score FROM r WHERE rk <= 5",
 )
 def search_multi_variant(spark, sf):
-    more = table(spark, sf, "embeddings").where("vec_id between 20 and 39").select((F.col("vec_id") - 20).alias("qid"), F.transform("embedding", lambda x, i: F.when(i == 0, 2 * x).otherwise(x)).alias("vector"))
+    more = table(spark, sf, "embeddings").where("vec_id % 20 = 1").select((F.col("vec_id") - 1).alias("qid"), F.transform("embedding", lambda x, i: F.when(i == 0, 2 * x).otherwise(x)).alias("vector"))
     q = queries(spark, sf).select("qid", "vector").unionByName(more)
     return ranking.search_semantic(entries(spark, sf), q, 5, LOW).select("qid", "rk", "repo_id", F.round("score", 6).alias("score"))
 
 
 # A rerank score that both engines have: from the md5 of query and entry.
-FUSE = f"""WITH {ENTRIES_SQL}, i AS (SELECT *, {sql.identity('query', 'repo_id', 'name')} AS ident FROM pairs),
-n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sem DESC, pos) AS sr FROM i WHERE ident = 'none'),
+FUSE = _metadata_sql(10).split(", d AS (")[0] + f""", n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sem DESC, pos) AS sr FROM b WHERE ident = 'none'),
 k AS (SELECT *, (('0x' || substr(md5(qid || ':' || repo_id), 1, 6))::BIGINT % 1000) / 1000.0::DOUBLE AS rs FROM n WHERE sr <= 20),
 o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rs DESC, sr) AS rr FROM k),
-f AS (SELECT qid, repo_id, pos, 1.0::DOUBLE / (60 + sr) + 1.0::DOUBLE / (60 + rr) AS score, sem, {sql.bucket('sem').replace('0.35', str(LOW))} AS confidence, rs, sr, rr FROM o)"""
+f AS (SELECT qid, repo_id, pos, 1.0::DOUBLE / (60 + sr) + 1.0::DOUBLE / (60 + rr) AS score, sem, {sql.bucket('sem').replace('0.35', str(LOW))} AS confidence, ident, rs, sr, rr, false AS pinned FROM o
+  UNION ALL SELECT qid, repo_id, pos, score, sem, confidence, ident, NULL, NULL, NULL, true FROM c WHERE ident <> 'none')"""
 
 
 def _rerank_inputs(spark, sf):
     e, q = entries(spark, sf), queries(spark, sf)
     named = ranking.identity_pairs(e, q)
+    most = named.groupBy("qid").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     digest = F.md5(F.concat_ws(":", F.col("qid").cast("string"), "repo_id"))
-    pairs = e.select("repo_id").join(F.broadcast(q.select("qid")))  # twenty queries
+    pairs = similarity.scored_pairs(e, q, 20 + most).select("qid", "repo_id").distinct()
     scores = pairs.select("qid", "repo_id", ((F.conv(F.substring(digest, 1, 6), 16, 10).cast("long") % 1000) / 1000.0).alias("rerank_score"))
     return e, q, named, scores
 
 
-@query("rk3_rrf_fusion", f"{FUSE} SELECT qid, repo_id, round(score, 8) AS score, round(sem, 6) AS semantic_score, sr::INTEGER AS semantic_rank, rr::INTEGER AS rerank_rank, confidence FROM f")
+@query("rk3_rrf_fusion", f"{FUSE} SELECT qid, repo_id, pinned, ident AS identity, round(score, 8) AS score, round(sem, 6) AS semantic_score, sr::INTEGER AS semantic_rank, rr::INTEGER AS rerank_rank, confidence FROM f")
 def rrf_fusion(spark, sf):
     e, q, named, scores = _rerank_inputs(spark, sf)
-    rows = ranking.fused(e, q, scores, 20, LOW, named).where("not pinned")
-    return rows.select("qid", "repo_id", F.round("score", 8).alias("score"), F.round("semantic_score", 6).alias("semantic_score"), "semantic_rank", "rerank_rank", "confidence")
+    rows = ranking.fused(e, q, scores, 20, LOW, named)
+    return rows.select("qid", "repo_id", "pinned", "identity", F.round("score", 8).alias("score"), F.round("semantic_score", 6).alias("semantic_score"), "semantic_rank", "rerank_rank", "confidence")
 
 
-RANKED = f"""{FUSE}, w AS (SELECT qid FROM i WHERE ident <> 'none' GROUP BY qid),
-z AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, sem DESC, repo_id DESC, pos) AS place FROM f WHERE qid NOT IN (SELECT qid FROM w)),
-y AS (SELECT z.* FROM z JOIN (SELECT qid, rs AS top FROM z WHERE place = 1) USING (qid) WHERE top > 0.5),
+RANKED = f"""{FUSE}, z AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pinned DESC, score DESC, sem DESC, repo_id DESC, pos) AS place FROM f),
+y AS (SELECT z.* FROM z JOIN (SELECT qid, bool_or(pinned) AS held, max(CASE WHEN place = 1 THEN rs END) AS top FROM z GROUP BY qid) USING (qid) WHERE held OR top > 0.5),
 x AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY place) AS rk FROM y WHERE confidence <> 'abstain')"""
 
 
 def _reranked(spark, sf, calibration):
-    e, q, named, scores = _rerank_inputs(spark, sf)
-    hits = ranking.search_rerank(e, q, scores, 5, LOW, 20, 0.5, calibration)
-    return hits.join(named.select("qid").distinct(), "qid", "left_anti")
+    e, q, _, scores = _rerank_inputs(spark, sf)
+    return ranking.search_rerank(e, q, scores, 5, LOW, 20, 0.5, calibration)
 
 
 @query("rk7_rerank_abstain", f"{RANKED} SELECT qid, rk::INTEGER AS rk, repo_id, round(rs, 6) AS rerank_score FROM x WHERE rk <= 5")
@@ -199,8 +197,8 @@ def rerank_abstain(spark, sf):
 @query(
     "rk8_confidence_calibration",
     f"""{RANKED}, v AS (SELECT *, CASE WHEN rk = 1 THEN score - lead(score) OVER (PARTITION BY qid ORDER BY rk) END AS margin FROM x WHERE rk <= 5),
-u AS (SELECT *, array_to_string(list_filter([CASE WHEN margin <= 0 THEN 'top_candidate_not_separated' END,
-  CASE WHEN sr <> rr THEN 'semantic_and_rerank_disagree' WHEN sr <> 1 THEN 'top_result_is_not_leading_in_both_rankers' END], lambda s: s IS NOT NULL), ',') AS reasons FROM v)
+u AS (SELECT *, array_to_string(list_filter([CASE WHEN ident = 'contextual_name_mention' THEN 'identity_is_contextual' END, CASE WHEN margin <= 0 THEN 'top_candidate_not_separated' END,
+  CASE WHEN ident <> 'none' THEN NULL WHEN sr <> rr THEN 'semantic_and_rerank_disagree' WHEN sr <> 1 THEN 'top_result_is_not_leading_in_both_rankers' END], lambda s: s IS NOT NULL), ',') AS reasons FROM v)
 SELECT qid, rk::INTEGER AS rk, repo_id, confidence AS initial_confidence, CASE WHEN confidence = 'high_confidence' AND reasons <> '' THEN 'exploratory' ELSE confidence END AS confidence, round(margin, 8) AS margin, reasons FROM u""",
 )
 def confidence_calibration(spark, sf):
@@ -291,7 +289,11 @@ def index_build_plan(spark, sf):
     return index.build_plan(record_table(spark, sf), _existing(spark, sf), 2).groupBy("action").agg(F.count("*").alias("n"))
 
 
-@query("mt4_index_build")
+@query(
+    "mt4_index_build",
+    f"""WITH {RECORDS_SQL} SELECT repo_id, pos, CASE WHEN pos % 2 = 0 AND repo_id <> 'src0/doc-0' AND pos % 6 <> 0 AND pos % 10 <> 0 THEN 0 ELSE 1 END AS "group",
+  sha256('{{"embedding_input_version": 3, "text": ' || to_json({EMBED})::VARCHAR || '}}') AS embedding_input_fingerprint, 2 AS dimension FROM rec WHERE repo_id IS NOT NULL""",
+)
 def index_build(spark, sf):
     built = index.build(record_table(spark, sf), _existing(spark, sf), lambda texts: models.hash_embedding(texts, 2), 2)
     return built.select("repo_id", "pos", "group", "embedding_input_fingerprint", F.size("vector").alias("dimension"))
@@ -324,14 +326,13 @@ def index_stats(spark, sf):
 
 
 def _cases(spark, sf):
-    """The queries as cases: an entry of the query's label is expected, the label's first five are a family."""
+    """The queries as cases: an entry of the query's label is expected, the label's entries are a family."""
     e = entries(spark, sf).select("repo_id", "label", "pos")
-    nth = e.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("pos")))
-    families = nth.where("n <= 20").groupBy(F.col("label").cast("string").alias("family")).agg(F.array_sort(F.collect_list("repo_id")).alias("repo_ids"))
-    q = queries(spark, sf)
+    families = e.groupBy(F.col("label").cast("string").alias("family")).agg(F.array_sort(F.collect_list("repo_id")).alias("repo_ids"))
+    q, nth = queries(spark, sf), F.floor(F.col("qid") / 20)
     cases = q.select(
-        F.col("qid").alias("id"), "query", F.concat(F.lit("part/"), (F.col("qid") + F.when(F.col("qid") % 2 == 0, 0).otherwise(100)).cast("string")).alias("expected_repo_id"), F.array().cast("array<string>").alias("acceptable_repo_ids"),
-        F.when(F.col("qid") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.col("label").cast("string"))).alias("acceptable_families"), F.array(F.concat(F.lit("t"), (F.col("qid") % 3).cast("string")), F.lit("all")).alias("tags"), F.col("qid").alias("pos"),
+        F.col("qid").alias("id"), "query", F.concat(F.lit("part/"), (F.col("qid") + F.when(nth % 2 == 0, 0).otherwise(100)).cast("string")).alias("expected_repo_id"), F.array().cast("array<string>").alias("acceptable_repo_ids"),
+        F.when(nth % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.col("label").cast("string"))).alias("acceptable_families"), F.array(F.concat(F.lit("t"), (nth % 3).cast("string")), F.lit("all")).alias("tags"), F.col("qid").alias("pos"),
     )
     return cases, families, q
 
@@ -342,8 +343,8 @@ def _results(spark, sf):
     return evaluation.case_results(evaluation.acceptable(cases, families), hits)
 
 
-RESULTS = f"""WITH {ENTRIES_SQL}, fam AS (SELECT label, list(repo_id) AS ids FROM (SELECT label, repo_id, row_number() OVER (PARTITION BY label ORDER BY pos) AS n FROM en) WHERE n <= 20 GROUP BY label),
-ca AS (SELECT qid AS id, query, 'part/' || (qid + CASE WHEN qid % 2 = 0 THEN 0 ELSE 100 END) AS expected, CASE WHEN qid % 3 = 0 THEN []::VARCHAR[] ELSE coalesce(ids, []) END AS more FROM qu LEFT JOIN fam ON label = qlabel),
+RESULTS = f"""WITH {ENTRIES_SQL}, fam AS (SELECT label, list(repo_id) AS ids FROM en GROUP BY label),
+ca AS (SELECT qid AS id, query, 'part/' || (qid + CASE WHEN qid // 20 % 2 = 0 THEN 0 ELSE 100 END) AS expected, CASE WHEN qid // 20 % 3 = 0 THEN []::VARCHAR[] ELSE coalesce(ids, []) END AS more FROM qu LEFT JOIN fam ON label = qlabel),
 hi AS (SELECT * FROM (SELECT qid AS id, repo_id, sem, row_number() OVER (PARTITION BY qid ORDER BY sem DESC, repo_id DESC, pos) AS rk FROM pairs WHERE sem >= 0.45) WHERE rk <= 10),
 re AS (SELECT ca.*, t.repo_id AS top, CASE WHEN t.sem >= 0.6 THEN 'high_confidence' WHEN t.sem IS NOT NULL THEN 'exploratory' END AS conf,
   (SELECT min(rk) FROM hi WHERE hi.id = ca.id AND hi.repo_id = expected) AS er, (SELECT min(rk) FROM hi WHERE hi.id = ca.id AND (hi.repo_id = expected OR list_contains(more, hi.repo_id))) AS ar
@@ -399,7 +400,7 @@ def eval_misses(spark, sf):
 
 @query(
     "ag11_eval_cases",
-    f"WITH {ENTRIES_SQL} SELECT 'tag' AS section, 't' || qid % 3 AS name, count(*) AS n FROM qu GROUP BY 2 UNION ALL SELECT 'tag', 'all', count(*) FROM qu UNION ALL SELECT 'intent', {sql.intent('query')}, count(*) FROM qu GROUP BY 2",
+    f"WITH {ENTRIES_SQL} SELECT 'tag' AS section, 't' || qid // 20 % 3 AS name, count(*) AS n FROM qu GROUP BY 2 UNION ALL SELECT 'tag', 'all', count(*) FROM qu UNION ALL SELECT 'intent', {sql.intent('query')}, count(*) FROM qu GROUP BY 2",
 )
 def eval_cases(spark, sf):
     return evaluation.case_histogram(_cases(spark, sf)[0])
@@ -414,14 +415,17 @@ def quality_gate(spark, sf):
     return evaluation.gate(evaluation.metrics(_results(spark, sf)))
 
 
-@query("sc6_checkpoint_merge", "SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type, round(arg_max(value, event_id), 4) AS value, min(event_id) AS first_seen FROM events GROUP BY user_id")
+@query(
+    "sc6_checkpoint_merge",
+    """WITH s AS (SELECT *, event_id % 3 = 0 AS old FROM events)
+SELECT user_id, coalesce(max(event_id) FILTER (NOT old), max(event_id)) AS event_id, coalesce(arg_max(event_type, event_id) FILTER (NOT old), arg_max(event_type, event_id)) AS event_type,
+  round(coalesce(arg_max(value, event_id) FILTER (NOT old), arg_max(value, event_id)), 4) AS value, CASE WHEN bool_or(old) THEN 0 ELSE 1 END AS first_source, coalesce(min(event_id) FILTER (old), min(event_id)) AS first_place
+FROM s GROUP BY user_id""",
+)
 def checkpoint_merge(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("repo_id"), F.col("event_id").alias("pos"), F.col("event_id"), "event_type", "value")
-    some = e.where("pos % 3 = 0")
-    merged = records.ordered_merge(some, e.select("repo_id", "pos"), e.where("pos % 3 <> 0"))
-    # The last row of a user counts wherever it comes from; first places are by event, too.
-    last = e.groupBy("repo_id").agg(F.max_by(F.struct("event_id", "event_type", "value"), "pos").alias("r"), F.min("pos").alias("first_seen"))
-    return merged.select("repo_id").join(last, "repo_id").select(F.col("repo_id").cast("long").alias("user_id"), "r.event_id", "r.event_type", F.round("r.value", 4).alias("value"), "first_seen")
+    merged = records.ordered_merge(e.where("pos % 3 = 0"), e.select("repo_id", "pos"), e.where("pos % 3 <> 0"))
+    return merged.select(F.col("repo_id").cast("long").alias("user_id"), "event_id", "event_type", F.round("value", 4).alias("value"), F.col("first.src").alias("first_source"), F.col("first.pos").alias("first_place"))
 
 
 @query(

@@ -159,14 +159,21 @@ def canonical_queries(spark: SparkSession, path: str, cases: DataFrame) -> DataF
     return doc
 
 
-def write_json(rows: DataFrame, path: str) -> None:
-    """A small report, as one pretty-printed file on the driver's disk, put in place whole."""
+def write_json(rows: DataFrame | dict, path: str) -> None:
+    """A report (rows, or one object), as one pretty-printed file on the driver's disk, put in place whole; rows pass through a few at a time."""
     import json
     import os
 
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    data = [json.loads(r) for r in rows.toJSON().take(100_000)]
     with open(path + ".tmp", "w", encoding="utf-8") as f:
-        json.dump(data, f, ensure_ascii=False, indent=2)
+        if isinstance(rows, dict):
+            json.dump(rows, f, ensure_ascii=False, indent=2)
+        else:
+            gap = "\n"
+            f.write("[")
+            for row in rows.select(F.to_json(F.struct("*")).alias("j")).toLocalIterator():
+                f.write(gap + json.dumps(json.loads(row["j"]), ensure_ascii=False, indent=2))
+                gap = ",\n"
+            f.write("\n]")
         f.write("\n")
     os.replace(path + ".tmp", path)
