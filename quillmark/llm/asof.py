@@ -6,26 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import common
 from .common import OWN
 
-WIDTH = 1024
 
-
-def latest_earlier(rows: DataFrame, keys: list[str], at: str, offered: Column, taken: Column, out: str, width: int = WIDTH) -> DataFrame:
+def latest_earlier(rows: DataFrame, keys: list[str], at: str, offered: Column, taken: Column, out: str, partitions: int | None = None) -> DataFrame:
     """The rows where `taken`, with `out`: the latest `offered` struct of an earlier row of the same keys.
 
     offered is a struct whose first field is `at` (or null where the row offers
-    nothing); earlier means a smaller `at`, a whole number. A group is cut into
-    ranges of `width` values of `at`: a running maximum within each range, and
-    one over the ranges' maxima, so that a hot key's rows are spread over tasks.
+    nothing); earlier means a smaller `at`, a whole number. Rows are cut into
+    cells, the ranges of (keys, at) of a range partitioning, which hold about as
+    many rows each, and are written once so: a running maximum within each cell,
+    and one over the cells' maxima, so that a hot key's rows are spread over
+    tasks whatever the unit of `at`. Rows of one key and `at` are in one cell.
     """
     cell, own = OWN + "cell", OWN + "offer"
-    rows = rows.withColumns({cell: F.floor(F.col(at) / width), own: offered})
+    order = [F.col(k) for k in (*keys, at)]
+    rows = rows.withColumn(own, offered)
+    rows = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
+    rows = common.written(rows.withColumn(cell, F.spark_partition_id()), "asof")
     within = Window.partitionBy(*keys, cell).orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
-    tops = rows.where(F.col(own).isNotNull()).groupBy(*keys, cell).agg(F.max(own).alias(own))
-    # Each range gets the maximum of all ranges before it; ranges that only take are in this too.
-    cells = rows.select(*keys, cell).distinct().join(tops, [*keys, cell], "left")
-    before = Window.partitionBy(*keys).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn(OWN + "carried", F.max(own).over(before)).drop(own)
+    tops = rows.groupBy(*keys, cell).agg(F.max(own).alias(own), F.min(at).alias(at))
+    # Each cell gets the maximum of all cells before it; a key has at most as many cells as there are partitions.
+    before = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    cells = tops.withColumn(OWN + "carried", F.max(own).over(before)).drop(own, at)
     inside = rows.withColumn(out, F.max(own).over(within)).where(taken)
     return inside.join(cells, [*keys, cell], "left").withColumn(out, F.coalesce(out, OWN + "carried")).drop(cell, own, OWN + "carried")

@@ -54,7 +54,7 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')), 0) AS n FROM documents
+  SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')), 0) AS n, CASE WHEN doc_id IS NULL THEN text END AS text FROM documents
 ), s AS (
   SELECT source, sum(n)::BIGINT AS tokens, count(*) AS docs FROM d GROUP BY source
 ), t AS (
@@ -81,7 +81,7 @@ WITH RECURSIVE d AS (
 ), e AS (
   SELECT *, CASE WHEN tokens > 0 THEN floor(budget::DOUBLE / tokens)::BIGINT ELSE 1 END AS epochs FROM b
 ), o AS (
-  SELECT d.doc_id, d.n, e.*, md5(concat_ws(':', '0', source, coalesce(doc_id::VARCHAR, ''))) AS h FROM d JOIN e USING (source)
+  SELECT d.doc_id, d.n, e.*, md5(concat_ws(':', '0', source, coalesce(doc_id::VARCHAR, md5(text), ''))) AS h FROM d JOIN e USING (source)
 ), p AS (
   SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % blocks AS block FROM o
 ), r AS (
@@ -119,7 +119,7 @@ FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
 
 
 def op7_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quotes.conversations(common.table(spark, sf_dir, "conversations"))
+    out = quotes.conversations(quotes.quoting_stream(common.table(spark, sf_dir, "conversations")))
     return out.select(
         F.col("conv").alias("conv_id"), "turn", "role", "text", F.col("quotes").cast("long").alias("n_quotes"), F.col("links").cast("long").alias("n_linked"),
         F.col("parent").alias("parent_turn"), F.col("root").alias("root_turn"), "position",

@@ -22,6 +22,8 @@ from pyspark.sql.window import Window
 
 from . import asof, common
 
+#: Turns of a conversation that are numbered by one task.
+WIDTH = 1024
 #: Fixed value: what stands before a quoted line's text.
 MARKS = r"^((?:[ \t]*>)+)[ \t]?"
 
@@ -111,7 +113,7 @@ def conversations(messages: DataFrame, conv: str = "conv_id", turn: str = "turn"
     # Sums over runs of turns give positions without a task for a whole conversation.
     rows = rows.join(found, ["conv", "turn"], "left").withColumns({"quotes": F.coalesce("quotes", F.lit(0)), "links": F.coalesce("links", F.lit(0)), "root": F.coalesce("root", "turn")})
     known = F.col("conv").isNotNull() & F.col("turn").isNotNull()
-    rows = rows.withColumn(common.OWN + "cell", F.floor(F.col("root") / asof.WIDTH))
+    rows = rows.withColumn(common.OWN + "cell", F.floor(F.col("root") / WIDTH))
     cells = rows.where(known).groupBy("conv", common.OWN + "cell").agg(F.count("*").alias("n"))
     before = Window.partitionBy("conv").orderBy(common.OWN + "cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("conv", common.OWN + "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias(common.OWN + "before"))
@@ -119,3 +121,20 @@ def conversations(messages: DataFrame, conv: str = "conv_id", turn: str = "turn"
     rows = rows.withColumn("position", F.row_number().over(order)).join(cells, ["conv", common.OWN + "cell"], "left")
     position = F.when(known, F.col("position") + F.col(common.OWN + "before")).cast("long")
     return rows.select("conv", "turn", "role", "text", "quotes", "links", "parent", F.when(known, F.col("root")).alias("root"), position.alias("position"))
+
+
+def quoting_stream(messages: DataFrame) -> DataFrame:
+    """conversations as mail: by their number, turns quote earlier ones of theirs, above their own text.
+
+    Of each four turns from the second on, one quotes the turn before it as a
+    whole, one that turn with its own quotes (nested), one the last paragraph
+    line of the turn two before, one nothing. Repeated rows quote the least text.
+    """
+    said = messages.where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min(F.coalesce("text", F.lit(""))).alias("said"))
+    back = lambda n, name: said.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("said").alias(name))
+    quoted = lambda text: F.concat(F.lit("> "), F.regexp_replace(text, "\n", "\n> "), F.lit("\n\n"))
+    rows = messages.join(back(1, "one"), ["conv_id", "turn"], "left").join(back(2, "two"), ["conv_id", "turn"], "left")
+    kind, line = F.col("turn") % 4, F.element_at(F.split("two", "\n"), -1)
+    nested = F.concat(F.coalesce(F.concat(F.lit("> > "), F.regexp_replace("two", "\n", "\n> > "), F.lit("\n")), F.lit("")), quoted(F.col("one")))
+    above = F.when(kind == 1, quoted(F.col("one"))).when(kind == 2, nested).when(kind == 3, quoted(line))
+    return rows.withColumn("text", F.concat(F.coalesce(above, F.lit("")), F.coalesce("text", F.lit("")))).select(*messages.columns)

@@ -11,7 +11,8 @@ Defined results: a null or blank URL, or a null time, resolves to nothing; a
 revisit without an earlier response is an 'orphan'; of responses at one time
 the larger record id counts; revisits at the same time as a response are not
 later than it; null headers are no headers, and header names are compared in
-lower case, the alphabetically last value counting where names clash.
+lower case, the alphabetically last value counting where names clash; of repeated responses
+the least payload counts, and payload columns of an output's name replace it.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import asof
+from .common import OWN
 
 #: Header fields that a 304 response updates.
 UPDATED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
@@ -87,8 +89,11 @@ def resolve_revisits(records: DataFrame, payload_cols: tuple[str, ...] = ()) ->
         F.when(verdict.isin("resolved", "unchecked"), merged_headers(full, F.col("headers"))).alias("headers"), F.col("full.digest").alias("digest"),
     )
     if payload_cols:
-        payload = records.where("kind = 'response'").select(F.col("record_id").alias("full_id"), *payload_cols)
-        out = out.join(payload, "full_id", "left").withColumns({c: F.when(F.col("verdict").isin("resolved", "unchecked"), F.col(c)) for c in payload_cols})
+        # One payload of each record, the least of repeated ones; a payload column wins over an output of its name.
+        own = {c: f"{OWN}payload_{i}" for i, c in enumerate(payload_cols)}
+        payload = records.where("kind = 'response' and status = 200").groupBy(F.col("record_id").alias("full_id")).agg(F.min(F.struct(*(F.col(c).alias(own[c]) for c in payload_cols))).alias(OWN + "payload"))
+        holds = F.col("verdict").isin("resolved", "unchecked")
+        out = out.join(payload, "full_id", "left").withColumns({c: F.when(holds, F.col(f"{OWN}payload.{own[c]}")) for c in payload_cols}).drop(OWN + "payload")
     return out
 
 

@@ -102,6 +102,10 @@ def test_mixing_meets_its_targets(spark):
     assert all(budget[s] <= 5.01 * have[s] for s in "abc")
     draws = collections.Counter((r["doc_id"], r["text"], r[mixing.EPOCH]) for r in got)
     assert set(draws.values()) == {1}
+    with pytest.raises(ValueError):
+        mixing.drawn(df, max_repeats=2.0, budget_share=3.0)
+    nameless = spark.createDataFrame([(None, f"t{i} x", "s") for i in range(50)] + [(None, "long " * 30_000, "s")], "doc_id long, text string, source string")
+    assert len({r[mixing.BLOCK] for r in mixing.drawn(nameless).collect()}) > 1
     assert mixing.mixed(df).columns == df.columns and mixing.mixed(df.limit(0)).count() == 0
 
 
@@ -109,7 +113,7 @@ def test_asof_equals_brute_force(spark):
     rng = random.Random(2)
     rows = [(rng.choice("ab"), rng.randrange(5000), rng.random() < 0.4, i) for i in range(800)]
     df = spark.createDataFrame(rows, "k string, t long, full boolean, i long")
-    got = {r["i"]: r["o"] for r in asof.latest_earlier(df, ["k"], "t", F.when(F.col("full"), F.struct("t", "i")), ~F.col("full"), "o", width=64).collect()}
+    got = {r["i"]: r["o"] for r in asof.latest_earlier(df, ["k"], "t", F.when(F.col("full"), F.struct("t", "i")), ~F.col("full"), "o", partitions=13).collect()}
     for k, t, full, i in rows:
         if not full:
             want = max(((u, j) for kk, u, f, j in rows if f and kk == k and u < t), default=None)
@@ -135,6 +139,8 @@ def test_revisits(spark):
     assert {i: (r["full_id"], r["verdict"]) for i, r in got.items()} == {3: (1, "resolved"), 5: (4, "changed"), 6: (None, "orphan"), 7: (None, "orphan"), 9: (8, "resolved"), 10: (1, "resolved")}
     assert got[3]["headers"] == {"etag": 'W/"1"', "content-type": "text/html", "date": "d3"} and got[3]["body"] == "body 1" and got[5]["body"] is None
     assert warc.resolve_revisits(df.limit(0)).count() == 0
+    clash = warc.resolve_revisits(df.union(df), ("digest",)).where("record_id = 3").collect()
+    assert [r["digest"] for r in clash] == ["p1", "p1"]
 
 
 def test_quotes(spark):
@@ -159,6 +165,50 @@ def test_quotes(spark):
     assert r[None, 1]["position"] is None and quotes.conversations(df.limit(0)).count() == 0
 
 
+def quotes_brute(rows):
+    """{(conv, turn): (quotes, links, parent)} of rows without repeats, by comparing every quote with everything said before."""
+    blank, mark = re.compile(r"[ \t\x0b\f\r]*$"), re.compile(r"((?:[ \t]*>)+)[ \t]?")
+    plain = lambda lines: re.sub(r"[ \t\x0b\f\r\n]+", " ", " ".join(lines)).strip(" ").lower()
+
+    def passages(text):
+        out, last = [], None
+        for line in re.split("\r\n|\n|\r", text or ""):
+            m = mark.match(line)
+            body = line[m.end() :] if m else line
+            level = None if blank.match(body) else m.group(1).count(">") if m else 0
+            if level is not None:
+                out[-1][1].append(body) if level == last else out.append((level, [body]))
+            last = level
+        return out
+
+    said = collections.defaultdict(list)
+    for conv, turn, _, text in rows:
+        said[conv].append((turn, passages(text)))
+    out = {}
+    for conv, turns in said.items():
+        for turn, parts in turns:
+            quotes = {(level, plain(lines), len(lines)) for level, lines in parts if level}
+            found = []
+            for level, text, n in quotes:
+                earlier = [u for u, ps in turns if u < turn for lv, lines in ps if lv == 0 and (plain(lines) == text or any(plain(lines[i : i + k]) == text for k in {1, n} for i in range(len(lines) - k + 1)))]
+                found.append((level, max(earlier, default=None)))
+            linked = [(level, -u) for level, u in found if u is not None]
+            out[conv, turn] = (len({(q[0], q[1]) for q in quotes}), len(linked), -min(linked)[1] if linked else None)
+    return out
+
+
+def test_quoting_stream_equals_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda: rng.choice(["alpha", "Beta", "gamma", "delta", "eps"])
+    line = lambda: " ".join(word() for _ in range(rng.randrange(1, 5)))
+    rows = [(c, t, "user", "\n".join(rng.choice([line(), line(), line(), ""]) for _ in range(rng.randrange(1, 7)))) for c in range(12) for t in range(9)]
+    rows += [(50, 0, "user", "word " * 40_000 + "\nend"), (50, 1, "user", "ok"), (50, 2, "user", None)]
+    df = quotes.quoting_stream(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    want = quotes_brute([tuple(r) for r in df.select("conv_id", "turn", "role", "text").collect()])
+    got = {(r["conv"], r["turn"]): (r["quotes"], r["links"], r["parent"]) for r in quotes.conversations(df).collect()}
+    assert got == want and sum(n for _, n, _ in want.values()) > 40
+
+
 def test_word_encoder_equals_tokenizer():
     rng = random.Random(3)
     encoder = packing.WordEncoder()
