@@ -14,9 +14,11 @@ OWN = "__qm_"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder for work tables: spark.checkpoint.dir, set here only where it is unset."""
+    """The shared folder for work tables: spark.checkpoint.dir; set here only on one machine, where it is unset."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         shared = tempfile.mkdtemp(prefix="quillmark-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared.rstrip("/")

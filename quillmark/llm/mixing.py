@@ -16,7 +16,8 @@ all documents of a source.
 
 Defined results: tokens are runs of non-space; null and empty texts have none
 and come once for each whole epoch, and in the last one while budget is left;
-a null source is a source of its own; repeated rows are documents of their own;
+a null source is a source of its own; rows without an id are dealt by their
+text; a budget that no weights can keep to max_repeats is an error; repeated rows are documents of their own;
 sources without any token get their rows once.
 """
 
@@ -46,6 +47,8 @@ def tokens(text: Column) -> Column:
 def exponent(totals: DataFrame, target_entropy: float, max_repeats: float, budget: float) -> float:
     """The exponent for the sources' positive totals; one row to the driver in each pass."""
     edge = totals.agg(F.sum("tokens").alias("all"), F.min("tokens").alias("least"), F.count("*").alias("sources")).first()
+    if edge["sources"] and budget > max_repeats * edge["all"]:
+        raise ValueError("a budget beyond max_repeats times all tokens repeats some source more often than that")
     if not edge["sources"]:
         return 1.0
     p = F.col("tokens") / edge["all"]
@@ -97,7 +100,7 @@ def drawn(
     rows = docs.withColumns({TOKENS: tokens(F.col(text_col)), SOURCE: F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE))})
     plan = planned(rows.select(SOURCE, TOKENS), target_entropy, max_repeats, budget_share)
     # md5, as other engines have it too.
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(SOURCE), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(SOURCE), F.coalesce(F.col(id_col).cast("string"), F.md5(F.col(text_col)), F.lit(""))))
     dealt = rows.join(plan, SOURCE).withColumn(ORDER, order)
     dealt = dealt.withColumn(BLOCK, F.conv(F.substring(ORDER, 1, 8), 16, 10).cast("long") % F.col(BLOCKS))
     earlier = Window.partitionBy(SOURCE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
