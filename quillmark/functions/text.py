@@ -6,6 +6,8 @@ stated as fixed values.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -335,6 +337,6 @@ def fenced_json(content: Column) -> Column:
     return F.when(text.startswith("```"), F.coalesce(stripped(bare), F.lit(""))).otherwise(text)
 
 
-def prompt_hash(version: int, prompt: Column) -> Column:
-    """sha256 of a prompt's version and text, a line feed between them; null for a null prompt."""
-    return F.sha2(F.concat(F.lit(f"{version}\n"), prompt), 256)
+def prompt_hash(version: int, system: str) -> str:
+    """sha256 of a prompt's version and system text as sorted JSON; the same for all rows."""
+    return hashlib.sha256(json.dumps({"prompt_version": version, "system_prompt": system}, ensure_ascii=False, sort_keys=True).encode()).hexdigest()

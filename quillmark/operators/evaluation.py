@@ -126,6 +126,14 @@ def inspected(results: DataFrame, status: str | None = None, tag: str | None = N
     return rows.where(text.intent_type(F.col("query")) == intent) if intent else rows
 
 
+def selected_cases(cases: DataFrame, tag: str | None = None, intent: str | None = None, limit: int | None = None) -> DataFrame:
+    """Cases with their query_intent, of a tag and an intent, the first ones in the dataset's order."""
+    rows = cases.withColumn("query_intent", text.intent_type(F.col("query")))
+    rows = rows.where(F.array_contains("tags", tag)) if tag else rows
+    rows = rows.where(F.col("query_intent") == intent) if intent else rows
+    return rows if limit is None else rows.orderBy("pos").limit(max(0, limit))
+
+
 def case_histogram(cases: DataFrame, limit: int = 20) -> DataFrame:
     """(section, name, n): the most common tags, and all intents."""
     from .records import most_common

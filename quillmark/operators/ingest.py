@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,3 +111,52 @@ def report(outcomes: DataFrame) -> DataFrame:
 
 def failure(repo_id: Column, reason: Column, at: Column) -> Column:
     return F.struct(repo_id.alias("repo_id"), reason.alias("reason"), reason.alias("error"), at.alias("attempted_at"))
+
+
+def resumed(refreshed: DataFrame, checkpoint: DataFrame) -> DataFrame:
+    """Records with the profiles that an earlier run of the same refresh had made, and `resumed`; those rows need no call."""
+    done = checkpoint.where("llm_profile is not null").groupBy("repo_id").agg(F.max_by("llm_profile", "pos").alias("done"))
+    rows = refreshed.join(done, "repo_id", "left").withColumn("resumed", F.col("done").isNotNull())
+    return rows.withColumn("llm_profile", F.coalesce("done", "llm_profile")).drop("done").select(*refreshed.columns, "resumed")
+
+
+def refresh_report(rows: DataFrame, reason: Column) -> DataFrame:
+    """One row of counts of a refresh's rows (with resumed, new_profile and refresh_error): what was due is refreshed, resumed or failed, the rest is skipped."""
+    resumed, failed = F.coalesce("resumed", F.lit(False)), F.col("refresh_error").isNotNull()
+    made = F.col("new_profile").isNotNull()
+    return rows.agg(
+        F.count("*").alias("input_count"), F.count_if(made & ~resumed).alias("refreshed_count"), F.count_if(resumed).alias("resumed_count"),
+        F.count_if(~resumed & ~made & ~failed & reason.isNull()).alias("skipped_count"), F.count_if(failed).alias("failed_count"),
+    )
+
+
+def run(requested: DataFrame, existing: DataFrame, take: Callable[[DataFrame], DataFrame], checkpoint: str, taken_at: Column, resume: bool = False, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(records in order, outcomes): take what the plan says, append it to the checkpoint, merge it with what is there.
+
+    take() makes snapshots of (repo_id); snapshots with an error are outcomes, not
+    records. A checkpoint of an earlier run is only used to resume it.
+    """
+    from ..operators.health import guard
+    from .records import ordered_merge
+
+    spark = requested.sparkSession
+    guard(spark, checkpoint, resume, force)
+    blank = spark.createDataFrame([], "repo_id string, pos long")
+    before = spark.read.parquet(checkpoint) if resume else blank
+    todo = plan(requested, existing, before, force=force)
+    snapshots = take(todo.where("action = 'process'").select("repo_id"))
+    made = records_of(snapshots, taken_at).withColumn("asked", F.col("repo_id_requested"))
+    failed = snapshots.where("error is not null").select(F.col("repo_id_requested").alias("repo_id"), F.lit(None).cast("string").alias("asked"), "error")
+    rows = made.withColumn("error", F.lit(None).cast("string")).unionByName(failed, allowMissingColumns=True)
+    rows.withColumn("pos", F.monotonically_increasing_id()).write.mode("append" if resume else "overwrite").parquet(checkpoint)
+    done = spark.read.parquet(checkpoint)
+    good = done.where("error is null").drop("error", "asked")
+    merged = ordered_merge(existing, requested.select("repo_id", "pos"), good)
+    bad = done.where("error is not null").groupBy("repo_id").agg(F.max_by("error", "pos").alias("error"))
+    outcomes = todo.join(bad, "repo_id", "left").select("repo_id", "pos", F.when((F.col("action") == "process") & F.col("error").isNotNull(), "failed").when(F.col("action") == "process", "generated").when(F.col("action") == "resumed", "resumed").otherwise("skipped").alias("outcome"), "error")
+    return merged, outcomes
+
+
+def succeeded(outcomes: DataFrame) -> bool:
+    """Whether a run did anything: it fails only if all that was asked failed."""
+    return outcomes.isEmpty() or not outcomes.where("outcome <> 'failed'").isEmpty()

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..schemas import PROFILE_PROMPT
+from ..schemas import JUDGE_PROMPT, PROFILE_PROMPT
 from .records import KEPT_FIELDS, LIST_FIELDS, TEXT_FIELDS
 
 VERDICT = "struct<verdict:string,difference_size:string,query_specificity:string,language_ecosystem_material:boolean,reason_short:string,expected_advantages:array<string>,top1_advantages:array<string>,confidence:string>"
@@ -144,17 +144,39 @@ def parsed_verdict(content: Column) -> Column:
     return F.when(raw.startswith("{") & F.try_parse_json(raw).isNotNull(), out)
 
 
-def refreshed(records: DataFrame, chat: Callable[[list[str]], list[str]], model: str, now: Column, reason: Column, prompt: Column | None = None) -> DataFrame:
+def refreshed(records: DataFrame, chat: Callable[[list[str]], list[str]], model: str, now: Column, reason: Column, system: str = "") -> DataFrame:
     """All records, those whose refresh reason isn't null with new profiles; a failure keeps the old one and says why in `refresh_error`."""
-    prompt = profile_input() if prompt is None else prompt
-    due = records.where(reason.isNotNull()).withColumn("prompt", prompt)
+    due = records.where(reason.isNotNull()).withColumn("prompt", profile_input())
     rows = asked(due, "prompt", chat, 16).unionByName(records.where(reason.isNull()), allowMissingColumns=True)
     new = parsed_profile(F.col("answer"))
-    made = F.struct(*(new[k].alias(k) for k in (*TEXT_FIELDS, *LIST_FIELDS, "confidence", "abstained")), F.lit("openai_compatible").alias("provider"), F.lit(model).alias("model"), now.alias("generated_at"), F.lit(PROFILE_PROMPT).alias("prompt_version"), text.prompt_hash(PROFILE_PROMPT, F.col("prompt")).alias("prompt_hash"))
+    made = F.struct(*(new[k].alias(k) for k in (*TEXT_FIELDS, *LIST_FIELDS, "confidence", "abstained")), F.lit("openai_compatible").alias("provider"), F.lit(model).alias("model"), now.alias("generated_at"), F.lit(PROFILE_PROMPT).alias("prompt_version"), F.lit(text.prompt_hash(PROFILE_PROMPT, system)).alias("prompt_hash"))
     failed = F.col("prompt").isNotNull() & new.isNull()
     return rows.withColumns({"new_profile": F.when(F.col("prompt").isNotNull() & new.isNotNull(), made), "refresh_error": F.when(failed, F.coalesce("error", F.lit("the answer was no JSON object")))}).drop("prompt", "answer", "error")
 
 
+def judge_inputs(results: DataFrame, records: DataFrame) -> DataFrame:
+    """(id, prompt) of the cases whose top hit is neither expected nor acceptable: both records as evidence.
+
+    A case whose expected or top record isn't among the records is an error
+    when its prompt is used.
+    """
+    evidence = records.groupBy("repo_id").agg(F.max_by(profile_input(), "pos").alias("evidence"))
+    side = lambda c: evidence.select(F.col("repo_id").alias(c), F.col("evidence").alias(c + "_evidence"))
+    due = results.where("not exact_match and not acceptable_match and top_repo_id is not null").select("id", "query", "expected_repo_id", "top_repo_id")
+    rows = due.join(side("expected_repo_id"), "expected_repo_id", "left").join(side("top_repo_id"), "top_repo_id", "left")
+    known = lambda c: F.when(F.col(c + "_evidence").isNull(), F.raise_error(F.concat(F.lit("no record of "), c)).cast("string")).otherwise(F.col(c + "_evidence"))
+    prompt = F.concat(F.lit('{"query": '), text.json_string(F.col("query")), F.lit(', "expected_repo": '), known("expected_repo_id"), F.lit(', "top1_repo": '), known("top_repo_id"), F.lit("}"))
+    return rows.select("id", prompt.alias("prompt"))
+
+
+def judged(results: DataFrame, records: DataFrame, chat: Callable[[list[str]], list[str]], system: str = "") -> DataFrame:
+    """(id, verdict, difference_size, ..., judge_error, prompt_version, prompt_hash) of the misses: a judge's verdicts for case_results."""
+    rows = asked(judge_inputs(results, records), "prompt", chat)
+    verdict = parsed_verdict(F.col("answer"))
+    failed = F.when(verdict.isNull(), F.coalesce("error", F.lit("the answer was no JSON object")))
+    return rows.select("id", verdict.alias("v"), failed.alias("judge_error")).select("id", "v.*", "judge_error", F.lit(JUDGE_PROMPT).alias("prompt_version"), F.lit(text.prompt_hash(JUDGE_PROMPT, system)).alias("prompt_hash"))
+
+
 def hash_embedding(texts: list[str], dimension: int = 64) -> list[list[float]]:
     """A deterministic stand-in for an embedding model: hashed tokens, unit length."""
     out = []

@@ -131,6 +131,33 @@ def failed_ids(spark: SparkSession, path: str) -> DataFrame:
     return doc.select(F.explode("failed").alias("f")).select("f.repo_id").where(text.stripped(F.col("repo_id")).isNotNull()).distinct()
 
 
+REPORT = "dataset_name STRING, case_count BIGINT, metrics MAP<STRING, DOUBLE>, results ARRAY<STRUCT<id: STRING, query: STRING, expected_repo_id: STRING, top_repo_id: STRING, top_confidence: STRING, exact_rank: INT, acceptable_rank: INT, top1_status: STRING, tags: ARRAY<STRING>>>"
+
+
+def eval_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(results, one row of dataset_name, case_count and metrics) of an evaluation report, a JSON object."""
+    doc = json_object(spark, path, "the evaluation report", REPORT)
+    rows = doc.select(F.explode("results").alias("r")).select("r.*")
+    exact, fine = (F.col("top1_status").isin(*s) for s in (["exact"], ["exact", "acceptable"]))
+    return rows.withColumns({"exact_match": exact, "acceptable_match": fine, "abstained": F.col("top_repo_id").isNull()}), doc.drop("results")
+
+
+def write_index(entries: DataFrame, path: str, meta: dict) -> None:
+    """An index file: its meta fields, and the entries in order of pos, vectors as base64; entries pass through a few at a time."""
+    import json
+    import os
+
+    head = json.dumps(meta | {"record_count": entries.count()}, ensure_ascii=False)[:-1]
+    raw = entries.withColumn("v", encoded(F.col("vector"))).orderBy("pos")
+    row = F.struct("repo_id", "embedding_input_fingerprint", F.col("v").alias("vector"), "metadata")
+    with open(path + ".tmp", "w", encoding="utf-8") as f:
+        f.write(head + ', "vectors": [')
+        for i, r in enumerate(raw.select(F.to_json(row).alias("j")).toLocalIterator()):
+            f.write(",\n"[: 2 if i else 0] + r["j"])
+        f.write("]}\n")
+    os.replace(path + ".tmp", path)
+
+
 CASE = "id: STRING, query: STRING, expected_repo_id: STRING, acceptable_repo_ids: ARRAY<STRING>, acceptable: ARRAY<STRING>, acceptable_families: ARRAY<STRING>, tags: ARRAY<STRING>, notes: STRING"
 
 

@@ -205,3 +205,165 @@ def test_records_by_id_and_merge(spark):
     done = spark.createDataFrame([("a", 0, "new"), ("b", 1, "b")], "repo_id string, pos long, name string")
     merged = records.ordered_merge(r.where("repo_id = 'a' and pos = 0"), done.select("repo_id", "pos"), done).orderBy("first").collect()
     assert [(x["repo_id"], x["name"]) for x in merged] == [("a", "new"), ("b", "b")]
+
+
+def evidenced(records):
+    return records.withColumns({"structure": F.lit(None).cast("struct<signals:array<string>>"), "evidence_gaps": F.array().cast("array<string>")})
+
+
+def test_models_are_asked_for_due_rows_only(spark, tmp_path):
+    from quillmark.operators import generate
+
+    rows = evidenced(generate.synthetic_records(spark, 6).coalesce(1))
+    log = str(tmp_path / "asked")
+
+    def chat(prompts):
+        with open(log, "a") as f:
+            f.writelines(json.dumps(p) + "\n" for p in prompts)
+        return ['{"summary": "new"}' for _ in prompts]
+
+    due = F.when(F.col("pos") == 3, F.lit("why"))
+    got = models.refreshed(rows, chat, "m", F.lit("now"), due, "be brief").collect()
+    asked = [json.loads(line) for line in open(log)]
+    assert len(got) == 6 and len(asked) == 1 and json.loads(asked[0])["repo_id"] == "synthetic/repo-000003"
+    made = {r["pos"]: r["new_profile"] for r in got}
+    assert made[3]["summary"] == "new" and made[3]["prompt_hash"] == text.prompt_hash(2, "be brief") and not any(v for p, v in made.items() if p != 3)
+    some = spark.createDataFrame([(1, None), (2, "x"), (3, None)], "id int, p string")
+    assert {r["id"]: r["answer"] for r in models.asked(some, "p", lambda ps: [p.upper() for p in ps]).collect()} == {1: None, 2: "X", 3: None}
+    report = ingest.refresh_report(models.refreshed(rows, chat, "m", F.lit("now"), due).withColumn("resumed", F.lit(False)), due).first()
+    assert (report["input_count"], report["refreshed_count"], report["skipped_count"], report["failed_count"]) == (6, 1, 5, 0)
+
+
+def test_build_keeps_rows_of_repeated_ids(spark):
+    from quillmark.operators import generate
+
+    made = generate.synthetic_records(spark, 4).withColumn("repo_id", F.lit("one/id"))
+    none = spark.createDataFrame([], ENTRY + ", embedding_input_fingerprint string")
+    got = index.build(made, none, lambda texts: models.hash_embedding(texts, 8), 8).collect()
+    assert len(got) == 4 and len({tuple(r["vector"]) for r in got}) == 4
+
+
+def test_verify_finds_each_fault(spark):
+    from quillmark.operators import generate
+
+    made = generate.synthetic_records(spark, 10)
+    full = index.build(made, spark.createDataFrame([], ENTRY + ", embedding_input_fingerprint string"), lambda texts: models.hash_embedding(texts, 8), 8)
+    counts = lambda e: {r["name"]: r["n"] for r in index.verify(made, e, 8, {"record_count": 10}).collect()}
+    fine = counts(full)
+    assert fine["missing_vectors"] == fine["stale_vectors"] == fine["duplicate_vectors"] == fine["extra_vectors"] == fine["record_count_mismatch"] == 0 and fine["vector_count"] == 10
+    odd = full.where("pos > 0").withColumns({"repo_id": F.when(F.col("pos") == 1, "ex/tra").when(F.col("pos") == 3, F.lit("synthetic/repo-000002")).otherwise(F.col("repo_id")), "vector": F.when(F.col("pos") == 5, F.slice("vector", 1, 3)).when(F.col("pos") != 6, F.col("vector")), "embedding_input_fingerprint": F.when(F.col("pos") == 7, "").otherwise(F.col("embedding_input_fingerprint"))})
+    got = counts(odd)
+    assert {k: got[k] for k in ("missing_vectors", "stale_vectors", "missing_fingerprints", "invalid_vectors", "dimension_mismatch", "duplicate_vectors", "extra_vectors")} == {"missing_vectors": 3, "stale_vectors": 2, "missing_fingerprints": 1, "invalid_vectors": 1, "dimension_mismatch": 1, "duplicate_vectors": 1, "extra_vectors": 1}
+
+
+def test_judge(spark):
+    from quillmark.operators import generate
+
+    recs = evidenced(generate.synthetic_records(spark, 3))
+    name = "synthetic/repo-00000"
+    results = spark.createDataFrame([("a", "q", name + "0", name + "1", False, False), ("b", "q", name + "0", name + "0", True, True), ("c", "q", name + "0", None, False, False)], "id string, query string, expected_repo_id string, top_repo_id string, exact_match boolean, acceptable_match boolean")
+    got = models.judged(results, recs, lambda ps: [json.dumps({"verdict": "acceptable_substitute"}) if json.loads(p)["top1_repo"]["repo_id"] == name + "1" else "no" for p in ps]).collect()
+    assert [(r["id"], r["verdict"], r["judge_error"]) for r in got] == [("a", "acceptable_substitute", None)]
+    with pytest.raises(Exception, match="no record of"):
+        models.judge_inputs(results.withColumn("top_repo_id", F.lit("x/y")), recs).collect()
+    assert evaluation.judge_counts(spark.createDataFrame([("serious_mismatch", "large")], "verdict string, difference_size string")).count() == 2
+
+
+def test_endpoints(tmp_path):
+    from quillmark.sources import endpoints
+
+    env = {"A": "kept"}
+    (tmp_path / ".env").write_text("# c\nA=1\nB = 'two'\nEMBEDDING_API_KEY=k\nEMBEDDING_BASE_URL=http://h/v1/\n")
+    endpoints.load_env(str(tmp_path / ".env"), env)
+    assert env["A"] == "kept" and env["B"] == "two"
+    with pytest.raises(endpoints.NotConfigured, match="EMBEDDING_MODEL"):
+        endpoints.endpoint("embedding", env)
+    config = endpoints.endpoint("embedding", env | {"EMBEDDING_MODEL": "m"})
+    assert "'k'" not in repr(config)
+    calls = []
+
+    def post(url, body, headers, timeout):
+        calls.append(url)
+        if url.endswith("/embeddings"):
+            raise endpoints.EndpointError("no", 404)
+        return [[1.0]] * len(body["inputs"])
+
+    assert endpoints.embedder(config, post)(["a", "b"]) == [[1.0], [1.0]] and calls == ["http://h/v1/embeddings", "http://h/embed"]
+    with pytest.raises(ValueError):
+        endpoints.embedded_query(endpoints.embedder(config, post), " ")
+    tries = []
+
+    def flaky(url, body, headers, timeout):
+        tries.append(body["temperature"])
+        if len(tries) < 3:
+            raise endpoints.EndpointError("busy", 503)
+        return {"choices": [{"message": {"content": "{}"}}]}
+
+    assert endpoints.chatter(config, "s", flaky, sleep=lambda s: None)(["p"]) == ["{}"] and tries == [0, 0, 0]
+    assert endpoints.tokens({"GITHUB_TOKENS": "a, b", "GITHUB_TOKEN": "c"}) == ["a", "b"] and endpoints.tokens({"GITHUB_TOKEN": "c"}) == ["c"] and endpoints.tokens({}) == []
+
+
+def test_graph_snapshots_and_ingest(spark, tmp_path):
+    from quillmark.operators import health
+
+    known = {"nameWithOwner": "a/b", "name": "b", "url": "https://h/a/b", "description": "d", "repositoryTopics": {"nodes": [{"topic": {"name": "t"}}, {"topic": None}]}, "issues": {"totalCount": 2}, "pullRequests": {"totalCount": 3}, "readme1": {"text": "hello"}, "tree": {"entries": [{"name": "src", "object": {"entries": [{"name": "x", "object": {"entries": [{"name": "y"}]}}]}}, {"name": "go.mod", "object": {}}]}}
+
+    def transport():
+        def post(query, variables):
+            return {"data": {f"r{i}": known if variables[f"name{i}"] == "b" else None for i in range(len(variables) // 2)}}
+
+        return post
+
+    repos = spark.createDataFrame([("a/b", 0), ("no/ne", 1)], "repo_id string, pos long")
+    rows = {r["repo_id_requested"]: r for r in hosting.graph_snapshots(repos, transport).collect()}
+    assert rows["no/ne"]["status"] == 404 and rows["a/b"]["paths"] == ["src", "src/x", "src/x/y", "go.mod"] and rows["a/b"]["readme_path"] == "README.markdown"
+    assert json.loads(rows["a/b"]["metadata"])["open_issues_count"] == 5 and json.loads(rows["a/b"]["metadata"])["topics"] == ["t"]
+    with pytest.raises(ValueError):
+        hosting.graph_query([])
+    path, none = str(tmp_path / "ck"), spark.createDataFrame([], "repo_id string, pos long")
+    merged, outcomes = ingest.run(repos, none, lambda r: hosting.graph_snapshots(r, transport), path, F.lit("now"))
+    assert {r["repo_id"]: r["outcome"] for r in outcomes.collect()} == {"a/b": "generated", "no/ne": "failed"} and ingest.succeeded(outcomes)
+    assert {r["repo_id"]: r["name"] for r in merged.collect()}["a/b"] == "b"
+    with pytest.raises(health.Refused):
+        ingest.run(repos, none, lambda r: hosting.graph_snapshots(r, transport), path, F.lit("now"))
+
+
+def test_files_round_trip(spark, tmp_path):
+    from quillmark.operators import generate
+
+    e = generate.synthetic_entries(spark, 5, 4).withColumn("metadata", F.col("metadata"))
+    files.write_index(e, str(tmp_path / "index.json"), {"index_version": 3, "dimension": 4})
+    back, meta = files.index(spark, str(tmp_path / "index.json"))
+    want = {r["repo_id"]: list(r["vector"]) for r in e.collect()}
+    assert {r["repo_id"]: list(r["vector"]) for r in back.collect()} == want and meta.first()["record_count"] == 5
+    files.write_json(spark.range(3), str(tmp_path / "r.json"))
+    assert json.loads((tmp_path / "r.json").read_text()) == [{"id": 0}, {"id": 1}, {"id": 2}]
+    files.write_json(spark.range(0), str(tmp_path / "r.json"))
+    assert json.loads((tmp_path / "r.json").read_text()) == []
+    files.append_checkpoint(spark.createDataFrame([("a/b", "n")], "repo_id string, name string"), str(tmp_path / "ck"))
+    assert files.checkpoint(spark, str(tmp_path / "ck/*.json")).first()["name"] == "n"
+    (tmp_path / "d.json").write_text(json.dumps({"schema_version": 1, "dataset_name": "d", "families": {"f": ["a/b"]}, "cases": [{"id": "c", "query": "alternative to redis", "expected_repo_id": "a/b", "tags": ["t"]}]}))
+    cases, families = files.dataset(spark, str(tmp_path / "d.json"))
+    assert cases.first()["acceptable_families"] == [] and families.first()["repo_ids"] == ["a/b"]
+    (tmp_path / "q.json").write_text('{"c": "redis"}')
+    assert files.canonical_queries(spark, str(tmp_path / "q.json"), cases).first()["canonical"] == "redis"
+    (tmp_path / "rep.json").write_text(json.dumps({"dataset_name": "d", "results": [{"id": "c", "query": "q", "top1_status": "serious_mismatch", "tags": ["t"]}]}))
+    results, _ = files.eval_report(spark, str(tmp_path / "rep.json"))
+    assert evaluation.inspected(results, "serious_mismatch", "t").count() == 1
+    assert evaluation.selected_cases(cases, "t", "alternative", 5).count() == 1 and evaluation.selected_cases(cases, "u").count() == 0
+
+
+def test_health(spark, tmp_path):
+    from quillmark.operators import health
+
+    rows = {r["name"]: r["status"] for r in health.doctor(spark, {"records": str(tmp_path / "none")}, {}).collect()}
+    assert rows == {"embedding": "error", "rerank": "warn", "llm": "warn", "records": "warn"}
+    repos = spark.createDataFrame([("a/b",)], "repo_id string")
+    cases = spark.createDataFrame([("c", "a/b", ["a/b", "x/y"])], "id string, expected_repo_id string, acceptable_set array<string>")
+    meta = spark.createDataFrame([(1,)], "record_count long")
+    results = spark.createDataFrame([("exact",)], "top1_status string")
+    got = {r["name"]: r["ok"] for r in health.smoke(repos, repos, repos, meta, results, cases).collect()}
+    assert got == {"repos": True, "records": True, "index": True, "eval_report": True, "eval_dataset": False}
+    hits = spark.createDataFrame([(1, "a/b", 0.5, "exploratory")], "rk int, repo_id string, score double, confidence string")
+    assert health.hit_lines(hits.collect()) == ["1. a/b  0.5  exploratory"] and health.hit_lines([]) == ["no results"]
+    assert health.gate_lines(evaluation.gate(spark.createDataFrame([(1.0, 1.0, 0.0)], "exact_top1_rate double, effective_top1_rate double, serious_top1_error_rate double")).collect())[0] == "ok exact_top1_rate 1 >= 0.88"
