@@ -67,7 +67,7 @@ CLUSTERS, APART, LEAST_TOXIC = 8, 0.93, 12
 #: Thresholds of a window's distance, in bytes.
 BEYOND = (2, 3, 5)
 #: Words whose distances a worker keeps of each pair; it forgets all of them beyond that.
-WORDS_KEPT = 60_000
+WORDS_KEPT = 100_000
 _LETTERS = np.array([b for b in range(256) if b >= 128 or 97 <= b <= 122])
 
 
@@ -107,15 +107,28 @@ def held(text: list[bytes], of: np.ndarray | None = None) -> tuple[np.ndarray, n
     return h, (n[:, None] >= np.array(TIMES)).astype(np.int64)
 
 
-def counted(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted span hashes, texts that hold each as often as each of TIMES)."""
+def counted(texts: list[list[bytes]], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted span hashes, texts that hold each as often as each of TIMES) of the spans of `least` texts or more.
+
+    A first pass counts texts by part of the hash, so that rare spans, which are
+    most, are never held.
+    """
+    part = np.uint64((1 << 22) - 1)
+    rough = np.zeros(1 << 22, np.uint16)
+    for t in texts:
+        rough[np.unique(held(t)[0] & part)] += 1
     keys, total = np.zeros(0, np.uint64), np.zeros((0, len(TIMES)), np.int64)
     for i in range(0, len(texts), MERGED):
-        parts = [(keys, total), *(held(t) for t in texts[i : i + MERGED])]
+        parts = [(keys, total)]
+        for t in texts[i : i + MERGED]:
+            h, n = held(t)
+            often = rough[h & part] >= least
+            parts.append((h[often], n[often]))
         keys, inverse = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
         n = np.concatenate([n for _, n in parts])
         total = np.stack([np.bincount(inverse, n[:, j], len(keys)) for j in range(len(TIMES))], axis=1).astype(np.int64)
-    return keys, total
+    often = total[:, 0] >= least
+    return keys[often], total[often]
 
 
 def unlike(texts: list[list[bytes]]) -> np.ndarray:
@@ -195,10 +208,12 @@ class Learner:
         self.y = np.arange(len(self.texts)) < len(toxic)
         # Near copies tell no more than one text.
         self.new = np.concatenate([unlike(toxic), unlike(ordinary)])
-        keys, n = counted([t for t, new in zip(toxic, self.new) if new])
         n1, n0 = (int((self.new & (self.y == y)).sum()) for y in (True, False))
-        best = ratio_of(n, np.zeros_like(n), n1, max(1, n0)).max(axis=1)  # what no ordinary text would make of it
-        often = best >= min(EVIDENCE, best.max(initial=0))
+        # What no ordinary text would make of a span of k toxic texts.
+        best = ratio_of(np.arange(n1 + 1), np.zeros(n1 + 1), n1, max(1, n0))
+        enough = np.flatnonzero(best >= EVIDENCE)
+        keys, n = counted([t for t, new in zip(toxic, self.new) if new], int(enough[0]) if len(enough) else min(2, n1))
+        often = n.max(axis=1, initial=0) > 0
         self.keys = keys[often]
         self.held = [held(t, self.keys) if new else None for t, new in zip(self.texts, self.new)]
 
