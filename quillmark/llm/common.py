@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +46,29 @@ def remainder(doc_id: Column | str, mod: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod
 
 
+_kept: dict[Hashable, Any] = {}
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """A worker's object of that key, made once and kept from task to task until given_back()."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def given_back() -> None:
+    """Drops what a worker keeps of other operators' tasks and returns freed memory to the system.
+
+    Workers outlive the tasks of one operator, and allocators would hold the
+    most that any task needed: stages of a pipeline would add up.
+    """
+    _kept.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node of an edge: component is the smallest node reachable.
 

@@ -78,6 +78,7 @@ def counted(rows: DataFrame) -> np.ndarray:
     """(2, BUCKETS) n-gram counts of all rows (text, target) and of the target rows, summed up a tree of tasks."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.given_back()
         total = np.zeros((2, BUCKETS), np.int64)
         for pdf in batches:
             flag = pdf["target"].to_numpy(bool)
@@ -136,9 +137,11 @@ def log_weight(text: Column | str, ratio: np.ndarray) -> Column:
 
     @F.pandas_udf("double")
     def weigh(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        common.given_back()
         table = np.frombuffer(data, np.float32).astype(float)
         for texts in batches:
             yield pd.Series(log_weights(texts, table))
+        common.given_back()
 
     return weigh(text)
 

@@ -387,8 +387,11 @@ def score(text: Column | str, model: Model | None) -> Column:
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        common.given_back()
         scorer = model.scorer()
         for texts in batches:
             yield pd.Series(scorer.scores(texts))
+        del scorer
+        common.given_back()
 
     return scored(text)

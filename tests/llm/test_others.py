@@ -219,6 +219,13 @@ def test_word_encoder_equals_tokenizer():
             assert ids.tolist() == [*encoder._ids_of(t), packing.END_ID]
 
 
+def test_encoder_is_kept_until_given_back():
+    first = packing._encoder(None)
+    assert packing._encoder(None) is first
+    common.given_back()
+    assert packing._encoder(None) is not first
+
+
 def test_packing_is_whole_and_tight(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(["er", "on", "the."]) for _ in range(rng.choice([0, 3, 40, 200])))) for i in range(400)] + [(500, None), (501, "the " * 700), (1, "again"), (None, "no id")]
