@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmark.llm import asof, lm_scoring, mixing, packing, queries, quotes, topk, vector_join, warc
+from quillmark.llm import asof, common, lm_scoring, mixing, packing, queries, quotes, topk, vector_join, warc
 
 SF = "/root/testdata/sf0.001"
 
