@@ -96,6 +96,29 @@ def test_large_group_of_near_copies(spark):
     assert [r["doc"] for r in got] == [0]
 
 
+def test_near_copies_on_one_template(spark):
+    rng = random.Random(3)
+    template = [f"t{i}" for i in range(88)]
+    docs = [(i, " ".join(template + [f"o{i}_{j}" for j in range(12)])) for i in range(150)]
+    for i in range(1000, 1040, 2):
+        own, same = [f"o{i}_{j}" for j in range(12)], rng.randrange(4, 8)
+        docs += [(i, " ".join(template + own)), (i + 1, " ".join(template + own[:same] + [f"p{i}_{j}" for j in range(12 - same)]))]
+    got = near_dedup.near_duplicates(spark.createDataFrame([(i, t, "") for i, t in docs], DOCS)).collect()
+    assert {r["doc"]: r["cluster"] for r in got} == brute_clusters(docs)
+
+
+def test_near_copies_of_common_shingles_alone(spark):
+    """Texts of shared passages in one order, some left out: no shingle is rare, only a few pairs are alike."""
+    rng = random.Random(4)
+    parts = [[f"q{p}_{j}" for j in range(15)] for p in range(14)]
+    docs = []
+    for i in range(150):
+        taken = sorted(rng.sample(range(14), 8))
+        docs.append((i, " ".join(w for p in taken for w in parts[p])))
+    got = near_dedup.near_duplicates(spark.createDataFrame([(i, t, "") for i, t in docs], DOCS)).collect()
+    assert {r["doc"]: r["cluster"] for r in got} == brute_clusters(docs)
+
+
 def test_connected_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(300 + i, 301 + i) for i in range(60)] + [(5, 5)]
