@@ -10,11 +10,13 @@ representative, not with each other; the pair is linked if the banded alignment
 and m with M / (n + m - M) >= threshold. Texts that agree on a sample and are then
 not in one class are looked at again: a pair that shares a shingle of at most RARE
 of these texts is aligned, unless the shingles that it shares and the commoner ones
-of either text are too few for the threshold. So such a pair is aligned or proven
-to be under the threshold, but for pairs that share common shingles alone, enough
-of them to reach it. Texts that have so many are compared with representatives of
-the common shingles that a pair must share one of, in rounds with new ones until a
-round links nothing. Classes are the connected components.
+of either text are too few for the threshold, or the parities of their numbers of
+shingles by hash differ too much. Pairs that share common shingles alone need enough
+of them to reach it. Texts that have so many are compared with representatives of the
+common shingles that a pair must share one of; then all pairs that still are of two
+classes and share such a shingle are aligned, unless counts, the shingle's places or
+parities prove them to be under the threshold. So every pair that agrees on a sample is in one class, aligned or proven
+to be under the threshold. Classes are the connected components.
 
 Defined results: a null text is the empty text; texts of the same words (the
 empty ones too) are one class whatever their case and spacing; texts of fewer
@@ -43,8 +45,12 @@ PRIORITIES = 5
 WIDEST = 3
 #: Texts that a shingle may be in for all of them to be compared by it; commoner shingles are only counted.
 RARE = 16
-#: Representatives of a common shingle that texts are compared with in one round.
+#: Representatives of a common shingle, at most, that texts are compared with before all pairs are.
 REPRESENTATIVES = 32
+#: Rows of a common shingle that are paired with as many others in one part of a join.
+BLOCK = 512
+#: Numbers of 64 bits that hold the parities of a text's numbers of shingles by hash.
+PARITIES = 8
 #: Bytes of text that are hashed at a time.
 CHUNK = 4 << 20
 _SPACE = np.zeros(256, bool)
@@ -227,20 +233,39 @@ def unsettled(classes: DataFrame, component: DataFrame, samples: int) -> DataFra
 
 
 def gram_hits(texts: DataFrame, k: int) -> DataFrame:
-    """(id, class, n, g, df) of rows (id, class, text): shingles g that df texts have, common ones and rare ones of several classes."""
+    """(id, class, n, g, df) of rows (id, class, text): shingles g of several classes, that df texts have."""
     rows = common.written(labelled_shingles(texts, k), "omh-rest")
     gram = rows.select("id", "class", "n", F.explode("grams").alias("g"))
     count = gram.groupBy("g").agg(F.count("*").alias("df"), F.min("class").alias("low"), F.max("class").alias("high"))
-    count = count.where((F.col("df") > RARE) | (F.col("low") < F.col("high"))).select("g", "df")
+    count = count.where("low < high").select("g", "df")  # others are shared by no pair of different classes
     return common.written(gram.join(common.written(count, "omh-counts"), "g"), "omh-hits")
 
 
-def common_ones(hit: DataFrame) -> DataFrame:
-    """(id, often): how many common shingles a text has."""
-    return hit.where(F.col("df") > RARE).groupBy("id").agg(F.count("*").alias("often"))
+def profiles(hit: DataFrame, threshold: float) -> DataFrame:
+    """(id, n, held, often, odd, rarest): how many of gram_hits() a text has, how many of these are common, the parities of their numbers by hash.
+
+    rarest: of a text whose common shingles may reach the threshold, the rarest
+    of these, of which a pair that shares common ones alone shares one.
+    """
+    odd = [F.bit_xor(F.when(F.pmod("g", F.lit(PARITIES)) == i, F.expr(f"shiftleft(1L, cast(pmod(g div {PARITIES}, 64) as int))")).otherwise(F.lit(0))) for i in range(PARITIES)]
+    grams = F.sort_array(F.collect_list(F.when(F.col("df") > RARE, F.struct("df", "g"))))
+    text = hit.groupBy("id", "n").agg(F.count("*").alias("held"), grams.alias("grams"), F.array(*odd).alias("odd")).withColumn("often", F.size("grams"))
+    first = F.greatest(F.lit(0), F.col("often") - F.ceil(threshold * F.col("n") - 1e-6).cast("int") + 1)
+    return common.written(text.select("id", "n", "held", "often", "odd", F.slice("grams", 1, first)["g"].alias("rarest")), "omh-profiles")
+
+
+def may_reach(x: str, y: str, threshold: float) -> Column:
+    """Whether x and y, rows of profiles(), may share enough shingles, going by the parities that differ."""
+    differ = sum((F.bit_count(F.col(f"{x}.odd")[i].bitwiseXOR(F.col(f"{y}.odd")[i])) for i in range(PARITIES)), F.lit(0))
+    return F.col(f"{x}.held") + F.col(f"{y}.held") - differ >= 2 * needed(x, y, threshold)
 
 
-def overlooked(hit: DataFrame, threshold: float) -> DataFrame:
+def needed(x: str, y: str, threshold: float) -> Column:
+    """The matches that x and y need."""
+    return threshold / (1 + threshold) * (F.col(f"{x}.n") + F.col(f"{y}.n")) - 1e-6
+
+
+def overlooked(hit: DataFrame, profile: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of different classes that share a rare shingle and may reach the threshold.
 
     A pair's matches are at most the labelled shingles that both texts have:
@@ -250,31 +275,56 @@ def overlooked(hit: DataFrame, threshold: float) -> DataFrame:
     x, y = (rare.select("g", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "class", "n"))) for side in "ab")
     alike = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-6
     pair = x.join(y, "g").where(F.expr("id_a < id_b and class_a != class_b") & alike)
-    pair = pair.groupBy("id_a", "id_b").agg(F.count("*").alias("shared"), F.first(F.col("n_a") + F.col("n_b")).alias("total"))
-    for side in "ab":
-        pair = pair.join(common_ones(hit).select(F.col("id").alias(f"id_{side}"), F.col("often").alias(f"often_{side}")), f"id_{side}", "left")
-    most = F.col("shared") + F.least(F.coalesce("often_a", F.lit(0)), F.coalesce("often_b", F.lit(0)))
-    return pair.where(most >= threshold / (1 + threshold) * F.col("total") - 1e-6).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    pair = pair.groupBy("id_a", "id_b").agg(F.count("*").alias("shared"))
+    for side, of in (("x", "id_a"), ("y", "id_b")):
+        pair = pair.join(profile.select(F.col("id").alias(of), F.struct("n", "held", "often", "odd").alias(side)), of)
+    enough = F.col("shared") + F.least("x.often", "y.often") >= needed("x", "y", threshold)
+    return pair.where(enough & may_reach("x", "y", threshold)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
 
+def commonplace(profile: DataFrame, component: DataFrame) -> DataFrame:
+    """(g, id, n, held, often, odd, class, place): the texts by their rarest common shingles g, which have that place, from 1, the rarest first."""
+    known = component.withColumnRenamed("head", "id")
+    row = profile.where(F.size("rarest") > 0).join(known, "id", "left").withColumn("class", F.coalesce("component", "id"))
+    row = row.select("id", "n", "held", "often", "odd", "class", F.posexplode("rarest").alias("at", "g"))
+    return row.withColumn("place", F.col("at") + 1).drop("at")
 
-def commonplace(hit: DataFrame, threshold: float) -> DataFrame:
-    """(g, id, n, often): of texts whose common shingles may reach the threshold, the rarest of these, of which such a pair shares one."""
-    text = hit.where(F.col("df") > RARE).groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("grams"))
-    often = F.size("grams")
-    first = often - F.ceil(threshold * F.col("n") - 1e-6).cast("int") + 1
-    return text.where(first > 0).select("id", "n", often.alias("often"), F.explode(F.slice("grams", 1, first)).alias("of")).select("of.g", "id", "n", "often")
 
+def represented(row: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of rows of commonplace() and their shingles' representatives, of different classes, that may reach the threshold."""
+    own = ("id", "n", "held", "often", "odd", "class")
+    part, priority = (F.xxhash64("id", F.pmod("g", F.lit(PRIORITIES)), F.lit(seed)) for seed in (0, 1))
+    lead = row.groupBy("g", F.pmod(part, F.lit(REPRESENTATIVES)).alias("part")).agg(F.min_by(F.struct(*own), priority).alias("y"))
+    pair = row.select("g", F.struct(*own).alias("x")).join(lead, "g")
+    enough = F.least("x.often", "y.often") >= needed("x", "y", threshold)
+    pair = pair.where((F.col("x.class") != F.col("y.class")) & enough & may_reach("x", "y", threshold))
+    return pair.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
-def represented(place: DataFrame, component: DataFrame, turn: int, threshold: float) -> DataFrame:
-    """Pairs (a, b) of rows of commonplace() and their shingles' representatives of that turn, of different classes, that may reach the threshold."""
-    known = component.withColumnRenamed("head", "id")
-    row = place.join(known, "id", "left").select("g", "id", "n", "often", F.coalesce("component", "id").alias("class"))
-    turns = range(turn * REPRESENTATIVES, (turn + 1) * REPRESENTATIVES)
-    priority = (F.struct(F.xxhash64("id", F.pmod("g", F.lit(PRIORITIES)), F.lit(t)).alias("p"), "id", "n", "often", "class") for t in turns)
-    lead = row.groupBy("g").agg(F.array(*map(F.min, priority)).alias("leads"))
-    least = F.least("often", "lead.often") >= threshold / (1 + threshold) * (F.col("n") + F.col("lead.n")) - 1e-6
-    pair = row.join(lead, "g").withColumn("lead", F.explode("leads")).where(least & (F.col("class") != F.col("lead.class")))
-    return pair.select(F.col("id").alias("a"), F.col("lead.id").alias("b")).distinct()
+
+def remaining(row: DataFrame, threshold: float) -> DataFrame:
+    """All pairs (a, b) of rows of commonplace() of one shingle, of different classes, that may reach the threshold.
+
+    A shingle's rows are dealt to blocks, and pairs of blocks are joined apart. A
+    pair is found by the rarest shingle that it shares, if by no other: no
+    more than the shingles after its place are shared beside it.
+    """
+    count = row.groupBy("g").agg(F.count("*").alias("rows"), F.min("class").alias("low"), F.max("class").alias("high"))
+    count = count.where("low < high").select("g", F.ceil(F.col("rows") / BLOCK).alias("blocks"))
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    dealt = row.join(count, "g").withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.struct("id", "n", "held", "often", "place", "odd", "class", "block").alias("of"))
+    x, y = (dealt.select("g", "i", "j", F.col("of").alias(side)).hint("merge") for side in "xy")
+    once = F.expr("x.block = i and y.block = j and (i < j or x.id < y.id) and x.class != y.class")
+    after = F.least(F.col("x.often") - F.col("x.place"), F.col("y.often") - F.col("y.place")) + 1
+    pair = x.join(y, ["g", "i", "j"]).where(once & (after >= needed("x", "y", threshold)) & may_reach("x", "y", threshold))
+    return pair.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
+def aligned_pairs(pairs: DataFrame, text: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Those of the pairs (a, b) whose texts' alignment reaches the threshold; text has rows (id, text)."""
+    pairs = common.written(pairs, "omh-more-pairs")
+    side_a, side_b = (text.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    return common.written(verified(pairs.join(side_a, "a").join(side_b, "b"), k, threshold).select("a", "b"), "omh-more")
 
 
 def rejoined(component: DataFrame, links: DataFrame) -> DataFrame:
@@ -328,17 +378,10 @@ def near_duplicates(
     # Texts of one sample and several classes, of which not all pairs have been compared.
     again = unsettled(classes, component, samples)
     hit = gram_hits(again.join(text.hint("merge"), "id"), k)
-    place = common.written(commonplace(hit, threshold), "omh-commonplace")
-    turn = 0
-    pairs = overlooked(hit, threshold).union(represented(place, component, turn, threshold)).distinct()
-    while True:
-        pairs = common.written(pairs, "omh-more-pairs")
-        side_a, side_b = (text.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-        found = common.written(verified(pairs.join(side_a, "a").join(side_b, "b"), k, threshold).select("a", "b"), "omh-more")
-        if found.isEmpty():
-            break
-        component, turn = rejoined(component, found), turn + 1
-        pairs = represented(place, component, turn, threshold)
+    profile = profiles(hit, threshold)
+    pairs = overlooked(hit, profile, threshold).union(represented(commonplace(profile, component), threshold)).distinct()
+    component = rejoined(component, aligned_pairs(pairs, text, k, threshold))
+    component = rejoined(component, aligned_pairs(remaining(commonplace(profile, component), threshold), text, k, threshold))
     cluster = F.coalesce("component", "head")
     out = member.join(component, "head", "left").groupBy("doc").agg(F.min(cluster).alias("cluster"))
     return out.select("doc", "cluster", (F.col("cluster") == F.col("doc")).alias("kept"))

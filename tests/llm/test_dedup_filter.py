@@ -1,5 +1,6 @@
 """Near-dedup, toxicity and quality against brute force, with edge cases."""
 
+import itertools
 import random
 import zlib
 
@@ -119,6 +120,19 @@ def test_near_copies_of_common_shingles_alone(spark):
     assert {r["doc"]: r["cluster"] for r in got} == brute_clusters(docs)
 
 
+def test_no_pair_of_common_shingles_depends_on_representatives(spark, monkeypatch):
+    """Texts of the same six passages with words of their own between these are alike, others aren't; a hundred texts or more hold each passage."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 20, raising=False)
+    monkeypatch.setattr(near_dedup, "REPRESENTATIVES", 1)
+    rng = random.Random(6)
+    parts = [" ".join(f"q{p}_{j}" for j in range(60)) for p in range(12)]
+    chosen = rng.sample(list(itertools.combinations(range(12), 6)), 300)
+    chosen += chosen[:80]
+    rows = [(i, "".join(f"{parts[p]} own{i}_{p} " for p in c), "") for i, c in enumerate(chosen)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS), samples=4).collect()
+    assert {r["doc"]: r["cluster"] for r in got} == {i: chosen.index(c) for i, c in enumerate(chosen)}
+
+
 def test_connected_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(300 + i, 301 + i) for i in range(60)] + [(5, 5)]
