@@ -29,7 +29,8 @@ def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates, that of the smallest id."""
-    ship(spark)
+    common.given_back()  # what the toxicity fit took in the driver's Python
+    common.cleaned(ship(spark))
     return near_dedup.deduplicated(docs)
 
 

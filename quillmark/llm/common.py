@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Hashable
@@ -69,6 +70,15 @@ def given_back() -> None:
         trim(0)
 
 
+def cleaned(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: its heap shrinks, and what finished jobs shuffled and broadcast is deleted.
+
+    Else an operator of many jobs fills the driver's heap to its limit first.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node of an edge: component is the smallest node reachable.
 

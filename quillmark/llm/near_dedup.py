@@ -348,6 +348,7 @@ def near_duplicates(
     classes = common.written(classes, "omh-classes")
     member = sketch.select("doc", "words").join(classes.select("words", "head"), "words").select("doc", "head").distinct()
     member = common.written(member, "omh-members")
+    common.cleaned(docs.sparkSession)
 
     # Groups by one sample, and by two and three neighbouring ones: in these, texts that are alike
     # only in part no longer stand between those that are near copies.
@@ -369,18 +370,22 @@ def near_duplicates(
     text = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     text = common.written(text.join(ids.hint("merge"), "id").groupBy("id").agg(F.min("text").alias("text")), "omh-text")
     text_a, text_b = (text.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")).hint("merge") for x in "ab")
+    common.cleaned(docs.sparkSession)
     candidates = pairs.join(text_a, "a").join(text_b, "b")
     links = verified(candidates, k, threshold).select("a", "b")
     # A document of one id and several texts ties their classes together.
     several = member.groupBy("doc").agg(F.min("head").alias("first"), F.count("*").alias("n")).where("n > 1")
     links = links.union(member.join(several, "doc").where("head != first").select("head", "first"))
     component = common.connected_components(links, "a", "b").withColumnRenamed("node", "head")
+    common.cleaned(docs.sparkSession)
     # Texts of one sample and several classes, of which not all pairs have been compared.
     again = unsettled(classes, component, samples)
     hit = gram_hits(again.join(text.hint("merge"), "id"), k)
     profile = profiles(hit, threshold)
+    common.cleaned(docs.sparkSession)
     pairs = overlooked(hit, profile, threshold).union(represented(commonplace(profile, component), threshold)).distinct()
     component = rejoined(component, aligned_pairs(pairs, text, k, threshold))
+    common.cleaned(docs.sparkSession)
     component = rejoined(component, aligned_pairs(remaining(commonplace(profile, component), threshold), text, k, threshold))
     cluster = F.coalesce("component", "head")
     out = member.join(component, "head", "left").groupBy("doc").agg(F.min(cluster).alias("cluster"))
