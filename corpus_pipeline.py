@@ -18,18 +18,19 @@ from quillmark.session import ship
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with a toxicity score under 0.5."""
     model = toxicity.fit(docs, common.table(ship(spark), sf_dir, "labels"))
+    common.given_back()  # what the fit took in the driver's Python
     score = common.OWN + "toxic"
     return docs.withColumn(score, toxicity.score("text", model)).where(F.col(score) < 0.5).drop(score)
 
 
 def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that importance resampling takes."""
+    common.cleaned(ship(spark))
     return quality.selected(docs, common.table(ship(spark), sf_dir, "labels"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates, that of the smallest id."""
-    common.given_back()  # what the toxicity fit took in the driver's Python
     common.cleaned(ship(spark))
     return near_dedup.deduplicated(docs)
 

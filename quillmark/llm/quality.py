@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ SAMPLE, LONGEST = 20_000, 200_000
 PRIOR = 4.0
 CHUNK = 2 << 20
 FAN_IN = 32
+#: Parts of the counts that are summed apart.
+SLICES = 32
 _WORD = np.array([b >= 128 or chr(b).isalnum() or b == 95 for b in range(256)])
 _KIND = np.where(_WORD, 2, 1).astype(np.int8)
 _KIND[[9, 10, 11, 12, 13, 32]] = 0
@@ -75,7 +78,12 @@ def chunks(texts: pd.Series) -> Iterator[list[str | None]]:
 
 
 def counted(rows: DataFrame) -> np.ndarray:
-    """(2, BUCKETS) n-gram counts of all rows (text, target) and of the target rows, summed up a tree of tasks."""
+    """(2, BUCKETS) n-gram counts of all rows (text, target) and of the target rows, summed up a tree of tasks.
+
+    Counts travel in slices, each summed apart, until there is one of each: the
+    driver gets as much as one task's counts, whatever the number of tasks.
+    """
+    schema = "part int, slice int, counts binary"
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common.given_back()
@@ -86,24 +94,26 @@ def counted(rows: DataFrame) -> np.ndarray:
                 grams, doc = ngrams(texts)
                 total[0] += np.bincount(grams, minlength=BUCKETS)
                 total[1] += np.bincount(grams[flag[at : at + len(texts)][doc]], minlength=BUCKETS)
-        yield pd.DataFrame({"counts": [total.tobytes()]})
+        yield pd.DataFrame({"part": TaskContext.get().partitionId(), "slice": range(SLICES), "counts": [x.tobytes() for x in total.reshape(SLICES, -1)]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((2, BUCKETS), np.int64)
+        total: dict[tuple[int, int], np.ndarray] = {}
         for pdf in batches:
-            for data in pdf["counts"]:
-                total += np.frombuffer(data, np.int64).reshape(2, BUCKETS)
-        yield pd.DataFrame({"counts": [total.tobytes()]})
+            for part, i, data in zip(pdf["part"], pdf["slice"], pdf["counts"]):
+                total.setdefault((part, i), np.zeros(2 * BUCKETS // SLICES, np.int64))[:] += np.frombuffer(data, np.int64)
+        for (part, i), x in total.items():
+            yield pd.DataFrame({"part": [part], "slice": [i], "counts": [x.tobytes()]})
 
     n = rows.rdd.getNumPartitions()
-    out = rows.select("text", "target").mapInPandas(count, "counts binary")
-    while n > FAN_IN:
+    out = rows.select("text", "target").mapInPandas(count, schema)
+    while n > 1:
         n = -(-n // FAN_IN)
-        out = out.repartition(n).mapInPandas(add, "counts binary")
-    total = np.zeros((2, BUCKETS), np.int64)
-    for row in out.collect():  # at most FAN_IN rows of fixed size
-        total += np.frombuffer(row["counts"], np.int64).reshape(2, BUCKETS)
-    return total
+        up = F.floor(F.col("part") / FAN_IN).cast("int").alias("part")
+        out = out.select(up, "slice", "counts").repartition(max(n, SLICES), "part", "slice").mapInPandas(add, schema)
+    total = np.zeros((SLICES, 2 * BUCKETS // SLICES), np.int64)
+    for row in out.collect():  # a row of each slice
+        total[row["slice"]] += np.frombuffer(row["counts"], np.int64)
+    return total.reshape(2, BUCKETS)
 
 
 def _offsets(texts: pd.Series) -> Iterator[tuple[int, list[str | None]]]:

@@ -61,6 +61,8 @@ RATE, EVIDENCE = 8, 30
 TIMES = (1, 2, 3)
 #: Sample texts whose spans are merged at a time.
 MERGED = 64
+#: Words whose spans are held against the marks at a time.
+COVERED = 10_000
 FOLDS = 3
 #: Clusters at most; texts nearer to a centre than APART need no further one; toxic samples that a cluster of its own needs.
 CLUSTERS, APART, LEAST_TOXIC = 8, 0.93, 12
@@ -176,17 +178,18 @@ def centres(x: np.ndarray) -> np.ndarray:
 
 
 def covered(of: list[bytes], marked: np.ndarray) -> dict[bytes, list[bytes]]:
-    """The words that hold a mark, each with its spans that marks cover."""
-    cover: dict[int, np.ndarray] = {}
-    for length, h, word, place in spans(of) if of else ():
-        at = np.flatnonzero(among(h, marked))
-        for w, p in zip(word[at].tolist(), place[at].tolist()):
-            cover.setdefault(w, np.zeros(len(of[w]) + 2, bool))[p : p + length] = True
+    """The words that hold a mark, each with its spans that marks cover; COVERED words at a time."""
     out = {}
-    for w, part in cover.items():
-        edge = np.flatnonzero(np.diff(np.r_[False, part, False]))
-        data = b" " + of[w] + b" "
-        out[of[w]] = [data[s:e] for s, e in zip(edge[::2], edge[1::2])]
+    for i in range(0, len(of), COVERED):
+        some, cover = of[i : i + COVERED], {}
+        for length, h, word, place in spans(some):
+            at = np.flatnonzero(among(h, marked))
+            for w, p in zip(word[at].tolist(), place[at].tolist()):
+                cover.setdefault(w, np.zeros(len(some[w]) + 2, bool))[p : p + length] = True
+        for w, part in cover.items():
+            edge = np.flatnonzero(np.diff(np.r_[False, part, False]))
+            data = b" " + some[w] + b" "
+            out[some[w]] = [data[s:e] for s, e in zip(edge[::2], edge[1::2])]
     return out
 
 

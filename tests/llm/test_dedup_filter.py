@@ -247,3 +247,40 @@ def test_ngram_model_equals_brute_force(spark):
     grams, _ = quality.ngrams([text])
     plain = sum(np.log(want[1, g] + quality.PRIOR) - np.log(want[0, g] * scale + quality.PRIOR) for g in grams)
     assert quality.log_weights([text, None, ""], ratio).tolist() == pytest.approx([plain, 0, 0])
+
+
+def test_driver_gets_the_counts_of_one_task(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"word{i} beside", i % 2 == 0) for i in range(64)], "text string, target boolean")
+    frame, sizes = type(rows), []
+    collect = frame.collect
+
+    def sized(df):
+        out = collect(df)
+        sizes.append(sum(len(r["counts"]) for r in out))
+        return out
+
+    monkeypatch.setattr(frame, "collect", sized)
+    few, many, most = (quality.counted(rows.repartition(n)) for n in (1, 32, 40))
+    assert (few == many).all() and (few == most).all() and few[0].sum() == 64 * 3
+    assert sizes == [2 * quality.BUCKETS * 8] * 3
+
+
+def test_fit_gives_the_drivers_memory_back(spark, monkeypatch):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    done = []
+    monkeypatch.setattr(toxicity, "fit", lambda *_: done.append("fit"))
+    monkeypatch.setattr(common, "given_back", lambda: done.append("given back"))
+    monkeypatch.setattr(common, "table", lambda *_: None)
+    docs = spark.createDataFrame([(1, "a", "")], DOCS)
+    assert corpus_pipeline.without_toxic(spark, docs, "").count() == 1
+    assert done == ["fit", "given back"]
+
+
+def test_marks_are_looked_for_in_few_words_at_a_time(monkeypatch):
+    of = [f"w{i}rd{i * i}".encode() for i in range(200)]
+    marked = np.unique(np.concatenate([h[::3] for _, h, _, _ in toxicity.spans(of)]))
+    whole, held, spans = toxicity.covered(of, marked), [], toxicity.spans
+    monkeypatch.setattr(toxicity, "COVERED", 7)
+    monkeypatch.setattr(toxicity, "spans", lambda some: held.append(len(some)) or spans(some))
+    assert toxicity.covered(of, marked) == whole and whole and toxicity.covered([], marked) == {}
+    assert max(held) == 7 and sum(held) == 200
