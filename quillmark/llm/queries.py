@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, lm_scoring, mixing, near_dedup, packing, quality, quotes, topk, toxicity, vector_join, warc
+from . import common, lm_scoring, mixing, near_dedup, packing, quality, quotes, topk, tournament, toxicity, vector_join, warc
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,6 +174,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_tournament_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tournament.pack_documents(common.table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_toxicity": op2_toxicity,
@@ -185,6 +189,7 @@ QUERIES = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_lm_scoring": op10_lm_scoring,
+    "op13_tournament_packing": op13_tournament_packing,
 }
 
 ORACLE_SQL = {
