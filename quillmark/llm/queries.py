@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, lm_scoring, mixing, near_dedup, packing, quality, quotes, topk, tournament, toxicity, vector_join, warc
+from . import common, lm_scoring, mixing, near_dedup, packing, prefix_trie, quality, quotes, topk, tournament, toxicity, vector_join, warc
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,6 +174,45 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = prefix_trie.turn_lists(common.table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.with_shared_heads(lists)).drop("label")
+
+
+OP11_SQL = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(list_concat([x], range(8)), lambda a, i: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS t
+), c AS (
+  SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS label,
+         len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL
+), o AS (
+  SELECT conv_id, list({'l': label, 'w': words} ORDER BY turn NULLS FIRST, label, words) AS ts FROM c GROUP BY conv_id
+), h AS (
+  SELECT conv_id, ts, xor(list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+         lambda a, b: xor(a // 256, t[(xor(a, b) % 256 + 1)::INTEGER])), 4294967295) % 4 AS h FROM o, crc
+), s AS (
+  SELECT h.conv_id, list_concat(coalesce(b.ts[1:h.h], []), h.ts[h.h + 1:]) AS ts FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 20
+), p AS (
+  SELECT conv_id, d, list_transform(ts[1:d], lambda x: x.l) AS p, coalesce(ts[d].w, 0) AS words, len(ts) = d AS ends
+  FROM (SELECT conv_id, ts, unnest(range(len(ts) + 1)) AS d FROM s)
+), n AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n, max(words) AS words, coalesce(sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends)), sha256('')) AS ends
+  FROM p GROUP BY p, d
+), k AS (
+  SELECT p[1:d - 1] AS p, count(*) AS n FROM n WHERE d > 0 GROUP BY ALL
+), m AS (
+  SELECT n.*, coalesce(k.n, 0) AS children FROM n LEFT JOIN k ON n.p = k.p
+), u AS (
+  SELECT a AS p, sum((children = 0)::INTEGER) AS leaves, sum((n - 1) * words) AS saved
+  FROM (SELECT p[1:a] AS a, children, n, words FROM (SELECT *, unnest(range(d + 1)) AS a FROM m)) GROUP BY a
+)
+SELECT m.conv_id, m.d AS depth, f.conv_id AS parent_conv_id, m.n AS n_convs, m.children AS n_children, u.leaves::BIGINT AS n_leaves,
+       u.saved::BIGINT AS saved_tokens, m.ends AS ends_sha256
+FROM m JOIN u ON m.p = u.p LEFT JOIN n f ON m.d > 0 AND f.p = m.p[1:m.d - 1]
+"""
+
+
 def op13_tournament_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tournament.pack_documents(common.table(spark, sf_dir, "documents"))
 
@@ -189,6 +228,7 @@ QUERIES = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_tournament_packing": op13_tournament_packing,
 }
 
@@ -197,4 +237,5 @@ ORACLE_SQL = {
     "op5_source_mixing": OP5_SQL,
     "op6_embedding_near_dedup": OP6_SQL,
     "op8_warc_revisits": OP8_SQL,
+    "op11_prefix_trie": OP11_SQL,
 }
