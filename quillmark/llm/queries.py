@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, lm_scoring, mixing, near_dedup, packing, prefix_trie, quality, quotes, topk, tournament, toxicity, vector_join, warc
+from . import collocations, common, lm_scoring, mixing, near_dedup, packing, prefix_trie, quality, quotes, topk, tournament, toxicity, vector_join, warc
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +184,8 @@ WITH crc AS (
   SELECT list_transform(range(256), lambda x: list_reduce(list_concat([x], range(8)), lambda a, i: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS t
 ), c AS (
   SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS label,
-         len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS words
+         len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS words
   FROM conversations WHERE conv_id IS NOT NULL
 ), o AS (
   SELECT conv_id, list({'l': label, 'w': words} ORDER BY turn NULLS FIRST, label, words) AS ts FROM c GROUP BY conv_id
@@ -213,6 +214,44 @@ FROM m JOIN u ON m.p = u.p LEFT JOIN n f ON m.d > 0 AND f.p = m.p[1:m.d - 1]
 """
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mined(common.table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, ws, count(*) AS c FROM (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p) WHERE len(ws) > 0 GROUP BY ALL
+), t AS (
+  SELECT lang, sum(c * len(ws)) AS n FROM w GROUP BY lang
+), g AS (
+  SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, m, sum(c)::BIGINT AS f
+  FROM (SELECT lang, ws, c, m, unnest(range(1, len(ws) - m + 2)) AS i FROM (SELECT lang, ws, c, unnest(range(1, 6)) AS m FROM w) WHERE len(ws) >= m)
+  GROUP BY ALL HAVING sum(c) >= 100
+), d AS (
+  SELECT *, string_split(phrase, ' ') AS ws FROM g WHERE m > 1
+), i AS (
+  SELECT lang, phrase, max(f) AS f FROM (
+    SELECT lang, f, array_to_string(ws[i:i + s - 1], ' ') AS phrase
+    FROM (SELECT *, unnest(range(1, m - s + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS s FROM d WHERE m > 2))
+  ) GROUP BY ALL
+), k AS (
+  SELECT d.* FROM d LEFT JOIN i USING (lang, phrase) WHERE i.f IS NULL OR 100 * i.f < 100 * d.f
+), s AS (
+  SELECT k.lang, k.phrase, k.f AS a, k.k, x.f AS l, y.f AS r, t.n, ((1000::HUGEINT * k.f * t.n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM k) k JOIN t USING (lang)
+  JOIN g x ON x.lang = k.lang AND x.phrase = array_to_string(ws[1:k.k], ' ') JOIN g y ON y.lang = k.lang AND y.phrase = array_to_string(ws[k.k + 1:], ' ')
+), b AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS lowest FROM s
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b WHERE lowest = 1
+)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score FROM o WHERE rank <= 2000
+"""
+
+
 def op13_tournament_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tournament.pack_documents(common.table(spark, sf_dir, "documents"))
 
@@ -229,6 +268,7 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_collocations": op12_collocations,
     "op13_tournament_packing": op13_tournament_packing,
 }
 
@@ -238,4 +278,5 @@ ORACLE_SQL = {
     "op6_embedding_near_dedup": OP6_SQL,
     "op8_warc_revisits": OP8_SQL,
     "op11_prefix_trie": OP11_SQL,
+    "op12_collocations": OP12_SQL,
 }
