@@ -10,10 +10,28 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..schemas import RECORD_SCHEMA
 
+# The fields of a REST answer that a record takes, and the record's fields that they become.
 METADATA = (
     "full_name STRING, name STRING, html_url STRING, description STRING, owner STRUCT<login: STRING>, topics ARRAY<STRING>, stargazers_count BIGINT, forks_count BIGINT, language STRING, "
     "license STRUCT<spdx_id: STRING>, archived BOOLEAN, disabled BOOLEAN, homepage STRING, default_branch STRING, created_at STRING, updated_at STRING, pushed_at STRING, open_issues_count BIGINT"
 )
+REST_GITHUB = {"stars": "stargazers_count", "forks": "forks_count", "license": "license.spdx_id", "open_issues": "open_issues_count"}
+GITHUB_FIELDS = ["description", "topics", "stars", "forks", "language", "license", "archived", "disabled", "homepage", "default_branch", "created_at", "updated_at", "pushed_at", "open_issues"]
+
+
+def rest_facts(metadata: Column) -> Column:
+    """What a record says of a repository, from a REST answer's JSON: repo_id, owner, name, url and github."""
+    m = F.from_json(metadata, METADATA)
+
+    def at(field: str) -> Column:
+        out = m
+        for part in REST_GITHUB.get(field, field).split("."):
+            out = out[part]
+        return F.coalesce(out, F.array().cast("array<string>")) if field == "topics" else out
+
+    return F.struct(
+        m["full_name"].alias("repo_id"), m["owner"]["login"].alias("owner"), m["name"].alias("name"), m["html_url"].alias("url"), F.struct(*(at(k).alias(k) for k in GITHUB_FIELDS)).alias("github")
+    )
 
 
 def _when(*rules: tuple[Column, str]) -> Column:
@@ -55,31 +73,31 @@ def evidence_gaps(description: Column, topics: Column, excerpt: Column, paths: C
 
 
 def records_of(snapshots: DataFrame, taken_at: Column) -> DataFrame:
-    """Records (without a profile) of the snapshots that didn't fail."""
-    rows = snapshots.where("error is null").withColumn("m", F.from_json("metadata", METADATA)).withColumn("excerpt", text.readme_excerpt(F.col("readme_text")))
-    m = lambda k: F.col(f"m.{k}")
-    topics = F.coalesce(m("topics"), F.array().cast("array<string>"))
+    """Records (without a profile) of the snapshots that didn't fail, whichever protocol gave them."""
+    from ..sources.hosting import graph_facts
+
+    rows = snapshots.where("error is null")
+    facts = F.when(F.col("protocol") == "graph", graph_facts(F.col("metadata"))).otherwise(rest_facts(F.col("metadata")))
+    rows = rows.withColumn("facts", facts).withColumn("excerpt", text.readme_excerpt(F.col("readme_text")))
+    fact, host = (lambda k: F.col(f"facts.{k}")), (lambda k: F.col(f"facts.github.{k}"))
+    description, topics, url, excerpt = host("description"), host("topics"), fact("url"), F.col("excerpt")
     has_readme = F.col("readme_path").isNotNull()
-    blob = lambda kind: F.when(has_readme & m("html_url").isNotNull(), F.concat(m("html_url"), F.lit(f"/{kind}/HEAD/"), F.col("readme_path")))
     rows = rows.withColumn("signals", structure_signals(F.col("paths"), has_readme))
-    item = lambda kind, what, url: F.struct(F.lit(kind).alias("kind"), what.alias("text"), url.alias("source_url"))
-    evidence = F.array_compact(
-        F.array(
-            F.when(F.coalesce(m("description"), F.lit("")) != "", item("github_description", m("description"), m("html_url"))),
-            F.when(F.size(topics) > 0, item("github_topics", F.array_join(topics, ", "), F.concat(m("html_url"), F.lit("/topics")))),
-            F.when(F.col("excerpt").isNotNull() & has_readme, item("readme_excerpt", F.col("excerpt"), blob("blob"))),
-            F.when(F.size("signals") > 0, item("structure_signals", F.array_join("signals", ", "), m("html_url"))),
-        )
-    )
+    blob = lambda kind: F.when(has_readme & url.isNotNull(), F.concat(url, F.lit(f"/{kind}/HEAD/"), F.col("readme_path")))
+    item = lambda kind, what, of: F.struct(F.lit(kind).alias("kind"), what.alias("text"), of.alias("source_url"))
+    said = [
+        (F.coalesce(description, F.lit("")) != "", item("github_description", description, url)),
+        (F.size(topics) > 0, item("github_topics", F.array_join(topics, ", "), F.concat(url, F.lit("/topics")))),
+        (excerpt.isNotNull() & has_readme, item("readme_excerpt", excerpt, blob("blob"))),
+        (F.size("signals") > 0, item("structure_signals", F.array_join("signals", ", "), url)),
+    ]
     return rows.select(
-        F.lit(RECORD_SCHEMA).alias("schema_version"), "repo_id_requested", m("full_name").alias("repo_id"), F.lit("github").alias("platform"), m("owner.login").alias("owner"), m("name").alias("name"), m("html_url").alias("url"),
-        F.struct(
-            m("description").alias("description"), topics.alias("topics"), m("stargazers_count").alias("stars"), m("forks_count").alias("forks"), m("language").alias("language"), m("license.spdx_id").alias("license"),
-            *(m(k).alias(k) for k in ("archived", "disabled", "homepage", "default_branch", "created_at", "updated_at", "pushed_at")), m("open_issues_count").alias("open_issues"),
-        ).alias("github"),
-        F.when(has_readme, F.struct(F.col("readme_path").alias("path"), blob("blob").alias("source_url"), blob("raw").alias("download_url"), F.col("excerpt"))).alias("readme"),
+        F.lit(RECORD_SCHEMA).alias("schema_version"), "repo_id_requested", fact("repo_id").alias("repo_id"), F.lit("github").alias("platform"), *(fact(k).alias(k) for k in ("owner", "name", "url")),
+        F.struct(*(host(k).alias(k) for k in GITHUB_FIELDS)).alias("github"),
+        F.when(has_readme, F.struct(F.col("readme_path").alias("path"), blob("blob").alias("source_url"), blob("raw").alias("download_url"), excerpt.alias("excerpt"))).alias("readme"),
         F.struct(F.col("signals"), F.coalesce(F.size("paths"), F.lit(0)).alias("tree_file_count"), F.col("truncated").alias("tree_truncated")).alias("structure"),
-        evidence.alias("evidence"), evidence_gaps(m("description"), topics, F.col("excerpt"), F.col("paths"), F.coalesce("truncated", F.lit(False))).alias("evidence_gaps"),
+        F.array_compact(F.array(*(F.when(c, x) for c, x in said))).alias("evidence"),
+        evidence_gaps(description, topics, excerpt, F.col("paths"), F.coalesce("truncated", F.lit(False))).alias("evidence_gaps"),
         F.lit("candidate").alias("lifecycle_state"), F.lit("github_api").alias("snapshot_source"), taken_at.alias("snapshot_time"),
     )
 
@@ -130,31 +148,50 @@ def refresh_report(rows: DataFrame, reason: Column) -> DataFrame:
     )
 
 
-def run(requested: DataFrame, existing: DataFrame, take: Callable[[DataFrame], DataFrame], checkpoint: str, taken_at: Column, resume: bool = False, force: bool = False) -> tuple[DataFrame, DataFrame]:
+def run(
+    requested: DataFrame, existing: DataFrame, take: Callable[[DataFrame], DataFrame], checkpoint: str, taken_at: Column, resume: bool = False, force: bool = False,
+    failed: DataFrame | None = None, profile: Callable[[DataFrame], DataFrame] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(records in order, outcomes): take what the plan says, append it to the checkpoint, merge it with what is there.
 
-    take() makes snapshots of (repo_id); snapshots with an error are outcomes, not
-    records. A checkpoint of an earlier run is only used to resume it.
+    take() makes snapshots of (repo_id), see quota.rounds(); profile() gives records
+    new_profile and refresh_error, as models.refreshed does, and a record without a
+    profile is a failure. A checkpoint of an earlier run is only used to resume it,
+    and only what succeeded there is done: failures are tried again. failed (the ids of
+    a failure report) restricts the run to them, and their old records go.
     """
     from ..operators.health import guard
     from .records import ordered_merge
 
     spark = requested.sparkSession
     guard(spark, checkpoint, resume, force)
-    blank = spark.createDataFrame([], "repo_id string, pos long")
-    before = spark.read.parquet(checkpoint) if resume else blank
-    todo = plan(requested, existing, before, force=force)
-    snapshots = take(todo.where("action = 'process'").select("repo_id"))
-    made = records_of(snapshots, taken_at).withColumn("asked", F.col("repo_id_requested"))
-    failed = snapshots.where("error is not null").select(F.col("repo_id_requested").alias("repo_id"), F.lit(None).cast("string").alias("asked"), "error")
-    rows = made.withColumn("error", F.lit(None).cast("string")).unionByName(failed, allowMissingColumns=True)
-    rows.withColumn("pos", F.monotonically_increasing_id()).write.mode("append" if resume else "overwrite").parquet(checkpoint)
-    done = spark.read.parquet(checkpoint)
-    good = done.where("error is null").drop("error", "asked")
-    merged = ordered_merge(existing, requested.select("repo_id", "pos"), good)
-    bad = done.where("error is not null").groupBy("repo_id").agg(F.max_by("error", "pos").alias("error"))
-    outcomes = todo.join(bad, "repo_id", "left").select("repo_id", "pos", F.when((F.col("action") == "process") & F.col("error").isNotNull(), "failed").when(F.col("action") == "process", "generated").when(F.col("action") == "resumed", "resumed").otherwise("skipped").alias("outcome"), "error")
-    return merged, outcomes
+    before = spark.read.parquet(checkpoint) if resume else spark.createDataFrame([], "repo_id string, asked string, pos long, error string, attempt int")
+    attempt = (before.agg(F.max("attempt")).first()[0] or 0) + 1
+    # A renamed repository is done by the id that was asked for, too.
+    good = before.where("error is null")
+    done = good.select("repo_id").union(good.select("asked")).where("repo_id is not null").distinct()
+    todo = plan(requested, existing, done, failed, force)
+    made = take(todo.where("action = 'process'").select("repo_id"))
+    rows = records_of(made, taken_at).withColumn("asked", F.col("repo_id_requested")).withColumn("error", F.lit(None).cast("string"))
+    if profile is not None:
+        rows = profile(rows)
+        profiles = [c for c in ("llm_profile",) if c in rows.columns]
+        rows = rows.withColumn("error", F.coalesce("refresh_error", F.when(F.col("new_profile").isNull(), F.lit("no profile was made"))))
+        rows = rows.drop(*profiles, "refresh_error").withColumnRenamed("new_profile", "llm_profile")
+    lost = made.where("error is not null").select(F.col("repo_id_requested").alias("repo_id"), F.col("repo_id_requested").alias("asked"), "error")
+    rows = rows.unionByName(lost, allowMissingColumns=True)
+    rows = rows.withColumns({"pos": F.monotonically_increasing_id(), "attempt": F.lit(attempt)})
+    rows.write.mode("append" if resume else "overwrite").parquet(checkpoint)
+    log = spark.read.parquet(checkpoint)
+    completed = log.where("error is null").withColumn("pos", F.struct("attempt", "pos")).drop("error", "asked", "attempt")
+    if failed is not None:
+        existing = existing.join(failed.select("repo_id").distinct(), "repo_id", "left_anti")
+    order = lambda df: df.withColumn("pos", F.struct(F.lit(0).alias("attempt"), F.col("pos").cast("long").alias("pos")))
+    merged = ordered_merge(order(existing), order(requested.select("repo_id", "pos")), completed)
+    last = log.where(F.col("attempt") == attempt).groupBy(F.col("asked").alias("repo_id")).agg(F.max("error").alias("error"))
+    is_ = lambda action: F.col("action") == action
+    outcome = F.when(is_("process") & F.col("error").isNotNull(), "failed").when(is_("process"), "generated").when(is_("resumed"), "resumed").otherwise("skipped")
+    return merged, todo.join(last, "repo_id", "left").select("repo_id", "pos", outcome.alias("outcome"), "error")
 
 
 def succeeded(outcomes: DataFrame) -> bool:

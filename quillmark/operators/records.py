@@ -154,9 +154,11 @@ def by_id(records: DataFrame) -> DataFrame:
 
 
 def ordered_merge(existing: DataFrame, requested: DataFrame, completed: DataFrame, id_col: str = "repo_id") -> DataFrame:
-    """Ids in the order that existing, requested and completed first name them; the last row of each counts."""
+    """Ids in the order that existing, requested and completed first name them; the last row of each counts, and ids that are only requested have none."""
     parts = [df.withColumn("src", F.lit(i)) for i, df in enumerate((existing, requested, completed))]
     every = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
     rest = [c for c in every.columns if c not in (id_col, "src", "pos")]
     place = F.struct("src", "pos")
-    return every.groupBy(id_col).agg(F.min(place).alias("first"), F.max_by(F.struct(*rest), F.when(F.col("src") != 1, place)).alias("r")).select(id_col, "first", "r.*")
+    held = F.when(F.col("src") != 1, place)
+    out = every.groupBy(id_col).agg(F.min(place).alias("first"), F.max_by(F.struct(*rest), held).alias("r"), F.max(held).alias("last"))
+    return out.where("last is not null").select(id_col, "first", "r.*")

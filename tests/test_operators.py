@@ -316,14 +316,15 @@ def test_graph_snapshots_and_ingest(spark, tmp_path):
 
     repos = spark.createDataFrame([("a/b", 0), ("no/ne", 1)], "repo_id string, pos long")
     rows = {r["repo_id_requested"]: r for r in hosting.graph_snapshots(repos, transport).collect()}
-    assert rows["no/ne"]["status"] == 404 and rows["a/b"]["paths"] == ["src", "src/x", "src/x/y", "go.mod"] and rows["a/b"]["readme_path"] == "README.markdown"
-    assert json.loads(rows["a/b"]["metadata"])["open_issues_count"] == 5 and json.loads(rows["a/b"]["metadata"])["topics"] == ["t"]
+    assert rows["no/ne"]["status"] == 404 and rows["a/b"]["paths"] == ["src", "go.mod", "src/x", "src/x/y"] and rows["a/b"]["readme_path"] == "README.markdown"
+    record = ingest.records_of(hosting.graph_snapshots(repos, transport), F.lit("now")).first()
+    assert record["github"]["open_issues"] == 5 and record["github"]["topics"] == ["t"] and record["repo_id"] == "a/b"
     with pytest.raises(ValueError):
         hosting.graph_query([])
     path, none = str(tmp_path / "ck"), spark.createDataFrame([], "repo_id string, pos long")
     merged, outcomes = ingest.run(repos, none, lambda r: hosting.graph_snapshots(r, transport), path, F.lit("now"))
     assert {r["repo_id"]: r["outcome"] for r in outcomes.collect()} == {"a/b": "generated", "no/ne": "failed"} and ingest.succeeded(outcomes)
-    assert {r["repo_id"]: r["name"] for r in merged.collect()}["a/b"] == "b"
+    assert {r["repo_id"]: r["name"] for r in merged.collect()} == {"a/b": "b"}
     with pytest.raises(health.Refused):
         ingest.run(repos, none, lambda r: hosting.graph_snapshots(r, transport), path, F.lit("now"))
 
