@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..schemas import METADATA, RECORD
+from . import json_scan
 
 
 class SourceError(ValueError):
@@ -46,15 +48,21 @@ def json_object(spark: SparkSession, path: str, role: str, schema: str) -> DataF
     return df.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
+def _objects(spark: SparkSession, path: str, role: str, key: str | None = None) -> tuple[DataFrame, dict | list]:
+    """((pos, raw) of an array's objects, the rest of the document), read by byte range."""
+    try:
+        rows, rest = json_scan.scan(spark, path, key)
+    except json_scan.ScanError as e:
+        why = {"items": "must hold objects only", "type": "must be a JSON " + ("array" if key is None else f"object with an array {key}")}.get(e.kind, "is no valid JSON")
+        raise SourceError(f"{role} {why}: {path}") from e
+    bad = F.raise_error(F.lit(f"{role} is no valid JSON: {path}")).cast("string")
+    return rows.select("pos", F.when(F.try_parse_json("raw").isNull(), bad).otherwise(F.col("raw")).alias("raw")), rest
+
+
 def json_array(spark: SparkSession, path: str, role: str, schema: str) -> DataFrame:
-    """(pos, ...) of a JSON array of objects read by a DDL schema, in order."""
-    df = _whole(spark, path, role)
-    if df.first()["kind"] != "array":
-        raise SourceError(f"{role} must be a JSON array: {path}")
-    rows = df.select(F.posexplode(F.from_json("value", "array<string>")).alias("pos", "raw"))
-    if not rows.where(F.col("raw").isNull() | ~F.ltrim("raw").startswith("{")).isEmpty():
-        raise SourceError(f"{role} must hold objects only: {path}")
-    return rows.select(F.col("pos").cast("long"), F.from_json("raw", schema).alias("r")).select("pos", "r.*")
+    """(pos, ...) of a JSON array of objects read by a DDL schema, in order; one file is read by many tasks."""
+    rows, _ = _objects(spark, path, role)
+    return rows.select("pos", F.from_json("raw", schema).alias("r")).select("pos", "r.*")
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
@@ -96,16 +104,17 @@ def encoded(vector: Column) -> Column:
 
 
 INDEX = (
-    "index_version INT, record_schema_version INT, embedding_model STRING, embedding_base_url STRING, embedding_input_version INT, dimension INT, built_at STRING, "
-    f"record_count BIGINT, skipped ARRAY<STRING>, vectors ARRAY<STRUCT<repo_id: STRING, embedding_input_fingerprint: STRING, vector: STRING, metadata: STRUCT<{METADATA}>>>"
+    "index_version INT, record_schema_version INT, embedding_model STRING, embedding_base_url STRING, embedding_input_version INT, dimension INT, built_at STRING, record_count BIGINT, skipped ARRAY<STRING>"
 )
+INDEX_ENTRY = f"repo_id STRING, embedding_input_fingerprint STRING, vector STRING, metadata STRUCT<{METADATA}>"
 
 
 def index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(entries, one row of index_meta) of an index file."""
-    doc = json_object(spark, path, "the index", INDEX)
-    meta = doc.drop("vectors")
-    rows = doc.select(F.posexplode("vectors").alias("pos", "e")).select(F.col("pos").cast("long"), "e.repo_id", "e.embedding_input_fingerprint", "e.metadata", F.col("e.vector").alias("raw"))
+    """(entries, one row of index_meta) of an index file, which is read by many tasks."""
+    raw, rest = _objects(spark, path, "the index", "vectors")
+    head = spark.createDataFrame([(json.dumps({k: v for k, v in rest.items() if k != "vectors"}),)], "j string")
+    meta = head.select(F.from_json("j", INDEX).alias("r")).select("r.*")
+    rows = raw.select("pos", F.from_json("raw", INDEX_ENTRY).alias("e")).select("pos", "e.repo_id", "e.embedding_input_fingerprint", "e.metadata", F.col("e.vector").alias("raw"))
     return decoded(rows, "raw").drop("raw"), meta
 
 
@@ -144,7 +153,6 @@ def eval_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def write_index(entries: DataFrame, path: str, meta: dict) -> None:
     """An index file: its meta fields, and the entries in order of pos, vectors as base64; entries pass through a few at a time."""
-    import json
     import os
 
     head = json.dumps(meta | {"record_count": entries.count()}, ensure_ascii=False)[:-1]
@@ -188,7 +196,6 @@ def canonical_queries(spark: SparkSession, path: str, cases: DataFrame) -> DataF
 
 def write_json(rows: DataFrame | dict, path: str) -> None:
     """A report (rows, or one object), as one pretty-printed file on the driver's disk, put in place whole; rows pass through a few at a time."""
-    import json
     import os
 
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
