@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,9 +53,32 @@ def state_penalty(archived: Column, disabled: Column) -> Column:
     return F.when(archived.eqNullSafe(True), 0.08).otherwise(0.0) + F.when(disabled.eqNullSafe(True), 0.12).otherwise(0.0)
 
 
+def rounded(value: Column, places: int = 6) -> Column:
+    """A double to so many places (8 at most) by its exact binary value, ties to even, as the nearest double: what Python's round gives.
+
+    Spark's own functions round the shortest decimal that names the double. Here
+    the product with 10^places is taken with its error (halves of 26 and 27 bits
+    multiply exactly), so the comparison of the fraction with a half is exact.
+    """
+    if not 0 <= places <= 8:
+        raise ValueError("places are 0 to 8")
+    x, scale = F.abs(value.cast("double")), 10.0**places
+    whole = F.when(x < 2.0 ** (51 - math.ceil(places * math.log2(10))), F.lit(0.0)).otherwise(F.floor(x).cast("double"))
+    part = x - whole  # exact: what is left of large values has few bits
+    split = part * F.lit(134217729.0)
+    high = split - (split - part)
+    product = part * F.lit(scale)
+    error = (high * F.lit(scale) - product) + (part - high) * F.lit(scale)
+    below = F.floor(product).cast("double")
+    over = ((product - below) - F.lit(0.5)) + error
+    up = (over > 0) | ((over == 0) & (F.pmod(below, F.lit(2.0)) == 1.0))
+    out = whole + F.when(up, below + 1.0).otherwise(below) / F.lit(scale)
+    return F.when(F.isnan(x) | (x >= 2.0**52), value.cast("double")).otherwise(F.when(F.signum(value.cast("double")) < 0, -out).otherwise(F.when(x == 0, value.cast("double")).otherwise(out)))
+
+
 def ratio(a: Column, b: Column) -> Column:
-    """a / b to 6 places; 0 where b is 0 or either is null."""
-    return F.round(F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0)), 6)
+    """a / b to 6 places, as Python rounds; 0 where b is 0 or either is null."""
+    return rounded(F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0)))
 
 
 def star_tier(stars: Column) -> Column:

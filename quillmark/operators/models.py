@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..schemas import JUDGE_PROMPT, PROFILE_PROMPT
+from ..session import settled
 from .records import KEPT_FIELDS, LIST_FIELDS, TEXT_FIELDS
 
 VERDICT = "struct<verdict:string,difference_size:string,query_specificity:string,language_ecosystem_material:boolean,reason_short:string,expected_advantages:array<string>,top1_advantages:array<string>,confidence:string>"
@@ -83,26 +84,70 @@ def reranked(pairs: DataFrame, rerank: Callable[[str, list[str]], list[float]])
     return pairs.groupBy("qid").applyInPandas(run, f"qid {kind}, repo_id string, rerank_score double")
 
 
+def halved(items: list, call: Callable[[list], list]) -> list[tuple]:
+    """(answer, error) of each item: a call that fails, or answers another number, is made for its halves, down to single items."""
+    if not items:
+        return []
+    try:
+        got = call(items)
+        if len(got) != len(items):
+            raise ModelError(f"{len(got)} answers for {len(items)}")
+        return [(a, None) for a in got]
+    except Exception as e:  # the client's error is the row's outcome
+        if len(items) == 1:
+            return [(None, str(e) or type(e).__name__)]
+    half = len(items) // 2
+    return halved(items[:half], call) + halved(items[half:], call)
+
+
+def _replies(prompts: Iterator[pd.Series], call: Callable[[list[str]], list[str]], batch: int) -> Iterator[pd.DataFrame]:
+    for part in prompts:
+        due = part.dropna()
+        answers = [a for i in range(0, len(due), batch) for a in halved(due.iloc[i : i + batch].tolist(), call)]
+        yield pd.DataFrame(answers, columns=["answer", "error"], index=due.index, dtype=object).reindex(part.index).replace({np.nan: None})
+
+
 def asked(rows: DataFrame, prompt: str, chat: Callable[[list[str]], list[str]], batch: int = 16) -> DataFrame:
-    """rows with `answer` and `error` of a chat client, called with batches of the prompts that aren't null."""
+    """rows with `answer` and `error` of a chat client, called with batches of the prompts that aren't null; an error is one row's alone."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for prompts in batches:
-            due = prompts.dropna()
-            answers: list[tuple] = []
-            for i in range(0, len(due), batch):
-                part = due.iloc[i : i + batch].tolist()
-                try:
-                    got = chat(part)
-                    answers += [(a, None) for a in got] if len(got) == len(part) else [(None, f"{len(got)} answers for {len(part)}")] * len(part)
-                except Exception as e:  # the client's error is the row's outcome
-                    answers += [(None, str(e))] * len(part)
-            yield pd.DataFrame(answers, columns=["answer", "error"], index=due.index, dtype=object).reindex(prompts.index).replace({np.nan: None})
+        yield from _replies(batches, chat, batch)
 
     call = F.pandas_udf(run, "answer string, error string").asNondeterministic()  # a model is asked once for a row
     return rows.withColumn("reply", call(F.col(prompt))).select("*", "reply.answer", "reply.error").drop("reply")
 
 
+MODES = ("off", "canonical", "merge")
+
+
+def canonicalised(queries: DataFrame, chat: Callable[[list[str]], list[str]], mode: str = "merge", batch: int = 16) -> DataFrame:
+    """queries (qid, query, ...) with canonical, canonical_error and variants, the texts that a search embeds.
+
+    Each distinct query is rewritten once, in batches of one prompt; an answer with
+    another number of queries, or none, is asked for again by halves. variants are
+    the query (off), the rewritten one (canonical) or both (merge), each once; a query
+    without a rewritten one stands for itself.
+    """
+    if mode not in MODES:
+        raise ValueError(f"unknown query transform mode: {mode}")
+    if mode == "off":
+        none = F.lit(None).cast("string")
+        return queries.withColumns({"canonical": none, "canonical_error": none, "variants": F.array("query")})
+
+    def rewritten(texts: list[str]) -> list[str]:
+        return queries_of(chat([json.dumps({"queries": texts}, ensure_ascii=False)])[0], len(texts))
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from _replies(batches, rewritten, batch)
+
+    call = F.pandas_udf(run, "answer string, error string").asNondeterministic()
+    found = queries.where("query is not null").select("query").distinct().withColumn("reply", call(F.col("query")))
+    made = settled(found.select("query", F.col("reply.answer").alias("canonical"), F.col("reply.error").alias("canonical_error")), "canonical")
+    both = F.array("query", "canonical") if mode == "merge" else F.array("canonical")
+    own = F.col("canonical").isNull() | (F.col("canonical") == F.col("query"))
+    return queries.join(made, "query", "left").withColumn("variants", F.when(own, F.array("query")).otherwise(both)).select(*queries.columns, "canonical", "canonical_error", "variants")
+
+
 def profile_input() -> Column:
     """The evidence of a record that a model may use, as JSON."""
     none = F.array().cast("array<string>")

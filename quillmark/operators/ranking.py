@@ -6,12 +6,16 @@ query and vector (several rows of a qid are variants of one query).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import score, text
-from . import similarity
+from ..schemas import RECORD_SCHEMA
+from ..session import settled
+from . import index, models, similarity
 
 FUSION = 60
 STRATEGIES = ("metadata", "semantic", "rerank")
@@ -159,6 +163,17 @@ def search_semantic(entries: DataFrame, queries: DataFrame, top_k: int = 10, thr
     return presented(rows, top_k, F.desc("score"), F.desc("repo_id"), F.asc("pos"))
 
 
+def rerank_candidates(entries: DataFrame, queries: DataFrame, limit: int = 50, named: DataFrame | None = None) -> DataFrame:
+    """(qid, repo_id, pos, semantic, semantic_rank): the entries that a reranker is asked about, those that a query names left out."""
+    named = identity_pairs(entries, queries) if named is None else named
+    # Identities aren't candidates, so a batch keeps as many more rows as the most that a query names.
+    most = named.groupBy("qid").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    near = similarity.scored_pairs(entries, queries, limit + most)
+    near = near.join(named.select("qid", "repo_id").distinct(), ["qid", "repo_id"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("semantic"), "pos"))
+    return near.withColumn("semantic_rank", rank).where(F.col("semantic_rank") <= limit)
+
+
 def fused(
     entries: DataFrame, queries: DataFrame, rerank_scores: DataFrame, candidate_limit: int = 50, threshold: float = score.EXPLORATORY,
     named: DataFrame | None = None,
@@ -167,13 +182,7 @@ def fused(
     if candidate_limit < 1:
         raise ValueError("the candidate limit is 1 at least")
     named = identity_pairs(entries, queries) if named is None else named
-    counts = named.groupBy("qid").agg(F.count("*").alias("n"))
-    # Identities aren't candidates, so a batch keeps as many more rows as the most that a query names.
-    most = counts.agg(F.max("n")).first()[0] or 0
-    near = similarity.scored_pairs(entries, queries, candidate_limit + most)
-    near = near.join(named.select("qid", "repo_id").distinct(), ["qid", "repo_id"], "left_anti")
-    by = Window.partitionBy("qid")
-    near = near.withColumn("semantic_rank", F.row_number().over(by.orderBy(F.desc("semantic"), "pos"))).where(F.col("semantic_rank") <= candidate_limit)
+    near, by = rerank_candidates(entries, queries, candidate_limit, named), Window.partitionBy("qid")
     near = near.join(rerank_scores, ["qid", "repo_id"]).withColumn("rerank_rank", F.row_number().over(by.orderBy(F.desc("rerank_score"), "semantic_rank")))
     rows = near.select(
         "qid", "repo_id", "pos", (1.0 / (FUSION + F.col("semantic_rank")) + 1.0 / (FUSION + F.col("rerank_rank"))).alias("score"), F.col("semantic").alias("semantic_score"),
@@ -236,6 +245,45 @@ def search(
     return (search_metadata if strategy == "metadata" else search_semantic)(entries, queries, top_k, threshold)
 
 
+def search_text(
+    entries: DataFrame, meta: DataFrame, queries: DataFrame, embed: Callable[[list[str]], list[list[float]]], model: str, strategy: str = "metadata", top_k: int = 10,
+    threshold: float = score.EXPLORATORY, rerank: Callable[[str, list[str]], list[float]] | None = None, candidate_limit: int = 50, **options,
+) -> DataFrame:
+    """The answers to queries (qid, query[, variants][, rerank_query]), from texts to hits in one call; see answers().
+
+    variants are the texts whose best score counts, as models.canonicalised makes
+    them (the query itself by default); rerank_query is what the reranker reads. The
+    index must fit the model, and its vectors its dimension. Each distinct text is
+    embedded once, into a written table.
+    """
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown ranking strategy: {strategy}")
+    if strategy == "rerank" and rerank is None:
+        raise ValueError("the rerank strategy needs a reranker")
+    check_index(meta, model, text.EMBEDDING_INPUT_VERSION, RECORD_SCHEMA)
+    dimension = meta.first()["dimension"]
+    check_vectors(entries if dimension is None else entries.withColumn("vector", F.when(F.size("vector") == dimension, F.col("vector"))))
+    own = F.array("query")
+    rows = queries.select("qid", "query", (F.coalesce("variants", own) if "variants" in queries.columns else own).alias("variants"), (F.coalesce("rerank_query", "query") if "rerank_query" in queries.columns else F.col("query")).alias("rerank_query"))
+    texts = settled(rows.select("qid", "query", F.explode(F.array_distinct("variants")).alias("input")), "variants")
+    blank = texts.where(text.stripped(F.col("input")).isNull()).select("qid").union(rows.where(F.size("variants") <= 0).select("qid")).first()
+    if blank is not None:
+        raise ValueError(f"query {blank[0]} has an empty text")
+    vectors = settled(index.embedded(texts.select("input").distinct(), embed, dimension), "query-vectors")
+    asked = texts.join(vectors, "input").select("qid", "query", "vector")
+    if not vectors.where(~F.exists("vector", lambda x: x != 0)).isEmpty():
+        raise ValueError("the model gave a query a zero vector")
+    scores = None
+    if strategy == "rerank":
+        document = text.rerank_text(F.col("repo_id"), lambda k: F.col(f"metadata.{k}")).alias("document")
+        pairs = rerank_candidates(entries, asked, candidate_limit).join(entries.select("repo_id", "pos", document), ["repo_id", "pos"])
+        pairs = pairs.join(rows.select("qid", F.col("rerank_query").alias("query")), "qid").select("qid", "query", "repo_id", "semantic_rank", "document")
+        scores = settled(models.reranked(pairs, rerank), "rerank-scores")
+        options = options | {"candidate_limit": candidate_limit}
+    hits = search(entries, asked, strategy, top_k, threshold, scores, **options)
+    return answers(rows, hits).withColumn("considered", F.lit(entries.count()))
+
+
 def answers(queries: DataFrame, hits: DataFrame) -> DataFrame:
     """One row of each query: its hits in order, and whether it abstained."""
     q = queries.groupBy("qid").agg(F.first("query").alias("query"))

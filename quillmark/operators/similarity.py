@@ -97,7 +97,10 @@ def semantic_of(pairs: DataFrame, entries: DataFrame, queries: DataFrame) -> Dat
 
 
 def candidate_diagnostics(entries: DataFrame, queries: DataFrame, n: int) -> DataFrame:
-    """(qid, rank, repo_id, score): the n best by score, ties by ascending repo_id, 8 places."""
+    """(qid, rank, repo_id, score): the n best by score, ties by ascending repo_id, 8 places; a zero query vector is an error."""
+    zero = queries.where(~F.exists("vector", lambda x: x != 0)).select("qid").first()
+    if zero is not None:
+        raise ValueError(f"query {zero[0]} has a zero vector")
     pairs = scored_pairs(entries, queries, n)
     order = Window.partitionBy("qid").orderBy(F.desc("semantic"), "repo_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("qid", "rank", "repo_id", F.round("semantic", 8).alias("score"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import score, text
-from ..operators import evaluation, generate, index, ingest, models, ranking, records, similarity
+from ..operators import evaluation, generate, independent, index, ingest, models, ranking, records, similarity
 from ..sources import files
 from . import sql
 from .adapters import ENTRIES_SQL, RECORDS_SQL, entries, queries, table
@@ -568,6 +569,54 @@ def distinct_cases(spark, sf):
     return made.select("id", "query", "expected_repo_id", joined("tags").alias("tags"), "query_type", "star_tier")
 
 
+@query(
+    "ed5_greedy_distinct",
+    """WITH RECURSIVE p AS (
+  SELECT row_number() OVER (ORDER BY p_partkey) AS n, p_partkey, p_name AS id, p_brand || ' ' || p_size % 7 AS signature FROM part
+), g AS (
+  SELECT 0 AS n, []::VARCHAR[] AS ids, []::VARCHAR[] AS signatures, NULL::BIGINT AS taken
+  UNION ALL
+  SELECT p.n, CASE WHEN free THEN list_append(ids, id) ELSE ids END, CASE WHEN free THEN list_append(signatures, signature) ELSE signatures END, CASE WHEN free THEN p_partkey END
+  FROM (SELECT p.n, p.p_partkey, id, signature, ids, signatures, NOT list_contains(ids, id) AND NOT list_contains(signatures, signature) AS free FROM g JOIN p ON p.n = g.n + 1) p
+)
+SELECT p_partkey, p_name, p_brand, p_size FROM part WHERE p_partkey IN (SELECT taken FROM g)""",
+)
+def greedy_distinct(spark, sf):
+    p = table(spark, sf, "part")
+    kept = independent.greedy(p, {"id": F.col("p_name"), "signature": F.concat("p_brand", F.lit(" "), (F.col("p_size") % 7).cast("string"))}, [F.col("p_partkey")])
+    return kept.select("p_partkey", "p_name", "p_brand", "p_size")
+
+
+@query(
+    "af16_round_ties_to_even",
+    """WITH q AS (SELECT l_orderkey, l_linenumber, l_quantity::BIGINT * 78125 AS x FROM lineitem)
+SELECT l_orderkey, l_linenumber, (x // 10 + CASE WHEN x % 10 > 5 OR (x % 10 = 5 AND x // 10 % 2 = 1) THEN 1 ELSE 0 END)::DOUBLE / 1e6 AS share FROM q""",
+)
+def round_ties_to_even(spark, sf):
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", score.ratio(F.col("l_quantity"), F.lit(128)).alias("share"))
+
+
+def _sorted_words(prompts: list[str]) -> list[str]:
+    """A stand-in for a chat model that sorts each query's words; it drops queries about rings."""
+    return [json.dumps({"queries": [" ".join(sorted(q.split())) for q in json.loads(p)["queries"] if "ring" not in q]}) for p in prompts]
+
+
+CANONICAL = "CASE WHEN contains(p_name, 'ring') THEN NULL ELSE array_to_string(list_sort(string_split(p_name, ' ')), ' ') END"
+
+
+@query(
+    "ud4_query_variants",
+    f"""WITH p AS (SELECT p_partkey, p_name, {CANONICAL} AS c FROM part), m AS (SELECT unnest(['off', 'canonical', 'merge']) AS mode)
+SELECT mode, p_partkey, CASE WHEN mode <> 'off' THEN c END AS canonical, mode <> 'off' AND c IS NULL AS failed,
+  CASE WHEN mode = 'off' OR c IS NULL OR c = p_name THEN p_name WHEN mode = 'canonical' THEN c ELSE p_name || '|' || c END AS variants FROM p, m""",
+)
+def query_variants(spark, sf):
+    q = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("query"))
+    out = [models.canonicalised(q, _sorted_words, mode).withColumn("mode", F.lit(mode)) for mode in models.MODES]
+    rows = out[0].unionByName(out[1]).unionByName(out[2])
+    return rows.select("mode", "p_partkey", "canonical", F.col("canonical_error").isNotNull().alias("failed"), F.array_join("variants", "|").alias("variants"))
+
+
 @query("so6_stratified_cases")
 def stratified_cases(spark, sf):
     made = generate.distinct_cases(generate.cases(_generation(spark, sf), "alternative"))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_scratch: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -25,6 +27,24 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def work_dir(spark: SparkSession) -> str:
+    """The folder for work tables that all machines share: spark.checkpoint.dir; on one machine, where it is unset, a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    return _scratch.setdefault(context.applicationId, tempfile.mkdtemp(prefix="quillmark-"))
+
+
+def settled(df: DataFrame, tag: str) -> DataFrame:
+    """df, written to the shared folder and read back: made once, with no lineage, and there when executors are lost."""
+    path = f"{work_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(cores: str = "*", **conf: str) -> SparkSession:
     """A session on this machine, for tests and the bench."""
     settings = {

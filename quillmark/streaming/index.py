@@ -93,7 +93,7 @@ def build_batch(spark: SparkSession, batch: DataFrame, number: int, entries_dir:
     rows = index.wanted(batch)
     last = rows.groupBy("repo_id").agg(F.max_by(F.struct("fingerprint", "input", "metadata", "pos"), "pos").alias("r")).select("repo_id", "r.*")
     paid(store, last, embed, dimension, calls=calls)
-    have = store.lookup(last.select("fingerprint").where("fingerprint is not null")).groupBy("fingerprint").agg(F.first("vector").alias("vector"))
+    have = store.lookup(last.select("fingerprint").where("fingerprint is not null"))
     runs.append(number, last.join(have, "fingerprint").withColumnRenamed("fingerprint", "embedding_input_fingerprint"))
 
 

@@ -76,11 +76,14 @@ class Runs:
             for old in (a, b):
                 self._fs.delete(self._path(self._place(old)), True)
 
-    def _newest(self, spans: list[tuple[int, int]]) -> DataFrame:
+    def _newest(self, spans: list[tuple[int, int]], only: DataFrame | None = None, where: Column | None = None) -> DataFrame:
+        """The latest row of each key in these runs, in order; of the keys of `only`, from the buckets that `where` names."""
         rows = None
         for i, span in enumerate(spans):
-            run = self._read(span).drop(_BUCKET).withColumn(_BUCKET, F.lit(i))
+            run = self._read(span)
+            run = (run if where is None else run.where(where)).drop(_BUCKET).withColumn(_BUCKET, F.lit(i))
             rows = run if rows is None else rows.union(run)
+        rows = rows if only is None else rows.join(only, self.key, "left_semi")
         rest = [c for c in rows.columns if c not in (self.key, _BUCKET)]
         latest = rows.groupBy(self.key).agg(F.max_by(F.struct(*rest), _BUCKET).alias("r"))
         return latest.select(self.key, "r.*")
@@ -93,12 +96,12 @@ class Runs:
         return self._newest(spans) if len(spans) > 1 else self._read(spans[0]).drop(_BUCKET)
 
     def lookup(self, keys: DataFrame) -> DataFrame:
-        """All rows of these keys (a column named as the key), from the buckets that may hold them; a key may come once a run."""
+        """The latest row of each of these keys (a column named as the key), from the buckets that may hold them."""
         buckets = [r[0] for r in keys.select(F.explode(F.array(*(self._bucket(d) for d in range(3)))).alias("b")).distinct().collect()]  # 273 at most
-        rows = self.spark.createDataFrame([], self.schema)
-        for span in self.spans():
-            rows = rows.unionByName(self._read(span).where(F.col(_BUCKET).isin(buckets)).drop(_BUCKET))
-        return rows.join(keys.select(self.key).distinct(), self.key, "left_semi")
+        spans = self.spans()
+        if not spans:
+            return self.spark.createDataFrame([], self.schema)
+        return self._newest(spans, keys.select(self.key).distinct(), F.col(_BUCKET).isin(buckets))
 
     def drop(self, prefix: str) -> None:
         """Deletes what was written beside the runs under a name."""

@@ -95,9 +95,6 @@ def test_runs_stay_few_and_latest_rows_win(spark, tmp_path, monkeypatch):
         assert len(table.spans()) <= 5
     assert {r["k"]: r["v"] for r in table.current().collect()} == want
     some = spark.createDataFrame([("k1",), ("k2",), ("no",)], "k string")
-    found = {}
-    for r in table.lookup(some).collect():
-        found.setdefault(r["k"], set()).add(r["v"])
-    assert found.keys() == {"k1", "k2"} and all(want[k] in v for k, v in found.items())
+    assert {r["k"]: r["v"] for r in table.lookup(some).collect()} == {k: want[k] for k in ("k1", "k2")}
     assert any("run_bucket=b" + c in name for c in "0123456789abcdef" for _, names, _ in os.walk(tmp_path) for name in names)  # large runs are split
     assert Runs(spark, str(tmp_path / "none"), "k string, v long", "k").current().count() == 0
