@@ -635,10 +635,20 @@ def top_n_frequency(spark, sf):
     return out[0].union(out[1])
 
 
-@query("sc19_synthetic_index")
+def _drawn_sql(values, nth: int) -> str:
+    return f"{sql.names(values)}[(('0x' || substr(md5(p_partkey::VARCHAR), {1 + 4 * nth}, 4))::BIGINT % {len(values)} + 1)::INTEGER]"
+
+
+@query(
+    "sc19_synthetic_index",
+    f"""SELECT 'synthetic/repo-' || lpad(p_partkey::VARCHAR, 6, '0') AS repo_id, p_partkey AS pos, 32 AS dimension, true AS unit, {_drawn_sql(generate.MAKES, 0)} AS project_type,
+  {_drawn_sql(list(text.LANGUAGES), 2)} AS language, (('0x' || substr(md5(p_partkey::VARCHAR), 13, 4))::BIGINT % 5000)::VARCHAR AS stars FROM part""",
+)
 def synthetic_index(spark, sf):
-    e = generate.synthetic_entries(spark, 500, 32)
-    return e.select("repo_id", "pos", "embedding_input_fingerprint", F.size("vector").alias("dimension"), F.col("metadata.project_type").alias("project_type"), F.col("metadata.stars").alias("stars"))
+    """Synthetic entries for the parts' numbers."""
+    e = generate.described_entries(table(spark, sf, "part").select(F.col("p_partkey").alias("pos")), 32)
+    unit = F.abs(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x) - 1) < 1e-5
+    return e.select("repo_id", "pos", F.size("vector").alias("dimension"), unit.alias("unit"), "metadata.project_type", "metadata.language", "metadata.stars")
 
 
 @query("sc5_vector_roundtrip", "SELECT vec_id, true AS same, len(embedding)::INTEGER AS dimension FROM embeddings")
