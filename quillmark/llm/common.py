@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Hashable
 from typing import Any
@@ -13,20 +12,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
+
 #: Prefix of the columns that operators add for themselves, so that they clash
 #: with no column of the caller's.
 OWN = "__qm_"
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder for work tables: spark.checkpoint.dir; set here only on one machine, where it is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-        shared = tempfile.mkdtemp(prefix="quillmark-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared.rstrip("/")
+    """The shared folder for work tables; see session.work_dir."""
+    return session.work_dir(spark)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

@@ -360,6 +360,8 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     end = (float(np.log10(model.texts + 1)), int(model.texts > 0))
     context_shard, shards = _shards_of_contexts(model.shards), model.shards
     several = len(model.passes) > 1
+    if several:  # passes are added up by uid, which must be the same in each
+        rows = common.written(rows, "ctw-rows")
     columns = f"uid long, id {kind}, n_tokens long, n_known long, base_score double, score double"
     out = None
     for i, part in enumerate(model.passes):

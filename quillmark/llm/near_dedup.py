@@ -36,6 +36,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, wordhash
+from .common import OWN
+
+#: Column of each row's own number: its id, or one above all ids where ids repeat.
+NUMBER = OWN + "number"
 
 K, SAMPLES, LENGTH, THRESHOLD = 5, 20, 3, 0.8
 #: Random priorities by which a sample's group picks its representative: several, so that
@@ -338,10 +342,44 @@ def rejoined(component: DataFrame, links: DataFrame) -> DataFrame:
     return common.written(moved.union(alone), "omh-component")
 
 
-def near_duplicates(
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """(docs with an id and NUMBER, whether ids repeat): the id where it comes once, else a number of the row's own above all ids."""
+    known = docs.where(F.col(id_col).isNotNull())
+    number = F.col(id_col).cast("long")
+    counts = known.groupBy(number.alias(OWN + "id")).agg(F.count("*").alias("n"))
+    repeated = common.written(counts.where("n > 1").select(OWN + "id"), "omh-repeated")
+    if repeated.isEmpty():
+        return known.withColumn(NUMBER, number), False
+    top = known.agg(F.max(number)).first()[0]
+    if top >= 1 << 62:
+        raise ValueError("ids that repeat must be under 2^62")
+    many = common.written(known.join(repeated, number == F.col(OWN + "id"), "left_semi"), "omh-repeats")
+    many = common.written(many.withColumn(NUMBER, F.lit(top + 1) + F.monotonically_increasing_id()), "omh-repeats")
+    return known.join(repeated, number == F.col(OWN + "id"), "left_anti").withColumn(NUMBER, number).unionByName(many), True
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(doc, cluster, kept): cluster is the smallest id of the document's class, kept tells doc = cluster.
+
+    All texts of an id are aligned, and tie their classes together. Rows with a null
+    id have no row; an empty table has none; other columns aren't read.
+    """
+    rows, repeated = numbered(docs, id_col, text_col)
+    found = _classes(rows, NUMBER, text_col, **options)
+    if repeated:
+        found = common.written(rows.select(F.col(id_col).cast("long").alias("id"), F.col(NUMBER).alias("doc")).join(found, "doc").select("id", F.col("cluster").alias("c")).distinct(), "omh-tied")
+        first = found.groupBy("id").agg(F.min("c").alias("first"))
+        over = common.connected_components(found.join(first, "id").select("c", "first"), "c", "first")
+        found = found.join(over, found["c"] == over["node"], "left").select("id", F.coalesce("component", "c").alias("c")).distinct()
+        least = found.groupBy("c").agg(F.min("id").alias("cluster"))
+        found = found.join(least, "c").select(F.col("id").alias("doc"), "cluster")
+    return found.select("doc", "cluster", (F.col("cluster") == F.col("doc")).alias("kept"))
+
+
+def _classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, samples: int = SAMPLES, length: int = LENGTH, threshold: float = THRESHOLD
 ) -> DataFrame:
-    """(doc, cluster, kept): cluster is the smallest id of the document's class, kept tells doc = cluster."""
+    """(doc, cluster) of docs with an id each: cluster is the smallest of the document's class."""
     sketch = common.written(sketched(docs, id_col, text_col, k, samples, length), "omh")
     # One document stands for all of the same words; documents of one id are tied together below.
     classes = sketch.groupBy("words").agg(F.min("doc").alias("head"), F.min_by("sketch", "doc").alias("sketch"))
@@ -373,9 +411,6 @@ def near_duplicates(
     common.cleaned(docs.sparkSession)
     candidates = pairs.join(text_a, "a").join(text_b, "b")
     links = verified(candidates, k, threshold).select("a", "b")
-    # A document of one id and several texts ties their classes together.
-    several = member.groupBy("doc").agg(F.min("head").alias("first"), F.count("*").alias("n")).where("n > 1")
-    links = links.union(member.join(several, "doc").where("head != first").select("head", "first"))
     component = common.connected_components(links, "a", "b").withColumnRenamed("node", "head")
     common.cleaned(docs.sparkSession)
     # Texts of one sample and several classes, of which not all pairs have been compared.
@@ -388,13 +423,22 @@ def near_duplicates(
     common.cleaned(docs.sparkSession)
     component = rejoined(component, aligned_pairs(remaining(commonplace(profile, component), threshold), text, k, threshold))
     cluster = F.coalesce("component", "head")
-    out = member.join(component, "head", "left").groupBy("doc").agg(F.min(cluster).alias("cluster"))
-    return out.select("doc", "cluster", (F.col("cluster") == F.col("doc")).alias("kept"))
+    return member.join(component, "head", "left").groupBy("doc").agg(F.min(cluster).alias("cluster"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each class of near duplicates; rows with a null id stay as they are."""
-    gone = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col("doc").alias(f"{common.OWN}doc"))
-    left = docs.join(gone, docs[id_col].cast("long") == gone[f"{common.OWN}doc"], "left_anti")
-    known = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return known.unionByName(left.where(F.col(id_col).isNull()))
+    """docs with one row of each class of near duplicates, of the smallest id; rows with a null id stay as they are.
+
+    Rows of one id with texts that aren't alike are different documents and stay.
+    """
+    rows, repeated = numbered(docs, id_col, text_col)
+    found = _classes(rows, NUMBER, text_col, **options)
+    if repeated:
+        ids = rows.select(F.col(NUMBER).alias("doc"), F.col(id_col).cast("long").alias("id"))
+        found = common.written(found.join(ids, "doc"), "omh-kept")
+        best = found.groupBy("cluster").agg(F.min(F.struct("id", "doc")).alias("best"))
+        gone = found.join(best, "cluster").where("doc <> best.doc").select(F.col("doc").alias(NUMBER))
+    else:
+        gone = found.where("doc <> cluster").select(F.col("doc").alias(NUMBER))
+    left = rows.join(gone, NUMBER, "left_anti").select(*docs.columns)
+    return left.unionByName(docs.where(F.col(id_col).isNull()))

@@ -9,7 +9,7 @@ replacement, in proportion to their weights.
 
 The raw model counts all texts. The target model counts a bounded sample: half
 of the first `SAMPLE` rows by hash of the id among those that labels call good,
-of at most `LONGEST` characters. By default k is the number of all texts whose
+whole. By default k is the number of all texts whose
 log weight reaches the cut that errs least on the other half and as many rows
 that labels call bad.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import common, wordhash
 
 BUCKETS = 1 << 16
-SAMPLE, LONGEST = 20_000, 200_000
+SAMPLE = 20_000
 PRIOR = 4.0
 CHUNK = 2 << 20
 FAN_IN = 32
@@ -196,9 +196,9 @@ class Resampler:
         chosen = F.broadcast(parts[0].union(parts[1]))  # at most 2 * sample rows
         text = docs.select(doc, F.col(text_col).alias("text"))
         fitted = (F.col("y") == 1) & (F.pmod(F.xxhash64("doc", F.lit(1)), F.lit(2)) == 0)
-        rows = text.join(chosen, "doc", "left").select("text", (F.coalesce(fitted, F.lit(False)) & (F.length("text") <= LONGEST)).alias("target"))
+        rows = text.join(chosen, "doc", "left").select("text", F.coalesce(fitted, F.lit(False)).alias("target"))
         self.ratio = ratios(counted(rows))
-        seen = text.join(chosen, "doc").where((F.length("text") <= LONGEST) & ~fitted).select("y", log_weight("text", self.ratio).alias("w"))
+        seen = text.join(chosen, "doc").where(~fitted).select("y", log_weight("text", self.ratio).alias("w"))
         self.cut = self._best(np.array([(r["w"], r["y"]) for r in seen.limit(4 * sample).collect()]).reshape(-1, 2))
 
     @staticmethod

@@ -24,8 +24,8 @@ scored with dictionaries that didn't see it. Clusters share its weights and
 deviate from them as far as their own samples say.
 
 Labels are learned from at most `SAMPLE` rows of a class, the first by hash of
-the id, and from `SAMPLE_CHARS` characters of a text, at a place by hash of the
-id: a bounded sample. All texts are scored whole.
+the id among those that have a document: a bounded sample, of whole texts. All
+texts are scored whole.
 
 Defined results: null and empty texts have no window and get the score of a
 text without distance; rows labelled twice count as toxic if one label does;
@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE, SAMPLE_CHARS = 1500, 8_000
+SAMPLE = 1500
 #: Held by both dictionaries: keeps a window long enough to be compressed at all.
 PAD = b"|=#0123456789abcdefghijklmnop#=|"
 PARSERS = (zstandard.STRATEGY_LAZY2, zstandard.STRATEGY_BTOPT)
@@ -367,14 +367,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """The model of labelled rows that aren't held out; None without both classes."""
     doc = F.col(id_col).cast("long").alias("doc")
     label = labels.select(doc, F.col(label_col).alias("y")).where("doc is not null and y in (0, 1)").groupBy("doc").agg(F.max("y").alias("y"))
-    label = label.where(common.remainder("doc", held) != 0)
+    label = label.where(common.remainder("doc", held) != 0).join(docs.select(doc).distinct(), "doc", "left_semi")
     chosen = None
     for y in (0, 1):
-        part = label.where(F.col("y") == y).orderBy(F.xxhash64("doc"), "doc").limit(2 * sample)
+        part = label.where(F.col("y") == y).orderBy(F.xxhash64("doc"), "doc").limit(sample)
         chosen = part if chosen is None else chosen.union(part)
-    room = F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)
-    text = F.substring(F.col("text"), (F.pmod(F.xxhash64("doc", F.lit(2)), room) + 1).cast("int"), F.lit(SAMPLE_CHARS))
-    rows = docs.select(doc, F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc").select("y", text.alias("text"), F.xxhash64("doc").alias("h"), "doc")
+    rows = docs.select(doc, F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc").select("y", "text", F.xxhash64("doc").alias("h"), "doc")
     got = {y: [r["text"] or "" for r in rows.where(F.col("y") == y).orderBy("h", "doc", "text").limit(sample).select("text").collect()] for y in (0, 1)}
     if not got[0] or not got[1]:
         return None

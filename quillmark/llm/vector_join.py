@@ -205,7 +205,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         F.col(label_col).cast("string").alias("label"),
         F.when(fine & F.col(label_col).isNotNull() & F.col(id_col).isNotNull(), F.transform(v, lambda x: x.cast("double") + 0.0)).alias("v"),
     )
-    rows = rows.withColumn("key", F.when(F.col("v").isNotNull(), F.sha2(F.concat_ws(",", F.col("label"), F.col("v").cast("array<string>")), 256)))
+    rows = rows.withColumn("key", F.when(F.col("v").isNotNull(), F.sha2(F.concat_ws(",", F.length("label").cast("string"), "label", F.col("v").cast("array<string>")), 256)))
     some = rows.where(F.col("v").isNotNull())
     classes = some.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("size"), F.first("label").alias("label"), F.first("v").alias("v"))
     classes = common.written(classes.withColumn("cid", F.monotonically_increasing_id()), "ego-classes")
