@@ -55,8 +55,9 @@ TOKEN = "[a-z0-9][a-z0-9+._#-]*"
 EMBEDDING_INPUT_VERSION = 3
 
 
-def words(values: list[str]) -> Column:
-    return F.array(*map(F.lit, values))
+def words(values: list[str] | tuple[str, ...]) -> Column:
+    """A constant array, folded by the optimiser from one literal: as many calls whatever its length."""
+    return F.split(F.lit("\n".join(values)), "\n") if values else F.array().cast("array<string>")
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -102,7 +103,12 @@ def expanded_all(values: Column) -> Column:
 def _alias_of(token: Column) -> Column:
     """The language that one token names, or null."""
     names = {a: n for n, aliases in LANGUAGES.items() for a in aliases if " " not in a}
-    return F.try_element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), token)
+    return F.try_element_at(_mapped(names), token)
+
+
+def _mapped(names: dict[str, str]) -> Column:
+    """A constant map of texts without commas and colons, from one literal."""
+    return F.str_to_map(F.lit(",".join(f"{a}:{n}" for a, n in names.items())), F.lit(","), F.lit(":"))
 
 
 def language_prefix(query_tokens: Column) -> Column:
@@ -121,10 +127,11 @@ def metadata_language(language: Column) -> Column:
 
 
     def first(found: Column) -> Column:
-        # Aliases that the tokens are, or make when joined, with their languages in order.
-        table = F.array(*(F.struct(F.lit(a).alias("alias"), F.lit(n).alias("name")) for n, aliases in LANGUAGES.items() for a in aliases))
+        # Aliases that the tokens are, or make when joined, in the languages' order.
+        names = {a: n for n, aliases in LANGUAGES.items() for a in aliases}
         said = F.concat(found, F.array(F.array_join(found, ""), F.array_join(found, " ")))
-        return bound(said, lambda x: F.get(F.filter(table, lambda t: F.array_contains(x, t["alias"])), 0)["name"])
+        known = bound(said, lambda x: F.get(F.filter(words(list(names)), lambda a: F.array_contains(x, a)), 0))
+        return F.try_element_at(_mapped(names), known)
 
     return bound(tokens(language), first)
 
@@ -198,7 +205,7 @@ def identity_kind(query: Column, repo_id: Column, name: Column, aliases: Column)
     """How a query names an entry: repo_id, exact_value, contextual_name_mention, name_mention or none."""
     raw, own = lowered(query), lowered(repo_id)
     values = identity_values(repo_id, name, aliases)
-    called = F.filter(F.transform(F.concat(F.array(F.coalesce(name, F.lit(""))), strip_list(aliases)), lowered), lambda v: (F.length(v) >= 3) & ~v.isin(_language_terms()))
+    called = F.filter(F.transform(F.concat(F.array(F.coalesce(name, F.lit(""))), strip_list(aliases)), lowered), lambda v: (F.length(v) >= 3) & ~F.array_contains(words(_language_terms()), v))
     return (
         F.when((own != "") & F.contains(raw, own), "repo_id")
         .when(F.array_contains(F.transform(values, lowered), raw), "exact_value")
@@ -300,7 +307,7 @@ def signature(text: Column) -> Column:
 
 
 def keyword_list(text: Column, limit: int) -> Column:
-    telling = F.filter(tokens(text), lambda t: (F.length(t) > 2) & ~t.rlike("^[0-9]+$") & ~t.isin(NOISE_TOKENS))
+    telling = F.filter(tokens(text), lambda t: (F.length(t) > 2) & ~t.rlike("^[0-9]+$") & ~F.array_contains(words(NOISE_TOKENS), t))
     return F.slice(F.array_distinct(telling), 1, limit)
 
 

@@ -148,11 +148,13 @@ def best_order() -> list[Column]:
 
 
 def search_metadata(entries: DataFrame, queries: DataFrame, top_k: int = 10, threshold: float = score.EXPLORATORY) -> DataFrame:
-    named = identity_pairs(entries, queries)
-    near = similarity.scored_pairs(entries, queries, max(1, top_k), threshold, similarity.BONUS + similarity.PENALTY)
-    pinned = similarity.semantic_of(named.select("qid", "repo_id", "pos"), entries, queries).join(named, ["qid", "repo_id", "pos"])
-    rest = near.join(named, ["qid", "repo_id", "pos"], "left_anti").withColumn("identity", F.lit("none"))
-    rows = adjusted(pinned.unionByName(rest), entries, queries, threshold)
+    # Written, as three joins use it, by its size: the few entries that queries name don't shuffle all vectors.
+    named = settled(identity_pairs(entries, queries), "named")
+    rows = similarity.scored_pairs(entries, queries, max(1, top_k), threshold, similarity.adjustments(F.col("metadata"))).withColumn("identity", F.lit("none"))
+    if not named.isEmpty():
+        pinned = similarity.semantic_of(named.select("qid", "repo_id", "pos"), entries, queries).join(named, ["qid", "repo_id", "pos"])
+        rows = pinned.unionByName(rows.join(named, ["qid", "repo_id", "pos"], "left_anti"))
+    rows = adjusted(rows, entries, queries, threshold)
     return presented(rows, top_k, *best_order()).drop("pinned")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,8 +14,16 @@ from ..functions import score
 
 #: Query vectors of one pass over the entries; a broadcast of at most this many rows.
 QUERY_BLOCK = 4096
-#: A non-identity row's metadata can raise it by so much, and lower it by so much.
-BONUS, PENALTY = 0.205, 0.24
+#: What a query's terms can add to an entry that it doesn't name; what a language can add and take away.
+TERMS, LANGUAGE = 0.16, (0.03, 0.04)
+
+
+def adjustments(metadata: Column) -> tuple[Column, Column]:
+    """The least and the most that any query can make of an entry's score by its metadata, without naming it."""
+    m = lambda k: metadata.getField(k)
+    own = F.coalesce(score.popularity(score.number(m("stars"))), F.lit(0.0)) - score.state_penalty(m("archived"), m("disabled"))
+    spoken = m("language").isNotNull()
+    return own - F.when(spoken, LANGUAGE[1]).otherwise(0.0), own + TERMS + F.when(spoken, LANGUAGE[0]).otherwise(0.0)
 
 
 def query_blocks(queries: DataFrame, size: int = QUERY_BLOCK) -> Iterator[tuple[list, np.ndarray]]:
@@ -36,14 +44,17 @@ def query_blocks(queries: DataFrame, size: int = QUERY_BLOCK) -> Iterator[tuple[
         yield block()
 
 
-def scored_pairs(entries: DataFrame, queries: DataFrame, keep: int, threshold: float | None = None, slack: float = 0.0, per_variant: bool = False) -> DataFrame:
+def scored_pairs(entries: DataFrame, queries: DataFrame, keep: int, threshold: float | None = None, bounds: tuple[Column, Column] | None = None) -> DataFrame:
     """(qid, repo_id, pos, semantic): for each query a superset of its `keep` best entries, ties by descending repo_id included.
 
     entries has repo_id, pos and vector; queries has qid and vector, and may have
     several rows of a qid: the best variant counts (per query and entry). Each
-    Arrow batch keeps what no other rows can push out: rows within `slack` of
-    its own keep-th best score, and at least `threshold`.
+    Arrow batch keeps what no other rows can push out: rows that reach its own
+    keep-th best score, and at least `threshold`. Where something is added to
+    scores later, bounds are the least and the most of it for an entry: rows whose
+    most reaches the keep-th best least are kept.
     """
+    low, high = bounds or (F.lit(0.0), F.lit(0.0))
     kind = queries.schema["qid"].dataType.simpleString()
     out = None
     for qids, matrix in query_blocks(queries):
@@ -63,18 +74,18 @@ def scored_pairs(entries: DataFrame, queries: DataFrame, keep: int, threshold: f
                 n = np.linalg.norm(x, axis=1, keepdims=True)
                 sims = (x / np.where(n == 0, 1, n)) @ matrix.T
                 sims = np.maximum.reduceat(sims[:, order], cuts, axis=1)
-                parts = []
-                for i in range(sims.shape[1]):
-                    s = sims[:, i]
-                    sure = s if threshold is None else s[s >= threshold + (PENALTY if slack else 0)]
-                    least = np.partition(sure, len(sure) - keep)[len(sure) - keep] - slack if len(sure) > keep else -np.inf
-                    if threshold is not None:
-                        least = max(least, threshold)
-                    at = np.flatnonzero(s >= least - 1e-12)
-                    parts.append(pd.DataFrame({"qid": names[first[i]], "repo_id": pdf["repo_id"].to_numpy()[at], "pos": pdf["pos"].to_numpy()[at], "semantic": s[at]}))
-                yield pd.concat(parts)
-
-        part = entries.select("repo_id", "pos", "vector").mapInPandas(run, f"qid {kind}, repo_id string, pos long, semantic double")
+                least, most = (sims + pdf[c].to_numpy()[:, None] for c in ("low", "high"))
+                fits = np.ones(sims.shape, bool)
+                if threshold is not None:
+                    fits = sims >= threshold - 1e-12
+                    # Only what is sure to be shown can push others out.
+                    least = np.where((sims >= threshold) & (least >= threshold), least, -np.inf)
+                if len(x) > keep:
+                    fits &= most >= np.partition(least, len(x) - keep, axis=0)[len(x) - keep] - 1e-12
+                at, of = np.nonzero(fits)
+                yield pd.DataFrame({"qid": names[first[of]], "repo_id": pdf["repo_id"].to_numpy()[at], "pos": pdf["pos"].to_numpy()[at], "semantic": sims[at, of]})
+
+        part = entries.select("repo_id", "pos", "vector", low.alias("low"), high.alias("high")).mapInPandas(run, f"qid {kind}, repo_id string, pos long, semantic double")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return entries.sparkSession.createDataFrame([], f"qid {kind}, repo_id string, pos long, semantic double")

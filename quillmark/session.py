@@ -54,6 +54,8 @@ def local_session(cores: str = "*", **conf: str) -> SparkSession:
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Without a look at the Python stack at each column made.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     } | conf
     spark = SparkSession.builder.master(f"local[{cores}]").config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
