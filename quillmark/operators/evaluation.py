@@ -15,10 +15,17 @@ class DatasetError(ValueError):
     pass
 
 
-def acceptable(cases: DataFrame, families: DataFrame) -> DataFrame:
-    """cases with acceptable_set: the expected id, the acceptable ones and their families' (family, repo_ids), sorted."""
-    family = cases.select("id", F.explode("acceptable_families").alias("family")).join(families, "family").select("id", F.explode("repo_ids").alias("repo_id"))
-    more = family.groupBy("id").agg(F.collect_set("repo_id").alias("more"))
+def members(families: DataFrame) -> DataFrame:
+    """(family, repo_id): a row of each member, from a dataset's (family, repo_ids)."""
+    return families.select("family", F.explode("repo_ids").alias("repo_id")).distinct()
+
+
+def acceptable(cases: DataFrame, members: DataFrame) -> DataFrame:
+    """cases with acceptable_set: the expected id, the acceptable ones and their families' members, sorted.
+
+    For display: a set is as long as its families. Results need no sets.
+    """
+    more = cases.select("id", F.explode("acceptable_families").alias("family")).join(members, "family").groupBy("id").agg(F.collect_set("repo_id").alias("more"))
     own = F.concat(F.array("expected_repo_id"), F.coalesce("acceptable_repo_ids", F.array().cast("array<string>")), F.coalesce("more", F.array().cast("array<string>")))
     return cases.join(more, "id", "left").withColumn("acceptable_set", F.array_sort(F.array_distinct(own))).drop("more")
 
@@ -38,22 +45,30 @@ def check_dataset(cases: DataFrame, families: DataFrame) -> None:
         raise DatasetError("; ".join(f"{r['id']}: {r['problem']}" for r in bad) or "no cases")
 
 
-def case_results(cases: DataFrame, hits: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+def case_results(cases: DataFrame, hits: DataFrame, members: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
     """One row of each case: its top hit, ranks of expected and acceptable ids, and status.
 
-    hits is (qid = case id, rk, repo_id, confidence); verdicts (id, verdict) are a
-    judge's on top hits outside the acceptable set. A case without a hit is a
-    serious mismatch, abstained or not.
+    hits is (qid = case id, rk, repo_id, confidence); members (family, repo_id) are
+    looked up for the hits alone, by both, so that neither a large family nor one that
+    many cases name is a task's or a row's. verdicts (id, verdict) are a judge's on
+    top hits outside the acceptable ones. A case without a hit is a serious mismatch,
+    abstained or not.
     """
-    top = hits.where("rk = 1").select(F.col("qid").alias("id"), F.col("repo_id").alias("top_repo_id"), F.col("confidence").alias("top_confidence"))
-    ranks = hits.join(cases.select(F.col("id").alias("qid"), "expected_repo_id", "acceptable_set"), "qid").groupBy(F.col("qid").alias("id")).agg(
-        F.min(F.when(F.col("repo_id") == F.col("expected_repo_id"), F.col("rk"))).alias("exact_rank"),
-        F.min(F.when(F.array_contains("acceptable_set", F.col("repo_id")), F.col("rk"))).alias("acceptable_rank"),
-    )
-    out = cases.join(top, "id", "left").join(ranks, "id", "left")
+    asked = cases.select(F.col("id").alias("qid"), "expected_repo_id", "acceptable_repo_ids", "acceptable_families")
+    expected = F.col("repo_id") == F.col("expected_repo_id")
+    own = F.coalesce(expected | F.coalesce(F.array_contains("acceptable_repo_ids", F.col("repo_id")), F.lit(False)), F.lit(False))
+    h = hits.select("qid", "rk", "repo_id", "confidence").join(asked, "qid").withColumn("own", own).withColumn("family", F.explode_outer(F.when(~F.col("own"), F.col("acceptable_families"))))
+    h = h.join(members.select("family", "repo_id", F.lit(True).alias("member")), ["family", "repo_id"], "left")
+    taken, first = F.col("own") | F.coalesce("member", F.lit(False)), F.col("rk") == 1
+    # A hit has a row for each family of its case, and these aggregates are the same for repeated rows.
+    found = h.groupBy(F.col("qid").alias("id")).agg(
+        F.max(F.when(first, F.col("repo_id"))).alias("top_repo_id"), F.max(F.when(first, F.col("confidence"))).alias("top_confidence"),
+        F.min(F.when(expected, F.col("rk"))).alias("exact_rank"), F.min(F.when(taken, F.col("rk"))).alias("acceptable_rank"),
+    )
+    out = cases.join(found, "id", "left")
     out = out.join(verdicts, "id", "left") if verdicts is not None else out.withColumn("verdict", F.lit(None).cast("string"))
     exact = F.coalesce(F.col("top_repo_id") == F.col("expected_repo_id"), F.lit(False))
-    fine = F.coalesce(F.array_contains("acceptable_set", F.col("top_repo_id")), F.lit(False))
+    fine = F.coalesce(F.col("acceptable_rank") == 1, F.lit(False))
     status = (
         F.when(exact, "exact").when(fine | F.coalesce(F.col("verdict") == "acceptable_substitute", F.lit(False)), "acceptable")
         .when(F.coalesce(F.col("verdict") == "insufficient_evidence", F.lit(False)), "insufficient_evidence").otherwise("serious_mismatch")

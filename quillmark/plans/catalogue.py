@@ -329,19 +329,19 @@ def index_stats(spark, sf):
 def _cases(spark, sf):
     """The queries as cases: an entry of the query's label is expected, the label's entries are a family."""
     e = entries(spark, sf).select("repo_id", "label", "pos")
-    families = e.groupBy(F.col("label").cast("string").alias("family")).agg(F.array_sort(F.collect_list("repo_id")).alias("repo_ids"))
+    members = e.select(F.col("label").cast("string").alias("family"), "repo_id")
     q, nth = queries(spark, sf), F.floor(F.col("qid") / 20)
     cases = q.select(
         F.col("qid").alias("id"), "query", F.concat(F.lit("part/"), (F.col("qid") + F.when(nth % 2 == 0, 0).otherwise(100)).cast("string")).alias("expected_repo_id"), F.array().cast("array<string>").alias("acceptable_repo_ids"),
         F.when(nth % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.col("label").cast("string"))).alias("acceptable_families"), F.array(F.concat(F.lit("t"), (nth % 3).cast("string")), F.lit("all")).alias("tags"), F.col("qid").alias("pos"),
     )
-    return cases, families, q
+    return cases, members, q
 
 
 def _results(spark, sf):
-    cases, families, q = _cases(spark, sf)
+    cases, members, q = _cases(spark, sf)
     hits = ranking.search_semantic(entries(spark, sf), q, 10, 0.45)
-    return evaluation.case_results(evaluation.acceptable(cases, families), hits)
+    return evaluation.case_results(cases, hits, members)
 
 
 RESULTS = f"""WITH {ENTRIES_SQL}, fam AS (SELECT label, list(repo_id) AS ids FROM en GROUP BY label),
@@ -355,8 +355,8 @@ st AS (SELECT *, coalesce(top = expected, false) AS ex, coalesce(top = expected
 
 @query("j4_acceptable_sets", f"{RESULTS} SELECT id, array_to_string(list_sort(list_distinct(list_concat([expected], more))), ',') AS acceptable FROM st")
 def acceptable_sets(spark, sf):
-    cases, families, _ = _cases(spark, sf)
-    return evaluation.acceptable(cases, families).select("id", joined("acceptable_set").alias("acceptable"))
+    cases, members, _ = _cases(spark, sf)
+    return evaluation.acceptable(cases, members).select("id", joined("acceptable_set").alias("acceptable"))
 
 
 def _share(c: str) -> str:

@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,8 +128,6 @@ def test_files(spark, tmp_path):
 def test_vectors_decode(spark):
     import base64
 
-    import numpy as np
-
     good = base64.b64encode(np.array([1, 2], "<f4").tobytes()).decode()
     df = spark.createDataFrame([(good,), ("[1, 2]",), ("!!",), ("[1]",), (None,)], "raw string")
     assert [r["vector"] for r in files.decoded(df, "raw", 2).collect()] == [[1.0, 2.0], [1.0, 2.0], None, None, None]
@@ -138,7 +137,7 @@ def test_eval_and_gate(spark):
     cases = spark.createDataFrame([("c1", "q one", "a/b", ["x/y"], ["f"], ["t"], 0), ("c2", "q", "n/o", [], [], [], 1)], "id string, query string, expected_repo_id string, acceptable_repo_ids array<string>, acceptable_families array<string>, tags array<string>, pos long")
     families = spark.createDataFrame([("f", ["g/h"])], "family string, repo_ids array<string>")
     hits = spark.createDataFrame([("c1", 1, "g/h", "high_confidence"), ("c1", 2, "a/b", "exploratory")], "qid string, rk int, repo_id string, confidence string")
-    r = evaluation.case_results(evaluation.acceptable(cases, families), hits)
+    r = evaluation.case_results(cases, hits, evaluation.members(families))
     status = {x["id"]: x["top1_status"] for x in r.collect()}
     assert status == {"c1": "acceptable", "c2": "serious_mismatch"}
     m = evaluation.metrics(r)
@@ -148,6 +147,47 @@ def test_eval_and_gate(spark):
     assert evaluation.violations(cases.withColumn("acceptable_families", F.array(F.lit("no"))), families).count() == 2
 
 
+def test_results_by_member_rows_equal_those_by_sets(spark):
+    """Large, overlapping and empty families, cases of several or none, null lists, hits that nothing accepts."""
+    rng = np.random.default_rng(11)
+    ids = [f"o/r{i}" for i in range(60)]
+    families = {"all": ids, "few": ids[:7], "some": ids[5:30], "none": []}
+    cases = [
+        (f"c{i}", ids[rng.integers(60)], None if i % 5 == 0 else [str(x) for x in rng.choice(ids, 3)], None if i % 7 == 0 else [str(x) for x in rng.choice(["few", "some", "none"] + ["all"] * (i % 4 == 0), 2)])
+        for i in range(80)
+    ]
+    hits = [(c[0], k + 1, str(r), "exploratory") for i, c in enumerate(cases) for k, r in enumerate(rng.choice(ids, i % 6, replace=False))]
+    made = spark.createDataFrame(cases, "id string, expected_repo_id string, acceptable_repo_ids array<string>, acceptable_families array<string>")
+    members = evaluation.members(spark.createDataFrame(list(families.items()), "family string, repo_ids array<string>"))
+    got = {r["id"]: (r["top_repo_id"], r["exact_rank"], r["acceptable_rank"], r["acceptable_match"]) for r in evaluation.case_results(made, spark.createDataFrame(hits, "qid string, rk int, repo_id string, confidence string"), members).collect()}
+    shown = {r["id"]: r["acceptable_set"] for r in evaluation.acceptable(made, members).collect()}
+    for name, want, own, named in cases:
+        fine = {want, *(own or []), *(x for f in named or [] for x in families[f])}
+        mine = [(k, r) for c, k, r, _ in hits if c == name]
+        assert shown[name] == sorted(fine)
+        assert got[name] == (
+            next((r for k, r in mine if k == 1), None), min((k for k, r in mine if r == want), default=None), min((k for k, r in mine if r in fine), default=None), any(k == 1 and r in fine for k, r in mine)
+        )
+
+
+def test_search_bounds_lose_nothing(spark):
+    """Entries whose metadata lifts or lowers them, in several batches: the cut search equals one over all pairs."""
+    from quillmark.operators import generate
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        e = generate.synthetic_entries(spark, 300, 4).repartition(3, "pos").cache()
+        q = e.where("pos % 60 = 0").select(F.col("pos").alias("qid"), F.concat_ws(" ", F.lower("metadata.language"), F.get("metadata.topics", 0)).alias("query"), "vector")
+        got = ranking.search_metadata(e, q, 5, 0.3).select("qid", "rk", "repo_id", F.round("score", 9).alias("score")).collect()
+        every = similarity.scored_pairs_native(e, q).where("semantic >= 0.3").withColumn("identity", F.lit("none"))
+        named = ranking.identity_pairs(e, q)
+        every = every.drop("identity").join(named, ["qid", "repo_id", "pos"], "left").fillna("none", ["identity"])
+        want = ranking.presented(ranking.adjusted(every, e, q, 0.3), 5, *ranking.best_order()).select("qid", "rk", "repo_id", F.round("score", 9).alias("score")).collect()
+        assert named.isEmpty() and len(want) == 25 and sorted(got) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_models(spark):
     assert models.vectors_of({"data": [{"index": 1, "embedding": [2]}, {"index": 0, "embedding": [1]}]}, 2) == [[1], [2]]
     assert models.scores_of({"rankings": [{"index": 1, "logit": 5}, {"index": 0, "logit": 1}]}, 2) == [1.0, 5.0]
