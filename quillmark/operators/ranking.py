@@ -168,23 +168,21 @@ def search_semantic(entries: DataFrame, queries: DataFrame, top_k: int = 10, thr
 def rerank_candidates(entries: DataFrame, queries: DataFrame, limit: int = 50, named: DataFrame | None = None) -> DataFrame:
     """(qid, repo_id, pos, semantic, semantic_rank): the entries that a reranker is asked about, those that a query names left out."""
     named = identity_pairs(entries, queries) if named is None else named
-    # Identities aren't candidates, so a batch keeps as many more rows as the most that a query names.
-    most = named.groupBy("qid").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    near = similarity.scored_pairs(entries, queries, limit + most)
-    near = near.join(named.select("qid", "repo_id").distinct(), ["qid", "repo_id"], "left_anti")
+    near = similarity.scored_pairs(entries, queries, limit, without=named.select("qid", "repo_id"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("semantic"), "pos"))
     return near.withColumn("semantic_rank", rank).where(F.col("semantic_rank") <= limit)
 
 
 def fused(
     entries: DataFrame, queries: DataFrame, rerank_scores: DataFrame, candidate_limit: int = 50, threshold: float = score.EXPLORATORY,
-    named: DataFrame | None = None,
+    named: DataFrame | None = None, candidates: DataFrame | None = None,
 ) -> DataFrame:
     """Candidates by semantic score, fused with rerank_scores (qid, repo_id, rerank_score) by reciprocal ranks; identities pinned."""
     if candidate_limit < 1:
         raise ValueError("the candidate limit is 1 at least")
-    named = identity_pairs(entries, queries) if named is None else named
-    near, by = rerank_candidates(entries, queries, candidate_limit, named), Window.partitionBy("qid")
+    named = settled(identity_pairs(entries, queries), "named") if named is None else named
+    near = rerank_candidates(entries, queries, candidate_limit, named) if candidates is None else candidates
+    by = Window.partitionBy("qid")
     near = near.join(rerank_scores, ["qid", "repo_id"]).withColumn("rerank_rank", F.row_number().over(by.orderBy(F.desc("rerank_score"), "semantic_rank")))
     rows = near.select(
         "qid", "repo_id", "pos", (1.0 / (FUSION + F.col("semantic_rank")) + 1.0 / (FUSION + F.col("rerank_rank"))).alias("score"), F.col("semantic").alias("semantic_score"),
@@ -222,9 +220,10 @@ def calibrated(hits: DataFrame, mode: str = "off") -> DataFrame:
 
 def search_rerank(
     entries: DataFrame, queries: DataFrame, rerank_scores: DataFrame, top_k: int = 10, threshold: float = score.EXPLORATORY, candidate_limit: int = 50,
-    abstain_threshold: float | None = None, calibration: str = "off",
+    abstain_threshold: float | None = None, calibration: str = "off", named: DataFrame | None = None, candidates: DataFrame | None = None,
 ) -> DataFrame:
-    rows = fused(entries, queries, rerank_scores, candidate_limit, threshold)
+    """named and candidates are identity_pairs() and rerank_candidates(), where they are made already."""
+    rows = fused(entries, queries, rerank_scores, candidate_limit, threshold, named, candidates)
     if abstain_threshold is not None:
         by = Window.partitionBy("qid")
         first = F.first("rerank_score").over(by.orderBy(*best_order()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))

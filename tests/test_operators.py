@@ -436,3 +436,15 @@ def test_scoring_holds_the_best_of_a_task_alone(spark, monkeypatch):
                 assert sum(map(len, got.values())) == 60
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_reranking_keeps_no_more_for_what_queries_name(spark, monkeypatch):
+    kept, scored = [], similarity.scored_pairs
+    monkeypatch.setattr(similarity, "scored_pairs", lambda e, q, keep, *a, **k: kept.append(keep) or scored(e, q, keep, *a, **k))
+    rows = [(f"r/{i}", i, [1.0, float(i)]) for i in range(9)]
+    e = spark.createDataFrame(rows, "repo_id string, pos long, vector array<double>")
+    q = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0])], "qid long, vector array<double>")
+    named = spark.createDataFrame([(1, f"r/{i}", i) for i in range(4, 9)], "qid long, repo_id string, pos long")
+    got = ranking.rerank_candidates(e, q, 2, named).collect()
+    assert kept == [2]
+    assert sorted((r["qid"], r["semantic_rank"], r["repo_id"]) for r in got) == [(1, 1, "r/3"), (1, 2, "r/2"), (2, 1, "r/0"), (2, 2, "r/1")]
