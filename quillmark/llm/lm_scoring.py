@@ -154,6 +154,11 @@ def mixed(level: Level, depth: int, above: tuple | None) -> tuple:
     return level.node, spent + left * level.kt, spent + left * level.stop * level.kt, left * (1 - level.stop)
 
 
+def signed(p: np.ndarray) -> np.ndarray:
+    """Probabilities as small floats: above a half, less the rest to 1, which would else round to none of it."""
+    return np.where(p > 0.5, p - 1, p).astype(np.float32)
+
+
 def costs(keys: np.ndarray, node: np.ndarray, p: np.ndarray) -> np.ndarray:
     """log10 probability of each seen gram's byte: its bits at the deepest nodes."""
     out = np.zeros(len(keys))
@@ -279,7 +284,7 @@ class Model:
             level.weight(np.bincount(at, weights=below[1], minlength=len(level.node)))
         first = mixed(zero, 0, None)
         self.above = mixed(one, 1, first)
-        self.top = [(_tag(first[0], 0), first[1]), (_tag(self.above[0], 1), self.above[1])]
+        self.top = [(_tag(first[0], 0), signed(first[1])), (_tag(self.above[0], 1), signed(self.above[1]))]
 
     def _passes(self, most: int) -> list[list[int]]:
         out: list[list[int]] = [[]]
@@ -306,7 +311,7 @@ class Model:
             for d, level in zip(range(2, depth + 1), levels_of(keys, m, depth, 2)[::-1]):
                 over = mixed(level, d, over)
                 nodes.append(_tag(over[0], d))
-                ps.append(over[1].astype(np.float32))
+                ps.append(signed(over[1]))
             cost = costs(keys, over[0], over[1]).astype(np.float32)
             return pd.DataFrame({"keys": [keys.tobytes()], "cost": [cost.tobytes()], "node": [np.concatenate(nodes).tobytes()], "p": [np.concatenate(ps).tobytes()], "words": [key[word].tobytes()], "n": [n[word].tobytes()]})
 
@@ -334,7 +339,7 @@ class Model:
 
 
 def bits(keys: np.ndarray, depth: int, node: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """log10 probability of the byte of grams that training didn't see: each bit at its deepest node."""
+    """log10 probability of the byte of grams that training didn't see: each bit at its deepest node; p is signed()."""
     out = np.zeros(len(keys))
     context = keys >> np.uint64(8)
     for j in range(8):
@@ -348,7 +353,8 @@ def bits(keys: np.ndarray, depth: int, node: np.ndarray, p: np.ndarray) -> np.nd
             hit = node[at] == want
             q[todo[hit]] = p[at[hit]]
             todo = todo[~hit]
-        out += np.log10(np.where((keys >> np.uint64(7 - j)) & np.uint64(1), q, 1 - q))
+        one = ((keys >> np.uint64(7 - j)) & np.uint64(1)).astype(bool)
+        out += np.log10(np.where(one == (q < 0), 1 - np.abs(q), np.abs(q)))
     return out
 
 

@@ -333,3 +333,11 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"] for r in out.collect()} == kept
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
+
+
+def test_bits_of_nearly_certain_nodes_are_finite():
+    (level,) = lm_scoring.levels_of(np.array([97], np.uint64), np.array([10**9]), 0, 0)
+    node, p, _, _ = lm_scoring.mixed(level, 0, None)
+    got = lm_scoring.bits(np.array([97, 64], np.uint64), 0, lm_scoring._tag(node, 0), lm_scoring.signed(p))
+    # "@" leaves "a" at the third bit, and no node is known from there on.
+    assert -1e-6 < got[0] < 0 and abs(got[1] - (np.log10(0.5 / (1e9 + 1)) + 5 * np.log10(0.5))) < 1e-6
