@@ -1,5 +1,6 @@
 """Greedy selection, exact rounding, halved calls, canonical queries, search on text and refreshes with outcomes."""
 
+import hashlib
 import itertools
 import json
 import math
@@ -174,6 +175,33 @@ def test_refresh_keeps_an_outcome_for_each_record(spark, tmp_path):
         assert {r["attempts"] for r in store.current().where("repo_id like '%000007'").collect()} == {attempts}
 
 
+def test_greedy_with_a_lone_key_equals_a_loop(spark):
+    rng = random.Random(4)
+    rows = [(n, rng.randrange(40) if rng.random() < 0.4 else 1000 + n, rng.randrange(25), rng.choice([None, 1, 2, 3, 4, 5])) for n in range(160)]
+    df = spark.createDataFrame(rows, "n long, a long, b long, c long")
+    want, seen = [], (set(), set(), set())
+    for n, *keys in rows:
+        if not any(k in s for k, s in zip(keys, seen)):
+            want.append(n)
+            for k, s in zip(keys, seen):
+                s.add(k)
+    got = independent.greedy(df, {"a": F.col("a"), "b": F.col("b"), "c": F.col("c")}, [F.col("n")], lone="a")
+    assert sorted(r["n"] for r in got.collect()) == want
+    left = independent._first_of_lone(df.where("a >= 1000").select(F.col("a").alias("x"), F.lit(1).alias("y"), F.struct("n").alias("__greedy_o")), "x", ["x", "y"])
+    assert left.count() == 1
+
+
+def test_strata_are_cut_before_they_meet(spark):
+    made = spark.range(400).select("id", F.lit("q").alias("query"), F.lit("simple").alias("query_type"), F.when(F.col("id") % 40 == 0, "star-lt100").otherwise("star-100-999").alias("star_tier"))
+    got = generate.stratified(made.withColumn("id", F.concat(F.lit("c"), "id")), 30)
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+    nth, ranked = {}, []
+    for draw, i in sorted((hashlib.md5(f"0:c{i}".encode()).hexdigest(), i) for i in range(400)):
+        nth[i % 40 == 0] = nth.get(i % 40 == 0, 0) + 1
+        ranked.append((nth[i % 40 == 0] > 2, draw, f"c{i}"))
+    assert [r["id"] for r in got.collect()] == [i for _, _, i in sorted(ranked)[:30]]
+
+
 def test_synthetic_ids_are_shown_as_sql_cuts_them(spark, tmp_path):
     duckdb.sql(f"COPY (SELECT unnest([7::BIGINT, 999999, 1000000, 1234567]) AS p_partkey) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
     con = duckdb.connect()
