@@ -79,7 +79,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Alternates the large-star and small-star steps on edges (child, parent), so
     that no task needs a whole component and the driver sees only a count and a
-    checksum. Nulls and self-loops link nothing; a node without an edge to
+    checksum; joins are merges, as broadcasts would be built in the driver, one after another. Nulls and self-loops link nothing; a node without an edge to
     another node gets no row.
     """
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
@@ -95,10 +95,10 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         # Large star: each node tells its larger neighbours of the smallest one it knows.
         both = now.union(now.select("p", "u"))
         low = both.groupBy("u").agg(F.min("p").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.where("p > u").join(low, "u").select(F.col("p").alias("u"), F.col("m").alias("p")).distinct()
+        large = both.where("p > u").join(low.hint("merge"), "u").select(F.col("p").alias("u"), F.col("m").alias("p")).distinct()
         # Small star: each node's smaller neighbours, and itself, hang under the smallest.
         low = large.groupBy("u").agg(F.min("p").alias("m"))
-        joined = large.join(low, "u")
+        joined = large.join(low.hint("merge"), "u")
         small = joined.where("p > m").select(F.col("p").alias("u"), F.col("m").alias("p")).union(low.select("u", F.col("m").alias("p")))
         now = written(small.distinct(), "edges")
         after = mark(now)

@@ -230,10 +230,10 @@ def labelled_shingles(texts: DataFrame, k: int) -> DataFrame:
 
 def unsettled(classes: DataFrame, component: DataFrame, samples: int) -> DataFrame:
     """(id, class) of the texts that share a sample with a text of another class."""
-    known = classes.join(component, "head", "left").select("head", F.coalesce("component", "head").alias("class"), "sketch")
+    known = classes.join(component.hint("merge"), "head", "left").select("head", F.coalesce("component", "head").alias("class"), "sketch")
     sample = known.select("head", "class", F.posexplode("sketch").alias("s", "sk"))
     mixed = sample.groupBy("s", "sk").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("s", "sk")
-    return sample.join(mixed, ["s", "sk"]).groupBy("head").agg(F.first("class").alias("class")).select(F.col("head").alias("id"), "class")
+    return sample.join(mixed.hint("merge"), ["s", "sk"]).groupBy("head").agg(F.first("class").alias("class")).select(F.col("head").alias("id"), "class")
 
 
 def gram_hits(texts: DataFrame, k: int) -> DataFrame:
@@ -242,7 +242,7 @@ def gram_hits(texts: DataFrame, k: int) -> DataFrame:
     gram = rows.select("id", "class", "n", F.explode("grams").alias("g"))
     count = gram.groupBy("g").agg(F.count("*").alias("df"), F.min("class").alias("low"), F.max("class").alias("high"))
     count = count.where("low < high").select("g", "df")  # others are shared by no pair of different classes
-    return common.written(gram.join(common.written(count, "omh-counts"), "g"), "omh-hits")
+    return common.written(gram.join(common.written(count, "omh-counts").hint("merge"), "g"), "omh-hits")
 
 
 def profiles(hit: DataFrame, threshold: float) -> DataFrame:
@@ -278,10 +278,10 @@ def overlooked(hit: DataFrame, profile: DataFrame, threshold: float) -> DataFram
     rare = hit.where(F.col("df") <= RARE)
     x, y = (rare.select("g", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "class", "n"))) for side in "ab")
     alike = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-6
-    pair = x.join(y, "g").where(F.expr("id_a < id_b and class_a != class_b") & alike)
+    pair = x.join(y.hint("merge"), "g").where(F.expr("id_a < id_b and class_a != class_b") & alike)
     pair = pair.groupBy("id_a", "id_b").agg(F.count("*").alias("shared"))
     for side, of in (("x", "id_a"), ("y", "id_b")):
-        pair = pair.join(profile.select(F.col("id").alias(of), F.struct("n", "held", "often", "odd").alias(side)), of)
+        pair = pair.join(profile.select(F.col("id").alias(of), F.struct("n", "held", "often", "odd").alias(side)).hint("merge"), of)
     enough = F.col("shared") + F.least("x.often", "y.often") >= needed("x", "y", threshold)
     return pair.where(enough & may_reach("x", "y", threshold)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
@@ -289,7 +289,7 @@ def overlooked(hit: DataFrame, profile: DataFrame, threshold: float) -> DataFram
 def commonplace(profile: DataFrame, component: DataFrame) -> DataFrame:
     """(g, id, n, held, often, odd, class, place): the texts by their rarest common shingles g, which have that place, from 1, the rarest first."""
     known = component.withColumnRenamed("head", "id")
-    row = profile.where(F.size("rarest") > 0).join(known, "id", "left").withColumn("class", F.coalesce("component", "id"))
+    row = profile.where(F.size("rarest") > 0).join(known.hint("merge"), "id", "left").withColumn("class", F.coalesce("component", "id"))
     row = row.select("id", "n", "held", "often", "odd", "class", F.posexplode("rarest").alias("at", "g"))
     return row.withColumn("place", F.col("at") + 1).drop("at")
 
@@ -299,7 +299,7 @@ def represented(row: DataFrame, threshold: float) -> DataFrame:
     own = ("id", "n", "held", "often", "odd", "class")
     part, priority = (F.xxhash64("id", F.pmod("g", F.lit(PRIORITIES)), F.lit(seed)) for seed in (0, 1))
     lead = row.groupBy("g", F.pmod(part, F.lit(REPRESENTATIVES)).alias("part")).agg(F.min_by(F.struct(*own), priority).alias("y"))
-    pair = row.select("g", F.struct(*own).alias("x")).join(lead, "g")
+    pair = row.select("g", F.struct(*own).alias("x")).join(lead.hint("merge"), "g")
     enough = F.least("x.often", "y.often") >= needed("x", "y", threshold)
     pair = pair.where((F.col("x.class") != F.col("y.class")) & enough & may_reach("x", "y", threshold))
     return pair.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
@@ -315,7 +315,7 @@ def remaining(row: DataFrame, threshold: float) -> DataFrame:
     count = row.groupBy("g").agg(F.count("*").alias("rows"), F.min("class").alias("low"), F.max("class").alias("high"))
     count = count.where("low < high").select("g", F.ceil(F.col("rows") / BLOCK).alias("blocks"))
     mine = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    dealt = row.join(count, "g").withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = row.join(count.hint("merge"), "g").withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.struct("id", "n", "held", "often", "place", "odd", "class", "block").alias("of"))
     x, y = (dealt.select("g", "i", "j", F.col("of").alias(side)).hint("merge") for side in "xy")
     once = F.expr("x.block = i and y.block = j and (i < j or x.id < y.id) and x.class != y.class")
@@ -327,7 +327,7 @@ def remaining(row: DataFrame, threshold: float) -> DataFrame:
 def aligned_pairs(pairs: DataFrame, text: DataFrame, k: int, threshold: float) -> DataFrame:
     """Those of the pairs (a, b) whose texts' alignment reaches the threshold; text has rows (id, text)."""
     pairs = common.written(pairs, "omh-more-pairs")
-    side_a, side_b = (text.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    side_a, side_b = (text.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")).hint("merge") for x in "ab")
     return common.written(verified(pairs.join(side_a, "a").join(side_b, "b"), k, threshold).select("a", "b"), "omh-more")
 
 
@@ -335,10 +335,10 @@ def rejoined(component: DataFrame, links: DataFrame) -> DataFrame:
     """component (head, component) with the classes of further links (a, b) made one: components of classes, not of texts."""
     for x in "ab":
         known = component.select(F.col("head").alias(x), F.col("component").alias(f"class_{x}"))
-        links = links.join(known, x, "left").withColumn(f"class_{x}", F.coalesce(f"class_{x}", x))
+        links = links.join(known.hint("merge"), x, "left").withColumn(f"class_{x}", F.coalesce(f"class_{x}", x))
     over = common.written(common.connected_components(links, "class_a", "class_b").select("node", F.col("component").alias("over")), "omh-over")
-    moved = component.join(over, component["component"] == over["node"], "left").select("head", F.coalesce("over", "component").alias("component"))
-    alone = over.join(component, over["node"] == component["head"], "left_anti").select(F.col("node").alias("head"), F.col("over").alias("component"))
+    moved = component.join(over.hint("merge"), component["component"] == over["node"], "left").select("head", F.coalesce("over", "component").alias("component"))
+    alone = over.join(component.hint("merge"), over["node"] == component["head"], "left_anti").select(F.col("node").alias("head"), F.col("over").alias("component"))
     return common.written(moved.union(alone), "omh-component")
 
 
@@ -353,9 +353,9 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bo
     top = known.agg(F.max(number)).first()[0]
     if top >= 1 << 62:
         raise ValueError("ids that repeat must be under 2^62")
-    many = common.written(known.join(repeated, number == F.col(OWN + "id"), "left_semi"), "omh-repeats")
+    many = common.written(known.join(repeated.hint("merge"), number == F.col(OWN + "id"), "left_semi"), "omh-repeats")
     many = common.written(many.withColumn(NUMBER, F.lit(top + 1) + F.monotonically_increasing_id()), "omh-repeats")
-    return known.join(repeated, number == F.col(OWN + "id"), "left_anti").withColumn(NUMBER, number).unionByName(many), True
+    return known.join(repeated.hint("merge"), number == F.col(OWN + "id"), "left_anti").withColumn(NUMBER, number).unionByName(many), True
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -367,12 +367,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows, repeated = numbered(docs, id_col, text_col)
     found = _classes(rows, NUMBER, text_col, **options)
     if repeated:
-        found = common.written(rows.select(F.col(id_col).cast("long").alias("id"), F.col(NUMBER).alias("doc")).join(found, "doc").select("id", F.col("cluster").alias("c")).distinct(), "omh-tied")
+        found = common.written(rows.select(F.col(id_col).cast("long").alias("id"), F.col(NUMBER).alias("doc")).join(found.hint("merge"), "doc").select("id", F.col("cluster").alias("c")).distinct(), "omh-tied")
         first = found.groupBy("id").agg(F.min("c").alias("first"))
-        over = common.connected_components(found.join(first, "id").select("c", "first"), "c", "first")
-        found = found.join(over, found["c"] == over["node"], "left").select("id", F.coalesce("component", "c").alias("c")).distinct()
+        over = common.connected_components(found.join(first.hint("merge"), "id").select("c", "first"), "c", "first")
+        found = found.join(over.hint("merge"), found["c"] == over["node"], "left").select("id", F.coalesce("component", "c").alias("c")).distinct()
         least = found.groupBy("c").agg(F.min("id").alias("cluster"))
-        found = found.join(least, "c").select(F.col("id").alias("doc"), "cluster")
+        found = found.join(least.hint("merge"), "c").select(F.col("id").alias("doc"), "cluster")
     return found.select("doc", "cluster", (F.col("cluster") == F.col("doc")).alias("kept"))
 
 
@@ -384,7 +384,7 @@ def _classes(
     # One document stands for all of the same words; documents of one id are tied together below.
     classes = sketch.groupBy("words").agg(F.min("doc").alias("head"), F.min_by("sketch", "doc").alias("sketch"))
     classes = common.written(classes, "omh-classes")
-    member = sketch.select("doc", "words").join(classes.select("words", "head"), "words").select("doc", "head").distinct()
+    member = sketch.select("doc", "words").join(classes.select("words", "head").hint("merge"), "words").select("doc", "head").distinct()
     member = common.written(member, "omh-members")
     common.cleaned(docs.sparkSession)
 
@@ -398,7 +398,7 @@ def _classes(
     bucket = classes.select("head", F.posexplode(F.concat(*keys)).alias("s", "sk"))
     priority = F.struct(F.xxhash64("head", F.floor(F.col("s") / samples), F.col("s") % PRIORITIES).alias("p"), "head")
     leader = bucket.groupBy("s", "sk").agg(F.min(priority).alias("lead"), F.count("*").alias("n")).where("n > 1").select("s", "sk", F.col("lead.head").alias("lead"))
-    pairs = bucket.join(leader, ["s", "sk"]).where("head != lead").select(F.least("head", "lead").alias("a"), F.greatest("head", "lead").alias("b"), "lead")
+    pairs = bucket.join(leader.hint("merge"), ["s", "sk"]).where("head != lead").select(F.least("head", "lead").alias("a"), F.greatest("head", "lead").alias("b"), "lead")
     # A pair is aligned once; its representative goes second.
     pairs = pairs.groupBy("a", "b").agg(F.min("lead").alias("lead")).select(
         F.when(F.col("lead") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("lead").alias("b")
@@ -423,7 +423,7 @@ def _classes(
     common.cleaned(docs.sparkSession)
     component = rejoined(component, aligned_pairs(remaining(commonplace(profile, component), threshold), text, k, threshold))
     cluster = F.coalesce("component", "head")
-    return member.join(component, "head", "left").groupBy("doc").agg(F.min(cluster).alias("cluster"))
+    return member.join(component.hint("merge"), "head", "left").groupBy("doc").agg(F.min(cluster).alias("cluster"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -435,10 +435,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = _classes(rows, NUMBER, text_col, **options)
     if repeated:
         ids = rows.select(F.col(NUMBER).alias("doc"), F.col(id_col).cast("long").alias("id"))
-        found = common.written(found.join(ids, "doc"), "omh-kept")
+        found = common.written(found.join(ids.hint("merge"), "doc"), "omh-kept")
         best = found.groupBy("cluster").agg(F.min(F.struct("id", "doc")).alias("best"))
-        gone = found.join(best, "cluster").where("doc <> best.doc").select(F.col("doc").alias(NUMBER))
+        gone = found.join(best.hint("merge"), "cluster").where("doc <> best.doc").select(F.col("doc").alias(NUMBER))
     else:
         gone = found.where("doc <> cluster").select(F.col("doc").alias(NUMBER))
-    left = rows.join(gone, NUMBER, "left_anti").select(*docs.columns)
+    left = rows.join(gone.hint("merge"), NUMBER, "left_anti").select(*docs.columns)
     return left.unionByName(docs.where(F.col(id_col).isNull()))

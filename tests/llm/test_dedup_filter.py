@@ -284,3 +284,18 @@ def test_marks_are_looked_for_in_few_words_at_a_time(monkeypatch):
     monkeypatch.setattr(toxicity, "spans", lambda some: held.append(len(some)) or spans(some))
     assert toxicity.covered(of, marked) == whole and whole and toxicity.covered([], marked) == {}
     assert max(held) == 7 and sum(held) == 200
+
+
+def test_no_join_is_broadcast_from_the_driver(spark, monkeypatch):
+    plans, written = [], common.written
+
+    def seen(df, tag):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, tag)
+
+    monkeypatch.setattr(common, "written", seen)
+    words = [f"w{i}" for i in range(40)]
+    docs = [(i % 9, " ".join(words[i % 5 :] + words[: i % 3]), "x") for i in range(12)]
+    left = near_dedup.deduplicated(spark.createDataFrame(docs, DOCS))
+    plans.append(left._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 10 and not [p for p in plans if "Broadcast" in p]
