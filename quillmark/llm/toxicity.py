@@ -106,7 +106,7 @@ def held(text: list[bytes], of: np.ndarray | None = None) -> tuple[np.ndarray, n
     if of is not None:
         h = h[among(h, of)]
     h, n = np.unique(h, return_counts=True)
-    return h, (n[:, None] >= np.array(TIMES)).astype(np.int64)
+    return h, n[:, None] >= np.array(TIMES)
 
 
 def counted(texts: list[list[bytes]], least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +119,7 @@ def counted(texts: list[list[bytes]], least: int) -> tuple[np.ndarray, np.ndarra
     rough = np.zeros(1 << 22, np.uint16)
     for t in texts:
         rough[np.unique(held(t)[0] & part)] += 1
-    keys, total = np.zeros(0, np.uint64), np.zeros((0, len(TIMES)), np.int64)
+    keys, total = np.zeros(0, np.uint64), np.zeros((0, len(TIMES)), np.int32)
     for i in range(0, len(texts), MERGED):
         parts = [(keys, total)]
         for t in texts[i : i + MERGED]:
@@ -128,7 +128,7 @@ def counted(texts: list[list[bytes]], least: int) -> tuple[np.ndarray, np.ndarra
             parts.append((h[often], n[often]))
         keys, inverse = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
         n = np.concatenate([n for _, n in parts])
-        total = np.stack([np.bincount(inverse, n[:, j], len(keys)) for j in range(len(TIMES))], axis=1).astype(np.int64)
+        total = np.stack([np.bincount(inverse, n[:, j], len(keys)) for j in range(len(TIMES))], axis=1).astype(np.int32)
     often = total[:, 0] >= least
     return keys[often], total[often]
 
@@ -218,14 +218,19 @@ class Learner:
         keys, n = counted([t for t, new in zip(toxic, self.new) if new], int(enough[0]) if len(enough) else min(2, n1))
         often = n.max(axis=1, initial=0) > 0
         self.keys = keys[often]
-        self.held = [held(t, self.keys) if new else None for t, new in zip(self.texts, self.new)]
+        self.held = [self._held(t) if new else None for t, new in zip(self.texts, self.new)]
+
+    def _held(self, text: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """held() of the keys, by their places: a few bytes a span, as those of all texts are kept."""
+        h, times = held(text, self.keys)
+        return np.searchsorted(self.keys, h).astype(np.int32), times
 
     def marks(self, used: np.ndarray) -> np.ndarray:
         """The sorted hashes of the spans that mark the toxic ones of the used texts."""
         n = np.zeros((2, len(self.keys), len(TIMES)), np.int64)
         for i in np.flatnonzero(used & self.new):
-            h, times = self.held[i]
-            n[int(self.y[i]), np.searchsorted(self.keys, h)] += times
+            at, times = self.held[i]
+            n[int(self.y[i]), at] += times
         n1, n0 = (max(1, int((used & self.new & (self.y == y)).sum())) for y in (True, False))
         ratio = np.where(n[1] * n0 >= RATE * (n[0] + 0.5) * n1, ratio_of(n[1], n[0], n1, n0), 0).max(axis=1, initial=0)
         return self.keys[(ratio > 0) & (ratio >= min(EVIDENCE, ratio.max(initial=0)))]
@@ -334,7 +339,9 @@ class Scorer:
 
 def learned(toxic: list[str], ordinary: list[str], times: tuple[float, float] = (1.0, 1.0)) -> Model:
     """The model of sample texts of both classes, each of which stands for `times` labelled ones of its class."""
-    samples = [[words(t) for t in toxic], [words(t) for t in ordinary]]
+    one: dict[bytes, bytes] = {}  # each word is held once, however often it comes
+    samples = [[[one.setdefault(w, w) for w in words(t)] for t in texts] for texts in (toxic, ordinary)]
+    del one
     x = [np.array([letters(w) for w in ws]) for ws in samples]
     c = centres(np.concatenate(x))
     mine = [(part @ c.T).argmax(axis=1) for part in x]
@@ -355,6 +362,7 @@ def learned(toxic: list[str], ordinary: list[str], times: tuple[float, float] =
                 labels += learner.y[at].tolist()
                 pair += [p] * len(at)
         pairs.append(learner.dictionaries(np.ones(len(learner.texts), bool)))
+        del learner  # before the next one is made
     rows, pair = np.array(rows), np.array(pair)
     own_rows = [rows * (pair == p)[:, None] for p in range(len(pairs))]
     ridge = np.r_[1e-6, np.full(FEATURES - 1, 0.3), np.full(FEATURES * len(pairs), 1.0)]
@@ -378,6 +386,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return None
     # Both classes count as often as they are labelled, not as they are sampled.
     n = {r["y"]: r["n"] for r in label.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    # The driver's heap is as large as these jobs made it; learning comes on top.
+    common.cleaned(docs.sparkSession)
     return learned(got[1], got[0], tuple(max(1.0, n[y] / len(got[y])) for y in (1, 0)))
 
 

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from quillmark.llm import common, near_dedup, quality, toxicity
 
 DOCS = "doc_id long, text string, extra string"
+#: What learning may hold for a byte of sample text.
+LEARNING_BYTES = 20
 
 
 def lcs(a, b):
@@ -276,6 +279,33 @@ def test_fit_gives_the_drivers_memory_back(spark, monkeypatch):
     assert done == ["fit", "given back"]
 
 
+def test_learning_holds_a_word_once_and_spans_by_place():
+    rng = random.Random(5)
+    known = ["".join(rng.choices("abcdefghijklmnop", k=8)) for _ in range(300)]
+    texts = [" ".join(rng.choices(known, k=3000)) for _ in range(60)]
+    toxic = [t + " vilesort" * 3 for t in texts[:30]]
+    tracemalloc.start()
+    try:
+        toxicity.learned(toxic, texts[30:])
+        most = tracemalloc.get_traced_memory()[1]
+        learner = toxicity.Learner([toxicity.words(t) for t in toxic], [toxicity.words(t) for t in texts[30:]])
+    finally:
+        tracemalloc.stop()
+    assert most < LEARNING_BYTES * sum(map(len, texts))
+    kept = [h for h in learner.held if h is not None]
+    assert sum(x.nbytes for h in kept for x in h) <= 7 * sum(len(h[0]) for h in kept) > 0
+
+
+def test_the_drivers_heap_shrinks_before_learning(spark, monkeypatch):
+    done = []
+    monkeypatch.setattr(common, "cleaned", lambda _: done.append("cleaned"))
+    monkeypatch.setattr(toxicity, "learned", lambda *_: done.append("learned"))
+    docs = spark.createDataFrame([(i, "some text", "") for i in range(20)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    toxicity.fit(docs, labels)
+    assert done == ["cleaned", "learned"]
+
+
 def test_marks_are_looked_for_in_few_words_at_a_time(monkeypatch):
     of = [f"w{i}rd{i * i}".encode() for i in range(200)]
     marked = np.unique(np.concatenate([h[::3] for _, h, _, _ in toxicity.spans(of)]))
