@@ -36,7 +36,8 @@ DEPTH = 5
 #: Table entries that one scoring pass may hold in a worker, of 12 to 24 bytes each.
 PASS_ENTRIES = 5_000_000
 SHARDS = 256
-CHUNK = 1 << 20
+#: Bytes of text at a time; arrays of some twenty times that come and go.
+CHUNK = 1 << 18
 LOG_HALF = float(np.log(0.5))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -220,6 +221,7 @@ def counts(docs: DataFrame, text_col: str, depth: int) -> DataFrame:
     """(word, key, n): how often each gram of bytes (word false) and each word's hash comes in the rows of docs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.given_back()
         held: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {False: [], True: []}
 
         def merged(word: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -237,8 +239,13 @@ def counts(docs: DataFrame, text_col: str, depth: int) -> DataFrame:
                 keys, n = merged(word)
                 for i in range(0, len(keys), 200_000):
                     yield pd.DataFrame({"word": word, "key": keys[i : i + 200_000].view(np.int64), "n": n[i : i + 200_000]})
+                parts.clear()
+                del keys, n
+        common.given_back()
 
     rows = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "word boolean, key long, n long")
+    # A task's keys are distinct as they are: dealt out first, they aren't put into tables of Spark's for nothing.
+    rows = rows.repartition("word", "key")
     return common.written(rows.groupBy("word", "key").agg(F.sum("n").alias("n")), "ctw-counts")
 
 
@@ -376,6 +383,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         mine[part] = True
 
         def run(batches: Iterator[pd.DataFrame], held=held, mine=mine, first=i == 0) -> Iterator[pd.DataFrame]:
+            common.given_back()
             t = held.value
             if "grams" not in t:  # once in a worker's life with this broadcast
                 t["grams"], t["known"] = Table(t["keys"], t["cost"]), Table(t["words"], t["n"])
@@ -406,6 +414,8 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                         base, n_known = base + end[0] - (m + 1) * total, n_known + end[1]
                     rows_of = pdf.iloc[at : at + len(texts)]
                     yield pd.DataFrame({"uid": rows_of["uid"].to_numpy(), "id": rows_of["id"].to_numpy(), "n_tokens": m + 1, "n_known": n_known, "base_score": base, "score": score})
+                    del key, n, doc, found, value, new, known
+            common.given_back()
 
         # Written pass by pass, so that only one pass's tables are held at a time.
         scores = common.written(rows.mapInPandas(run, columns), "ctw-scores")

@@ -341,3 +341,11 @@ def test_bits_of_nearly_certain_nodes_are_finite():
     got = lm_scoring.bits(np.array([97, 64], np.uint64), 0, lm_scoring._tag(node, 0), lm_scoring.signed(p))
     # "@" leaves "a" at the third bit, and no node is known from there on.
     assert -1e-6 < got[0] < 0 and abs(got[1] - (np.log10(0.5 / (1e9 + 1)) + 5 * np.log10(0.5))) < 1e-6
+
+
+def test_counts_are_dealt_out_before_they_are_summed(spark, monkeypatch):
+    plans, written = [], common.written
+    monkeypatch.setattr(common, "written", lambda df, tag: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df, tag))
+    got = lm_scoring.counts(spark.createDataFrame([("ab ab",), ("ab",)], "text string").repartition(2), "text", 1)
+    assert plans[0].rindex("HashAggregate") < plans[0].index("Exchange")
+    assert sorted(r["n"] for r in got.where("word").collect()) == [3] and got.where("not word").agg(F.sum("n")).first()[0] == 9
