@@ -201,11 +201,16 @@ def _language_terms() -> list[str]:
     return sorted(out)
 
 
+def called_names(name: Column, aliases: Column) -> Column:
+    """The name and aliases, stripped, that a text without spaces between words may hold."""
+    return F.filter(F.transform(F.concat(F.array(F.coalesce(name, F.lit(""))), aliases), lowered), lambda v: (F.length(v) >= 3) & ~F.array_contains(words(_language_terms()), v))
+
+
 def identity_kind(query: Column, repo_id: Column, name: Column, aliases: Column) -> Column:
     """How a query names an entry: repo_id, exact_value, contextual_name_mention, name_mention or none."""
     raw, own = lowered(query), lowered(repo_id)
     values = identity_values(repo_id, name, aliases)
-    called = F.filter(F.transform(F.concat(F.array(F.coalesce(name, F.lit(""))), strip_list(aliases)), lowered), lambda v: (F.length(v) >= 3) & ~F.array_contains(words(_language_terms()), v))
+    called = called_names(name, strip_list(aliases))
     return (
         F.when((own != "") & F.contains(raw, own), "repo_id")
         .when(F.array_contains(F.transform(values, lowered), raw), "exact_value")

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from ..functions import score, text
 from ..schemas import RECORD_SCHEMA
 from ..session import settled
-from . import index, models, similarity
+from . import index, metadata_search, models, similarity
 
 FUSION = 60
 STRATEGIES = ("metadata", "semantic", "rerank")
@@ -83,19 +83,22 @@ def identity_pairs(entries: DataFrame, queries: DataFrame) -> DataFrame:
     ends = lambda i: F.sequence(F.lit(1), F.least("longest", F.greatest(F.lit(1), F.length(raw) - i + 1)))
     subs = F.flatten(F.transform(spots, lambda i: F.transform(ends(i), lambda n: F.substring(raw, i, n))))
     subs = F.filter(subs, lambda s: cjk | F.contains(s, F.lit("/")))
-    found = q.select("qid", F.explode(text.query_variants(F.col("query"))).alias("key")).join(keys, "key").select("qid", "repo_id", "pos")
-    within = asked.select("qid", F.explode(F.array_distinct(subs)).alias("key")).join(inside, "key").select("qid", "repo_id", "pos")
-    pairs = found.unionByName(within).distinct().join(q, "qid").join(e, ["repo_id", "pos"])
+    found = q.select("qid", F.explode(text.query_variants(F.col("query"))).alias("key")).join(keys.hint("merge"), "key").select("qid", "repo_id", "pos")
+    within = asked.select("qid", F.explode(F.array_distinct(subs)).alias("key")).join(inside.hint("merge"), "key").select("qid", "repo_id", "pos")
+    pairs = found.unionByName(within).distinct().join(q.hint("merge"), "qid").join(e.hint("merge"), ["repo_id", "pos"])
     kind = text.identity_kind(F.col("query"), F.col("repo_id"), F.col("name"), F.col("aliases"))
     return pairs.select("qid", "repo_id", "pos", kind.alias("identity")).where("identity <> 'none'")
 
 
 def adjusted(pairs: DataFrame, entries: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
-    """pairs (qid, repo_id, pos, semantic, identity) with score, confidence, matches, diagnostics and reasons."""
-    # An entry is prepared once for all queries that it is a candidate of, and not at all without one.
-    asks = pairs.groupBy("repo_id", "pos").agg(F.collect_list(F.struct("qid", "semantic", "identity")).alias("asks"))
-    wanted = prepared(entries.select("repo_id", "pos", "metadata").join(asks, ["repo_id", "pos"]), "asks")
-    p = wanted.withColumn("ask", F.explode("asks")).select("*", "ask.*").drop("asks", "ask").join(analysed(queries), "qid")
+    """pairs (qid, repo_id, pos, semantic, and identity, or pinned where its kind is yet to be told) with score, confidence, matches, diagnostics and reasons."""
+    # An entry is prepared once for all queries that it is a candidate of, and not at all without one. Joins are merges: the driver would build broadcasts.
+    known = "identity" if "identity" in pairs.columns else "pinned"
+    asks = pairs.groupBy("repo_id", "pos").agg(F.collect_list(F.struct("qid", "semantic", known)).alias("asks"))
+    wanted = prepared(entries.select("repo_id", "pos", "metadata").join(asks.hint("merge"), ["repo_id", "pos"]), "asks")
+    p = wanted.withColumn("ask", F.explode("asks")).select("*", "ask.*").drop("asks", "ask").join(analysed(queries).hint("merge"), "qid")
+    if known == "pinned":
+        p = p.withColumn("identity", F.when(F.col("pinned"), text.identity_kind(F.col("query"), F.col("repo_id"), F.col("name"), F.col("aliases"))).otherwise("none"))
     hits = lambda column: F.transform(F.filter("words", lambda w: F.arrays_overlap(w["forms"], F.col(column))), lambda w: w["word"])
     p = p.withColumns({"matched_terms": hits("text_tokens"), "topic_matches": hits("topic_tokens"), "profile_matches": hits("profile_tokens")})
     named = F.col("identity") != "none"
@@ -148,13 +151,15 @@ def best_order() -> list[Column]:
 
 
 def search_metadata(entries: DataFrame, queries: DataFrame, top_k: int = 10, threshold: float = score.EXPLORATORY) -> DataFrame:
-    # Written, as three joins use it, by its size: the few entries that queries name don't shuffle all vectors.
-    named = settled(identity_pairs(entries, queries), "named")
-    rows = similarity.scored_pairs(entries, queries, max(1, top_k), threshold, similarity.adjustments(F.col("metadata"))).withColumn("identity", F.lit("none"))
-    if not named.isEmpty():
-        pinned = similarity.semantic_of(named.select("qid", "repo_id", "pos"), entries, queries).join(named, ["qid", "repo_id", "pos"])
-        rows = pinned.unionByName(rows.join(named, ["qid", "repo_id", "pos"], "left_anti"))
-    rows = adjusted(rows, entries, queries, threshold)
+    asked = settled(analysed(queries), "asked")
+    questions = asked.join(metadata_search.query_marks(entries, asked.select("qid", "query")).hint("merge"), "qid")
+    m = lambda k: F.col("metadata." + k)
+    marks = F.concat(*metadata_search.entry_marks(F.col("repo_id"), m("name"), text.strip_list(m("aliases"))))
+    scored = prepared(entries.withColumn("marks", marks), "vector", "marks").select(
+        "repo_id", "pos", "vector", "marks", "language_alias", "text_tokens", "topic_tokens", "profile_tokens", "popularity", score.state_penalty(F.col("archived"), F.col("disabled")).alias("penalty"),
+    )
+    rows = metadata_search.best_by_metadata(scored, questions, queries, max(1, top_k), threshold)
+    rows = adjusted(rows, entries, asked, threshold)
     return presented(rows, top_k, *best_order()).drop("pinned")
 
 
@@ -183,12 +188,12 @@ def fused(
     named = settled(identity_pairs(entries, queries), "named") if named is None else named
     near = rerank_candidates(entries, queries, candidate_limit, named) if candidates is None else candidates
     by = Window.partitionBy("qid")
-    near = near.join(rerank_scores, ["qid", "repo_id"]).withColumn("rerank_rank", F.row_number().over(by.orderBy(F.desc("rerank_score"), "semantic_rank")))
+    near = near.join(rerank_scores.hint("merge"), ["qid", "repo_id"]).withColumn("rerank_rank", F.row_number().over(by.orderBy(F.desc("rerank_score"), "semantic_rank")))
     rows = near.select(
         "qid", "repo_id", "pos", (1.0 / (FUSION + F.col("semantic_rank")) + 1.0 / (FUSION + F.col("rerank_rank"))).alias("score"), F.col("semantic").alias("semantic_score"),
         score.confidence(F.col("semantic"), threshold).alias("confidence"), F.lit("none").alias("identity"), "rerank_score", "semantic_rank", "rerank_rank", F.lit(False).alias("pinned"),
     )
-    pinned = similarity.semantic_of(named.select("qid", "repo_id", "pos"), entries, queries).join(named, ["qid", "repo_id", "pos"])
+    pinned = similarity.semantic_of(named.select("qid", "repo_id", "pos"), entries, queries).join(named.hint("merge"), ["qid", "repo_id", "pos"])
     pinned = adjusted(pinned, entries, queries, threshold).select("qid", "repo_id", "pos", "score", "semantic_score", "confidence", F.col("diagnostics.identity_kind").alias("identity"), "pinned")
     return rows.unionByName(pinned, allowMissingColumns=True)
 

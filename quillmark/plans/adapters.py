@@ -65,7 +65,7 @@ rec AS (
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part rows that have an embedding, as index entries."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("p_partkey"), F.col("embedding").alias("vector"), "label")
-    p = table(spark, sf_dir, "part").join(v, "p_partkey")
+    p = table(spark, sf_dir, "part").hint("merge").join(v, "p_partkey")  # millions of parts are a small file, but no small broadcast
     none, k = F.array().cast("array<string>"), F.col("p_partkey")
     made = {
         "schema_version": F.lit(2), "name": F.col("p_name"), "url": F.lit(None).cast("string"), "aliases": none, "description": F.concat("p_name", F.lit(" parts")), "topics": F.array("p_brand"),
@@ -84,7 +84,7 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
     v = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"), "label")
     v = v.join(F.broadcast(parts.agg(F.count("*").alias("n"))))  # one row
-    q = v.withColumn("p_partkey", (F.col("qid") + 40) % F.col("n")).drop("n").join(parts.select("p_partkey", "p_name", "p_brand", "p_type"), "p_partkey")
+    q = v.withColumn("p_partkey", (F.col("qid") + 40) % F.col("n")).drop("n").join(parts.select("p_partkey", "p_name", "p_brand", "p_type").hint("merge"), "p_partkey")
     n = F.floor(F.col("qid") / 20) % 4
     text = F.when(n == 0, F.col("p_name")).when(n == 1, F.concat(F.lit("a tool for "), F.lower("p_type"), F.lit(" of "), "p_brand")).when(n == 2, F.concat(F.lit("python alternative to "), "p_name")).otherwise(F.concat(F.lit("open source "), F.lower("p_type"), F.lit(" with "), "p_name"))
     return q.select("qid", text.alias("query"), "vector", "label")
